@@ -169,3 +169,33 @@ def signed(x: np.ndarray) -> np.ndarray:
 def count_words(column: str, pattern: str = r"[^\x20\x09-\x0D]+"):
     """Words of a string column as a native expression; null counts 0."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(pattern)), F.lit(0)).cast("long")
+
+
+# ---------------------------------------------------------------- columns computed from a text column
+
+
+def append(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[tuple]]], added: str, keep: list[str], slice_bytes: int = 4 << 20) -> DataFrame:
+    """The columns in keep, then those of the DDL in added. make() is called once a task and gives a function from a
+    list of texts (UTF-8 bytes or None) to as many tuples. A narrow operation: no shuffle, slices of bounded size."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    more = StructType.fromDDL(added)
+    out = StructType([*source.schema.fields[:-1], *more.fields])
+    added_types = [f.type for f in to_arrow_schema(more)]
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        f = make()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+            weight = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64) // slice_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rows = f(texts.slice(a, b - a).to_pylist())
+                new = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), added_types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *new], names=out.names)
+
+    return source.mapInArrow(run, out)
