@@ -172,7 +172,9 @@ class Shard:
 
 
 class Encoder:
-    """Encoded words (bytes of their ids) of one tokenizer; cleared when full."""
+    """Encoded words (bytes of their ids) of one tokenizer that lower-cases; the cache is cleared when full."""
+
+    CLOSING = frozenset(b".,:;!?")
 
     def __init__(self, path: str, width: int, limit: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -182,34 +184,56 @@ class Encoder:
         self.tokenizer, self.width, self.limit = Tokenizer.from_file(path), width, limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text, in little-endian integers of the encoder's width."""
-        words = text.split()
+        # Letter case is lost in the tokenizer too, but special strings are told by it.
+        words = (text if any(x[:2] in text for x in self.special) else text.lower()).split()
         if missing := list(set(words).difference(self.known)):
             if len(self.known) + len(missing) > self.limit:
                 self.known.clear()
                 missing = list(set(words))
-            for at in range(0, len(missing), 2048):
-                self.learn(missing[at : at + 2048])
+            self.learn(missing)
         return b"".join(map(self.known.__getitem__, words))
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes words as one text, since a call costs far more than a word, and tells them apart by offsets."""
+        """Adds words. A closing mark after an ASCII letter is a pre-token of its own, so that the word before it is
+        looked up or encoded without it."""
+        known = self.known
+        closed = [w for w in words if w[-1] in self.CLOSING and w[-2:-1].isalpha()]
+        wanted = {w[:-1] for w in closed} | {w[-1:] for w in closed} | set(words).difference(closed)
+        plain, other = [], []
+        for w in wanted.difference(known):
+            (plain if w.isalpha() else other).append(w)
+        for group in (plain, other):
+            for at in range(0, len(group), 2048):
+                self.encode(group[at : at + 2048], group is plain)
+        for w in closed:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
+    def encode(self, words: list[bytes], single: bool) -> None:
+        """Encodes words as one text, since a call costs far more than a word. If each is a single pre-token (ASCII
+        letters alone), its last id is the one that ends a word; otherwise character offsets tell words apart."""
         texts = [w.decode() for w in words]
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(got.ids, dtype=f"<u{self.width}")
-        first = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(ids))
-        cuts = np.searchsorted(first, starts) * self.width
-        data = ids.tobytes()
-        self.known.update((w, data[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
+        if single:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        else:
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(got.ids, dtype=f"<u{self.width}")
+            cuts = np.searchsorted([a for a, _ in got.offsets], np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        data, cuts = ids.tobytes(), (cuts * self.width).tolist()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None, cache: int = 300_000) -> DataFrame:
+def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None, cache: int = 800_000) -> DataFrame:
     """Encodes each text, appends end_id, and writes shards; the manifest (shard, path, documents, ids, bytes, start),
     one row a file, where start is the number of ids in all shards before.
 
