@@ -176,11 +176,12 @@ def count_words(column: str, pattern: str = r"[^\x20\x09-\x0D]+"):
 
 def append(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[tuple]]], added: str, keep: list[str], slice_bytes: int = 4 << 20) -> DataFrame:
     """The columns in keep, then those of the DDL in added. make() is called once a task and gives a function from a
-    list of texts (UTF-8 bytes or None) to as many tuples. A narrow operation: no shuffle, slices of bounded size."""
+    list of texts (UTF-8 bytes, or those of a binary column, or None) to as many tuples. A narrow operation: no shuffle, slices of bounded size."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    text = F.col(text_col)
+    source = df.select(*[F.col(c) for c in keep], (text if dict(df.dtypes).get(text_col) == "binary" else text.cast("string")).alias("__text"))
     more = StructType.fromDDL(added)
     out = StructType([*source.schema.fields[:-1], *more.fields])
     added_types = [f.type for f in to_arrow_schema(more)]
