@@ -132,8 +132,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(text: bytes, alphabet: Alphabet) -> np.ndarray:
-    """A 64-bit hash of each word, in order, from prefix sums over the bytes. Long texts go in pieces cut between words."""
+def word_hashes(text: bytes, alphabet: Alphabet, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word, in order, from prefix sums over the bytes. With prefixes, rows: the words, then
+    their first so many bytes. Long texts go in pieces cut between words."""
     out, at = [], 0
     while at < len(text):
         to = min(len(text), at + PIECE)
@@ -146,9 +147,15 @@ def word_hashes(text: bytes, alphabet: Alphabet) -> np.ndarray:
         if len(starts):
             power, inverse = _powers(len(data) + 1)
             sums = np.concatenate(([np.uint64(0)], np.cumsum(alphabet.value[data] * power[: len(data)])))
-            out.append(splitmix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+            rows = []
+            for n in (0, *prefixes):
+                to_byte = np.minimum(ends, starts + n) if n else ends
+                rows.append(splitmix((sums[to_byte] - sums[starts]) * inverse[starts] + (to_byte - starts).astype(np.uint64) + np.uint64(n << 32)))
+            out.append(np.stack(rows) if prefixes else rows[0])
         at = to
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    if not out:
+        return np.empty((1 + len(prefixes), 0) if prefixes else 0, dtype=np.uint64)
+    return np.concatenate(out, axis=-1)
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
