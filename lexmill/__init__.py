@@ -1,0 +1 @@
+"""Corpus analytics and hybrid retrieval on Spark: DataFrames in, DataFrames out."""
