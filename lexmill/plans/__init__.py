@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""All queries of the library by name, and the SQL that states their results."""
+
+from lexmill.plans import corpus, dialogue, retrieval
+
+QUERIES = retrieval.QUERIES | corpus.QUERIES | dialogue.QUERIES
+SQL = retrieval.SQL | corpus.SQL | dialogue.SQL
