@@ -119,12 +119,12 @@ def intent(question: Column) -> Column:
 
 
 def asks_identity(question: Column) -> Column:
-    text = normalize_tr(question)
-    return ~any_substring(text, OTHER_FIELDS) & any_substring(text, IDENTITY)
+    return ~asks_other_field(question) & any_substring(normalize_tr(question), IDENTITY)
 
 
 def asks_other_field(question: Column) -> Column:
-    return any_substring(normalize_tr(question), OTHER_FIELDS)
+    """Whether a word begins with the name of another field; names of people may hold one inside."""
+    return normalize_tr(question).rlike(rf"(?<![a-z0-9_])e?(?:{'|'.join(OTHER_FIELDS)})")
 
 
 def name_parts(question: Column) -> Column:

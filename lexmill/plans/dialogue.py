@@ -81,7 +81,7 @@ def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTION_KINDS_SQL = f"""
 with n as (select *, {norm_sql("text")} norm from conversations where role = 'user')
 select conv_id, turn, case {" ".join(f"when {_any_sql('norm', parts)} then '{name}'" for name, parts in questions.INTENTS)} end intent,
-  not {_any_sql("norm", questions.OTHER_FIELDS)} and {_any_sql("norm", questions.IDENTITY)} "identity",
+  not regexp_matches(norm, '(^|[^a-z0-9_])e?({"|".join(questions.OTHER_FIELDS)})') and {_any_sql("norm", questions.IDENTITY)} "identity",
   regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-ZÇĞİÖŞÜ][a-zçğıöşü]+\\s+[A-ZÇĞİÖŞÜ][a-zçğıöşü]+') or (regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(kimdir|kim)([^\\p{{L}}\\p{{N}}_]|$)')
     and len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w not in ({", ".join(f"'{w}'" for w in questions.QUESTION_WORDS)}))) >= 2) person,
   length(norm) n_norm from n"""

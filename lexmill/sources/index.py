@@ -12,8 +12,10 @@ from lexmill.operators import sparse
 
 
 def with_positions(chunks: DataFrame) -> DataFrame:
-    """chunks with pos, a key from the hash of chunk_id: stable across runs, whatever the partitioning."""
-    return chunks.withColumn("pos", F.conv(F.substring("chunk_id", 1, 15), 16, 10).cast("long"))
+    """chunks with pos, numbers in the order of chunk_id: unique, and of one order whatever the partitioning, so that ties
+    fall alike in every build. Save it before use; the numbers themselves may differ when computed again."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").withColumn("pos", F.monotonically_increasing_id())
 
 
 def save(chunks: DataFrame, path: str, model: str, source: str, now: datetime.datetime) -> None:
