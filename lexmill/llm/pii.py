@@ -237,10 +237,19 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) with every span's value replaced by its kind in brackets."""
-    both = docs.select(id_col, text_col).join(found.select(id_col, F.concat("base", "extra").alias("__s")), id_col, "left")
-    text = F.aggregate(F.coalesce("__s", F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")), F.col(text_col), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
-    return both.select(id_col, text.alias(text_col))
+    """(id, text) with every span replaced by its kind in brackets, from the last to the first; of spans that overlap,
+    an earlier one ends where the later one begins. Rows without spans and null texts stay as they are. Ids must be
+    unique in found."""
+    spans = F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    both = docs.select(id_col, text_col).join(found.select(id_col, F.reverse(F.array_sort(spans)).alias("__s")), id_col, "left")
+
+    def cut(acc, s):
+        end = F.least(s["end"], acc["at"])
+        text = F.overlay(acc["text"], F.concat(F.lit("["), s["kind"], F.lit("]")), s["start"] + 1, end - s["start"])
+        return F.struct(F.when(s["start"] < acc["at"], text).otherwise(acc["text"]).alias("text"), s["start"].alias("at"))
+
+    done = F.aggregate("__s", F.struct(F.col(text_col).alias("text"), F.lit(1 << 30).alias("at")), cut)["text"]
+    return both.select(id_col, F.coalesce(done, F.col(text_col)).alias(text_col))
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
