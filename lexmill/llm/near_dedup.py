@@ -7,7 +7,8 @@ sketches discards those that cannot reach the similarity asked for, and full set
 
 Sizes: equal sets collapse to one class first. In a bucket of a band, each class is compared with one hub; what the
 confirmed links join needs no further comparison. Only buckets that still hold several components compare members
-across components, in cells of bounded size that emit nothing but pairs which the likelihood lets through.
+across components, in cells of bounded size: members outside a bucket's largest component with each other and with
+those inside. A cell confirms on full sets and emits no more links than join its members.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Params:
     scale: float = 20.0
     slack: float = 18.0  # log-likelihood by which a pair must miss the similarity to be discarded unverified
     cell: int = 512  # members of a bucket that one cell compares with as many others
+    cell_shingles: int = 1 << 19  # and their shingles, about
 
     @property
     def registers(self) -> int:
@@ -96,6 +98,127 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def cell_links(p: Params):
+    """mapInArrow over rows of cells, each cell's rows together: links (u, v) between members of different components
+    that the likelihood lets through and the full sets confirm. Likelihoods are computed for many cells at once; what a
+    link joins is not compared further."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, weight = [], 0
+        for batch in batches:
+            for part in slices(batch):
+                held.append(part)
+                weight += part.nbytes
+            if weight >= 4 << 20 or sum(x.num_rows for x in held) >= 4096:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                last = borders(whole)[-1]
+                if last:
+                    yield from links(whole.slice(0, last))
+                held = whole.slice(last).to_batches()
+                weight = sum(x.nbytes for x in held)
+        if held:
+            yield from links(pa.Table.from_batches(held).combine_chunks())
+
+    def slices(batch):
+        return [batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)]
+
+    def borders(table) -> np.ndarray:
+        """Where cells begin."""
+        keys = [table.column(c).to_numpy() for c in ("band", "bucket", "i", "j", "across")]
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        return np.flatnonzero(new)
+
+    def links(table):
+        import pyarrow as pa
+
+        column = lambda c: table.column(c).to_numpy()
+        starts = borders(table)
+        band, across, major, block, i, j, rep, part, n = (column(c) for c in ("band", "across", "major", "block", "i", "j", "rep", "component", "n"))
+        part = part.copy()
+        words = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(rep), -1)
+        regs, sets = words.view(np.uint16).reshape(len(rep), -1), table.column("items")
+        found: list[tuple[int, int]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def settle():
+            x, y = (np.concatenate(side) for side in zip(*pairs, strict=True))
+            equal = (words[x] == words[y]) & (np.arange(words.shape[1]) < band[x][:, None])
+            ok = ~equal.any(axis=1) & (part[x] != part[y])  # a pair is looked at in its first common band only
+            x, y = x[ok], y[ok]
+            if not len(x):
+                return
+            ok = possible(regs[x], regs[y], n[x].astype(float), n[y].astype(float), p)
+            x, y = x[ok], y[ok]
+            ok = p.similarity[1] * (c := common(x, y)) >= p.similarity[0] * (n[x] + n[y] - c)
+            x, y = x[ok], y[ok]
+            _, first = np.unique(np.stack((part[x], part[y])), axis=1, return_index=True)
+            for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                if part[a] != part[b]:
+                    part[part == max(part[a], part[b])] = min(part[a], part[b])
+                    found.append((min(int(rep[a]), int(rep[b])), max(int(rep[a]), int(rep[b]))))
+
+        def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Sizes of the intersections of members x with members y, pairs of one cell after the other. A cell with
+            many pairs for a member gets an index from shingles to members."""
+            out, cell = np.zeros(len(x), dtype=np.int64), np.searchsorted(starts, x, side="right")
+            for a, b in runs(cell):
+                members, at = np.unique(y[a:b], return_inverse=True)
+                values = owners = None
+                if b - a > 4 * len(members):
+                    values = np.concatenate([items_of(k) for k in members.tolist()])
+                    owners = np.repeat(np.arange(len(members)), n[members])
+                    order = np.argsort(values, kind="stable")
+                    values, owners = values[order], owners[order]
+                for c, d in runs(x[a:b]):
+                    own = items_of(int(x[a + c]))
+                    if values is None:
+                        for k in range(a + c, a + d):
+                            other = items_of(int(y[k]))
+                            out[k] = (other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum()
+                        continue
+                    low, high = (np.searchsorted(values, own, side=side) for side in ("left", "right"))
+                    reps = high - low
+                    places = np.repeat(low - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
+                    out[a + c : a + d] = np.bincount(owners[places], minlength=len(members))[at[c:d]]
+            return out
+
+        def runs(keys: np.ndarray):
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)])) if len(keys) else [0]
+            return zip(edges[:-1], edges[1:], strict=True)
+
+        def items_of(k: int) -> np.ndarray:
+            return np.frombuffer(sets[k].as_buffer(), dtype=np.uint64)
+
+        for a, b in zip(starts, [*starts[1:], len(rep)], strict=True):
+            here = np.arange(a, b)
+            left, right = (here[~major[a:b]], here[major[a:b]]) if across[a] else (here[block[a:b] == i[a]], here[block[a:b] == j[a]])
+            step = max(1, 32768 // max(1, len(right)))
+            for at in range(0, len(left), step):
+                x, y = (g.ravel() for g in np.meshgrid(left[at : at + step], right, indexing="ij"))
+                ok = part[x] != part[y]
+                if not across[a] and i[a] == j[a]:
+                    ok &= x < y
+                if ok.any():
+                    pairs.append((x[ok], y[ok]))
+                    size += int(ok.sum())
+                if size >= 32768:
+                    settle()
+                    pairs, size = [], 0
+        if pairs:
+            settle()
+        if found:
+            u, v = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row.
 
@@ -128,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets of bands. Hubs differ between bands: the least id after a fixed exclusive-or mask of the band.
     masks = F.array(*[F.lit(int(x)) for x in constants(57, p.bands) >> np.uint64(2)])
-    rows = classes.select("rep", F.posexplode("sketch").alias("band", "bucket"))
+    rows = classes.select("rep", "n", F.posexplode("sketch").alias("band", "bucket"))
     turned = F.col("rep").bitwiseXOR(F.get(masks, F.col("band")))
     hubs = rows.groupBy("band", "bucket").agg(F.min(turned).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     hubs = hubs.withColumn("hub", F.col("hub").bitwiseXOR(F.get(masks, F.col("band"))))
@@ -182,34 +305,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(confirmed(likely(stars)), "links")
     parts = connected(first)
 
-    # What is left: buckets that still hold several components.
+    # What is left: buckets that still hold several components. Members of the largest one (major) need not be compared
+    # with each other.
     own = lambda df: df.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = own(shared.select("rep", "band", "bucket", "size"))
-    split = placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "bucket")
-    blocks = F.ceil(F.col("size") / p.cell).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    cells = placed.join(split, ["band", "bucket"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("band", "bucket", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    cells = cells.join(sketches, "rep")
-
-    def compare(frame):
-        import pandas as pd
-
-        out, band, (i, j) = [], int(frame["band"].iloc[0]), (frame["i"].iloc[0], frame["j"].iloc[0])
-        words = np.array(frame["sketch"].tolist(), dtype=np.int64)
-        regs = words.view(np.uint16).reshape(len(frame), -1)
-        rep, part, n, block = (frame[c].to_numpy() for c in ("rep", "component", "n", "block"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for x in left:
-            y = right[(part[right] != part[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            y = y[~(words[y, :band] == words[x, :band]).any(axis=1)]  # a pair is looked at in its first common band only
-            if len(y):
-                ok = y[possible(np.repeat(regs[x : x + 1], len(y), axis=0), regs[y], np.full(len(y), float(n[x])), n[y].astype(float), p)]
-                out += [(min(rep[x], rep[k]), max(rep[x], rep[k])) for k in ok]
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
-
-    rest = cells.groupBy("band", "bucket", "i", "j").applyInPandas(compare, "u long, v long")
-    second = materialize(confirmed(rest), "links")
+    placed = own(shared.select("rep", "band", "bucket", "n"))
+    held = placed.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    count = lambda m, s: F.greatest(F.ceil(m / p.cell), F.ceil(s / p.cell_shingles), F.lit(1)).cast("int")
+    most = F.max(F.struct("m", "s", "component"))
+    split = held.groupBy("band", "bucket").agg(most.alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")).filter(F.col("m") > F.col("top.m"))
+    split = split.select("band", "bucket", F.col("top.component").alias("largest"), count(F.col("top.m"), F.col("top.s")).alias("majors"), count(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("minors"))
+    cells = placed.join(split, ["band", "bucket"]).withColumn("major", F.col("component") == F.col("largest"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(F.col("minors")), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"), F.lit(False).alias("across")))
+    across = F.transform(upto(F.col("majors")), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("across")))
+    inside = F.transform(upto(F.col("minors")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("across")))
+    cells = cells.withColumn("block", block).withColumn("cell", F.explode(F.when(F.col("major"), inside).otherwise(F.concat(among, across))))
+    key = ["band", "bucket", "i", "j", "across"]
+    cells = cells.select("rep", "band", "bucket", "cell.*", "major", "block", "component", "n").join(sketches.drop("n"), "rep").join(items, "rep")
+    cells = cells.select(*key, "major", "block", "rep", "component", "n", "sketch", "items")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = cells.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(cell_links(p), "u long, v long")
+    second = materialize(rest, "links")
     ends = connected(own(second.select(F.col("u").alias("rep"), "v")).select(F.col("component").alias("u"), F.col("v").alias("rep")).transform(own).select("u", F.col("component").alias("v")))
     discard(shared, items, first, second)
 
