@@ -95,7 +95,7 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             discard(both)
-            return labels
+            return labels.select("id", "component")
 
 
 def cell_links(p: Params):
