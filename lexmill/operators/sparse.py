@@ -1,7 +1,8 @@
 """BM25 over an inverted index kept as DataFrames.
 
-postings(term, doc_id, tf, dl), terms(term, df, idf) and one row of statistics. Scoring joins query terms with
-postings, so that only documents that share a term with a query are touched.
+postings(term, doc_id, tf, dl), terms(term, df, idf) and the documents' ids. Texts are tokenised once, when postings
+are written; all else comes from their columns. Scoring joins query terms with postings, so that only documents that
+share a term with a query are touched.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokenize_tr
 from lexmill.schema import Bm25Params
+from lexmill.storage import materialize
 
 
 @dataclass(frozen=True)
 class SparseIndex:
     postings: DataFrame  # term, doc_id, tf, dl
     terms: DataFrame  # term, df, idf
-    docs: DataFrame  # doc_id, dl
+    docs: DataFrame  # doc_id
     params: Bm25Params = Bm25Params()
 
     def save(self, path: str) -> None:
@@ -39,15 +41,15 @@ def build(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], params: Bm25
     postings but do count among the documents."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
     tokens = docs.select(F.col(id_col).alias("doc_id"), tokenize_tr(text, stop_words).alias("tokens"))
-    sized = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
-    postings = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
-    lengths = sized.select("doc_id", "dl")
-    return SparseIndex(postings, inverse_frequencies(postings, lengths, params), lengths, params)
+    terms = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = materialize(terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), "postings")
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    return SparseIndex(postings, inverse_frequencies(postings, ids, params), ids, params)
 
 
-def inverse_frequencies(postings: DataFrame, lengths: DataFrame, params: Bm25Params) -> DataFrame:
+def inverse_frequencies(postings: DataFrame, ids: DataFrame, params: Bm25Params) -> DataFrame:
     """(term, df, idf). Terms of more than half the documents get epsilon times the mean of all idf."""
-    n = lengths.agg(F.count("*").alias("n")).scalar()
+    n = ids.agg(F.count("*").alias("n")).scalar()
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, params.epsilon * mean).otherwise(F.col("raw")).alias("idf"))
@@ -69,7 +71,7 @@ def score(index: SparseIndex, queries: DataFrame) -> DataFrame:
     p = index.params
     wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighted = wanted.join(index.terms.select("term", "idf"), "term")
-    mean = index.docs.agg(F.avg("dl").alias("avgdl")).scalar()
+    mean = index.postings.agg(F.sum("tf").alias("all")).scalar() / index.docs.agg(F.count("*").alias("n")).scalar()
     tf, norm = F.col("tf"), p.k1 * (1 - p.b + p.b * F.col("dl") / mean)
     part = F.col("qtf") * F.col("idf") * tf * (p.k1 + 1) / (tf + norm)
     return weighted.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
