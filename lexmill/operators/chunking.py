@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import any_substring, filled_lines, first_match, lines_of, lower_tr, squeeze, strip, word_count, words_of
+from lexmill.functions.text import filled_lines, first_match, lines_of, lower_tr, squeeze, strip, word_count, words_of
 from lexmill.schema import ANNOUNCEMENT, NEWS, PDF, STAFF, TABLE, ChunkParams
 
 # Headings of terms, navigation lines, boiler-plate lines, texts without content, marks of job forms.
@@ -167,7 +167,3 @@ def profile(chunks: DataFrame) -> DataFrame:
     """Per kind and (null kind) overall: chunks and the least, mean (whole) and most words."""
     n = chunks.withColumn("words", word_count(F.col("text")))
     return n.rollup("doc_type").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.floor(F.avg("words")).alias("mean"), F.max("words").alias("most"))
-
-
-def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
-    return any_substring(text, parts)

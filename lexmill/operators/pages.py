@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,9 +201,3 @@ def _ranked(df: DataFrame, length: Column, order: str) -> DataFrame:
     offsets = offsets.select(F.col("__p").alias("__op"), F.col("__s").alias("__os"), "__before")
     joined = local.join(offsets, (F.col("__p") == F.col("__op")) & F.col("__s").eqNullSafe(F.col("__os")))
     return joined.withColumn("__r", F.col("__i") + F.col("__before")).drop("__op", "__os", "__before", "__i", "__n")
-
-
-def half_even(x: float) -> int:
-    """What bround gives for a non-negative number: for checks outside Spark."""
-    low = math.floor(x)
-    return low + (1 if x - low > 0.5 or (x - low == 0.5 and low % 2) else 0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.operators import sparse
@@ -37,9 +36,3 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, sparse.SparseIndex,
     chunks = spark.read.parquet(f"{path}/chunks")
     vectors = chunks.select(F.col("pos").alias("doc_id"), F.col("embedding").alias("vector")) if "embedding" in chunks.columns else None
     return chunks.drop("embedding"), sparse.SparseIndex.load(spark, f"{path}/sparse"), vectors
-
-
-def latest(df: DataFrame, key: str, version: str) -> DataFrame:
-    """One row for each key: the greatest version."""
-    w = W.partitionBy(key).orderBy(F.desc(version))
-    return df.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
