@@ -23,6 +23,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -189,16 +190,17 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def ids(self, text: bytes) -> bytes:
-        """The ids of a whole text, in little-endian integers of the encoder's width."""
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts, in little-endian integers of the encoder's width. Unknown words of all texts are
+        encoded together."""
         # Letter case is lost in the tokenizer too, but special strings are told by it.
-        words = (text if any(x[:2] in text for x in self.special) else text.lower()).split()
-        if missing := list(set(words).difference(self.known)):
+        words = [(t if any(x[:2] in t for x in self.special) else t.lower()).split() for t in texts]
+        if missing := set().union(*words).difference(self.known):
             if len(self.known) + len(missing) > self.limit:
                 self.known.clear()
-                missing = list(set(words))
-            self.learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
+                missing = set().union(*words)
+            self.learn(list(missing))
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
     def learn(self, words: list[bytes]) -> None:
         """Adds words. A closing mark after an ASCII letter is a pre-token of its own, so that the word before it is
@@ -230,6 +232,19 @@ class Encoder:
         self.known.update((w, data[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
 
+def groups(rows: Iterator[tuple], weight: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Rows of (id, text) in lists that end where their texts reach weight bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or b"") + 64
+        if size >= weight:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -261,7 +276,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = Non
             first = next(rows, None)
             if first is None:
                 return
-            entries = ((key_of(i), encoder.ids(t or b"") + end) for rest in ((first,), rows) for i, t in rest)
+            entries = ((key_of(i), ids + end) for some in groups(chain((first,), rows)) for (i, _), ids in zip(some, encoder.ids([t or b"" for _, t in some]), strict=True))
             path = f"{directory}/part-{part:06d}.sst"
             yield (part, path, *write_shard(path, entries, width))
 
