@@ -1,7 +1,7 @@
 """WARC derivative builder: response records to linked metadata and plain-text conversion records.
 
-Records are rows; deriving is a narrow projection of built-in functions followed by one explode, so that neither
-shuffle nor Python is needed. Both derivatives of a response refer to it by its identifier, target and date, name each
+Records are rows; deriving is a narrow projection followed by one explode, without a shuffle. Patterns are built-in
+functions; links and character references are read in one Arrow step. Both derivatives of a response refer to it by its identifier, target and date, name each
 other as concurrent, and keep its HTTP headers and digests. `write_warc` and `read_warc` turn rows into gzipped
 WARC/1.1 files and back, a record a gzip member.
 """
@@ -9,12 +9,17 @@ WARC/1.1 files and back, a record a gzip member.
 from __future__ import annotations
 
 import gzip
+import html.entities
 import io
+import re
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lexmill.llm.common import fresh_path, map_rows
 
@@ -26,10 +31,16 @@ BREAKS = r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|
 TAGS = r"</?[A-Za-z!][^>]*>"
 BLANK_LINES = r"[ \t\r\f\x0B]*\n[ \t\r\n\f\x0B]*"
 BLANKS = r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]"
-LINKS = r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["']"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title[^>]*>"
-# The entities that are decoded, & last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# What OP3_SQL knows of links and entities, & last: quoted values without quotes in them, and seven names.
+SQL_LINKS = r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["']"""
+SQL_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+
+# The first href of an anchor, with its quotes: other attributes are passed over whole, so that what looks like one in
+# their values does not count.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+LINKS = re.compile(rf"<a(?=[\s/])(?:[\s/]*+(?!href[\s/>=])[^\s/>=]++(?:\s*+=\s*+{VALUE})?+)*+[\s/]*+href\s*+=\s*+({VALUE})", re.ASCII | re.IGNORECASE)
+REFERENCES = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)([;=]?)")
 
 
 def urn(x: Column) -> Column:
@@ -41,19 +52,54 @@ def digest(x: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(x, 256))
 
 
-def unescaped(x: Column) -> Column:
-    for a, b in ENTITIES:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+@lru_cache(4096)
+def decoded(reference: str) -> str:
+    """A character reference as HTML reads it in text; no-break spaces become blanks."""
+    return html.unescape(reference).replace("\xa0", " ")
+
+
+def in_text(m: re.Match) -> str:
+    return decoded(m[0])
+
+
+def in_attribute(m: re.Match) -> str:
+    """In attributes a name needs its semicolon before = and letters (?a=1&copy=2). Line ends, which URLs drop, would
+    end the field."""
+    if m[1][0] == "#":
+        x = decoded(f"&{m[1]};").strip("\t\r\n")
+        return x + m[2] if m[2] == "=" else x
+    known = m[2] != "=" and m[1] + m[2] in html.entities.html5
+    return decoded(m[0]).strip("\t\r\n") if known else m[0]
+
+
+def unescape(text: str | None) -> str | None:
+    return REFERENCES.sub(in_text, text) if text and "&" in text else text
+
+
+def hrefs(payload: str) -> list[str]:
+    """The href of each anchor that has one with a value, in order, quoted or not, decoded."""
+    values = (x[1:-1] if x[0] in "\"'" else x for x in LINKS.findall(payload))
+    return [REFERENCES.sub(in_attribute, x) if "&" in x else x for x in values]
+
+
+@F.arrow_udf(StringType())
+def unescaped(x: pa.Array) -> pa.Array:
+    return pa.array(map(unescape, x.to_pylist()), pa.string())
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def links_of(x: pa.Array) -> pa.Array:
+    return pa.array(map(hrefs, x.to_pylist()), pa.list_(pa.string()))
 
 
 def squeezed(x: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(x, BLANK_LINES, "\n"), BLANKS, " "), F.lit(" \n"))
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: hidden elements and comments dropped, block elements on lines of their own, entities decoded."""
-    return squeezed(unescaped(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BREAKS, "\n"), TAGS, "")))
+def plain_text(page: Column) -> Column:
+    """Visible text: hidden elements and comments dropped, block elements on lines of their own, all
+    named and numeric entities decoded."""
+    return squeezed(unescaped(F.regexp_replace(F.regexp_replace(F.regexp_replace(page, HIDDEN, ""), BREAKS, "\n"), TAGS, "")))
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -73,7 +119,7 @@ def derive(found: DataFrame) -> DataFrame:
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     read = found.select("page_id", *[empty(c).alias(c) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")])
-    links = F.transform(F.regexp_extract_all("payload", F.lit(LINKS), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), unescaped(x), F.lit(" L a/@href")))
+    links = F.transform(links_of("payload"), lambda x: F.concat(F.lit("outlink: "), x, F.lit(" L a/@href")))
     title = squeezed(unescaped(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), TAGS, "")))
     fields = F.array_join(F.concat(F.array(F.concat(F.lit("title: "), F.translate(title, "\n", " ")), F.concat(F.lit("content-length: "), F.octet_length("payload").cast("string"))), links), "\r\n")
     ids = [urn(F.concat_ws("|", F.lit(k), F.col("record_id"))) for k in ("metadata", "conversion")]
@@ -160,7 +206,7 @@ def _sql() -> str:
     crlf = "chr(13) || chr(10)"
 
     def unescape(x):
-        for a, b in ENTITIES:
+        for a, b in SQL_ENTITIES:
             x = f"replace({x}, {q(a)}, {q(b)})"
         return x
 
@@ -174,11 +220,12 @@ with p as (select page_id, coalesce(url, '') u, coalesce(html, '') h from pages)
 r as (select *, {make_urn("'response|' || coalesce(page_id::varchar, '') || '|' || u || '|' || sha256(h)")} rid,
   'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(h) || {crlf} || {crlf} headers from p),
 d as (select *, {make_urn("'metadata|' || rid")} m, {make_urn("'conversion|' || rid")} c, {text} tx,
-  array_to_string(['title: ' || replace({title}, chr(10), ' '), 'content-length: ' || strlen(h)] || list_transform(regexp_extract_all(h, {q(LINKS)}, 1), lambda x: 'outlink: ' || {unescape("x")} || ' L a/@href'), {crlf}) fl from r),
+  array_to_string(['title: ' || replace({title}, chr(10), ' '), 'content-length: ' || strlen(h)] || list_transform(regexp_extract_all(h, {q(SQL_LINKS)}, 1), lambda x: 'outlink: ' || {unescape("x")} || ' L a/@href'), {crlf}) fl from r),
 k as (select *, 'metadata' kind, m own, c other, 'application/warc-fields' ct, fl b from d union all select *, 'conversion', c, m, 'text/plain; charset=utf-8', tx from d)
 select page_id, kind warc_type, own record_id, other concurrent_to, rid refers_to, u refers_to_uri, '2024-01-01T00:00:00Z' refers_to_date, u target_uri, '2024-01-01T00:00:00Z' warc_date,
   ct content_type, headers source_headers, 'sha256:' || sha256(h) source_payload_digest, 'sha256:' || sha256(b) block_digest, strlen(b)::bigint content_length, b block from k
 """
 
 
+#: The same records for pages with no entities but SQL_ENTITIES and links that SQL_LINKS reads alike; SQL has no table of entities.
 OP3_SQL = _sql()

@@ -201,3 +201,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert one["metadata"].refers_to == one["conversion"].refers_to and one["metadata"].concurrent_to == one["conversion"].record_id
     assert all(r.content_length == len((r.block or "").encode()) for r in rows)
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_references_and_links(spark):
+    page = """<title>&copy; Caf&eacute; &#233;&#xE9;</title><p>&middot; &hellip;x&nbsp;&#160;y &amp;lt; &notit; &bogus; AT&T</p>
+<a href="it's">1</a><a class=b href=/u?a=1&copy=2&amp;b=&eacute;>2</a><A HREF='q"r'>3</A><a title="a href='no'" href = "/z&#38;&#10;v">4</a><a data-href="n" href="m">5</a><a href=>6</a>"""
+    rows = {r.warc_type: r for r in warc.derive(warc.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).collect()}
+    lines = rows["metadata"].block.split("\r\n")
+    assert lines[0] == "title: © Café éé"
+    assert [x.removeprefix("outlink: ").removesuffix(" L a/@href") for x in lines[2:]] == ["it's", "/u?a=1&copy=2&b=é", 'q"r', "/z&v", "m"]
+    assert warc.hrefs("<a title='a > b' href=x>") == ["x"]
+    text = rows["conversion"].block
+    assert text == "© Café éé\n· …x y &lt; ¬it; &bogus; AT&T\n123456"
+    assert rows["conversion"].block_digest == f"sha256:{sha(text.encode())}" and rows["conversion"].content_length == len(text.encode())
