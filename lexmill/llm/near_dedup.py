@@ -219,37 +219,38 @@ def cell_links(p: Params):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row.
-
-    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows and equal sets share a
-    component. Rows without an id take part in no link: component null, kept false. Other columns are not read.
-    """
-    p = params
+def components(docs: DataFrame, id_col: str, text_col: str, p: Params, nameless: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes). rows: (doc_id, th, n, f1, f2, sketch) for each row, th a hash of its text. classes: the class
+    (f1, f2, n) of each set that is not empty, with first_id and first_th of the row that comes first in its component,
+    by id, rows without one last, then by th. Rows without an id take part if nameless."""
 
     def signatures():
         seen: dict[tuple, list] = {}
 
         def run(rows):
-            for key, text in rows:
+            for key, th, text in rows:
                 items = shingle_set(text, p.shingle)
                 if not len(items):
-                    yield key, 0, 0, 0, None
+                    yield key, th, 0, 0, 0, None
                     continue
                 f1, f2 = int(signed(splitmix(items + np.uint64(77)).sum(keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(splitmix(items + np.uint64(99)), keepdims=True))[0])
                 if (f1, f2) not in seen:
                     if len(seen) >= 2048:
                         seen.clear()
                     seen[f1, f2] = sketch(items, p).view(np.int64).tolist()
-                yield key, len(items), f1, f2, seen[f1, f2]
+                yield key, th, len(items), f1, f2, seen[f1, f2]
 
         return run
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed_docs = materialize(map_rows(source, signatures, "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "signatures")
-    classes = materialize(signed_docs.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    signed_docs = materialize(map_rows(source, signatures, "doc_id long, th long, n long, f1 long, f2 long, sketch array<long>"), "signatures")
+    # A class has a number of its own: a repeated id may stand on rows with different texts, or on none.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    classes = signed_docs.filter("n > 0").filter(F.lit(nameless) | F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n").agg(first, F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    # Buckets of bands. Hubs differ between bands: the least id after a fixed exclusive-or mask of the band.
+    # Buckets of bands. Hubs differ between bands: the least number after a fixed exclusive-or mask of the band.
     masks = F.array(*[F.lit(int(x)) for x in constants(57, p.bands) >> np.uint64(2)])
     rows = classes.select("rep", "n", F.posexplode("sketch").alias("band", "bucket"))
     turned = F.col("rep").bitwiseXOR(F.get(masks, F.col("band")))
@@ -257,21 +258,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = hubs.withColumn("hub", F.col("hub").bitwiseXOR(F.get(masks, F.col("band"))))
     shared = materialize(rows.join(hubs, ["band", "bucket"]), "buckets")
 
-    needed = shared.select(F.col("rep").alias("doc_id")).distinct()
-    first_text = source.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").join(needed, "doc_id", "left_semi")
+    needed = classes.join(shared.select("rep").distinct(), "rep", "left_semi")
+    needed = needed.select(F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), "rep", F.col("f1").alias("own"))
+    first_text = source.join(needed, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))).select("rep", "own", "text")
 
     def sets():
         def run(rows):
-            for key, text in rows:
+            for rep, own, text in rows:
                 items = shingle_set(text, p.shingle)
-                if len(items):
-                    yield key, int(signed(splitmix(items + np.uint64(77)).sum(keepdims=True))[0]), items.tobytes()
+                if len(items) and int(signed(splitmix(items + np.uint64(77)).sum(keepdims=True))[0]) == own:
+                    yield rep, items.tobytes()
 
         return run
 
-    # A repeated id may stand on rows with different texts: the class's own set is the one with its fingerprint.
-    items = map_rows(first_text, sets, "rep long, f1 long, items binary").join(classes.select("rep", "f1", "n"), ["rep", "f1"]).dropDuplicates(["rep"])
-    items = materialize(items.select("rep", "items"), "sets")
+    items = materialize(map_rows(first_text, sets, "rep long, items binary").dropDuplicates(["rep"]), "sets")
     sketches = classes.select("rep", "n", "sketch")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -330,15 +330,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = connected(own(second.select(F.col("u").alias("rep"), "v")).select(F.col("component").alias("u"), F.col("v").alias("rep")).transform(own).select("u", F.col("component").alias("v")))
     discard(shared, items, first, second)
 
-    whole = classes.select("f1", "f2", "n", "rep").join(parts.select(F.col("id").alias("rep"), F.col("component").alias("c1")), "rep", "left")
+    whole = classes.select("f1", "f2", "n", "rep", "first").join(parts.select(F.col("id").alias("rep"), F.col("component").alias("c1")), "rep", "left")
     whole = whole.withColumn("c1", F.coalesce("c1", "rep")).join(ends.select(F.col("id").alias("c1"), F.col("component").alias("c2")), "c1", "left")
-    whole = materialize(whole.select("f1", "f2", "n", F.coalesce("c2", "c1").alias("class_component")), "components")
-    discard(classes)
-    linked = signed_docs.select("doc_id", "f1", "f2", "n").join(whole, ["f1", "f2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
+    whole = materialize(whole.select("f1", "f2", "n", "first", F.coalesce("c2", "c1").alias("component")), "components")
+    # Only components of several classes look for their first row.
+    firsts = whole.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    named = whole.join(firsts, "component", "left").withColumn("first", F.coalesce("least", "first"))
+    named = materialize(named.select("f1", "f2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th")), "firsts")
+    discard(classes, whole)
+    return signed_docs, named
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row.
+
+    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows and equal sets share a
+    component. Rows with one id and different texts are linked each by its own text. Rows without an id take part in no
+    link: component null, kept false. Other columns are not read.
+    """
+    rows, classes = components(docs, id_col, text_col, params, nameless=False)
+    linked = rows.select("doc_id", "f1", "f2", "n").join(classes.drop("first_th"), ["f1", "f2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+    """The rows of docs, all columns, that near-dedup leaves: one of each component, that with the smallest id, rows
+    without an id last, then by a hash of the text; of rows that agree in both the least by all columns.
+
+    Rows without an id or with a repeated one take part like any other, each by its own text. Texts without words are
+    linked with nothing: all their rows stay.
+    """
+    rows, classes = components(docs, id_col, text_col, params, nameless=True)
+    firsts = classes.select("first_id", "first_th").distinct()
+    again = rows.filter("n > 0").groupBy("doc_id", "th").agg(F.count("*").alias("m")).filter("m > 1")
+    match = lambda a, b: F.col(a).eqNullSafe(F.col("first_id")) & (F.col(b) == F.col("first_th"))
+    several = materialize(firsts.join(again, match("doc_id", "th"), "left_semi"), "repeats")
+    other = several.select(F.col("first_id").alias("a"), F.col("first_th").alias("b"))
+    single = materialize(firsts.join(other, match("a", "b"), "left_anti"), "singles")
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text)})
+    one = keyed.join(single, match("__id", "__th"), "left_semi").select(*docs.columns)
+    least = keyed.join(several, match("__id", "__th"), "left_semi").groupBy("__id", "__th").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    silent = docs.filter(~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return one.unionByName(least).unionByName(silent)
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

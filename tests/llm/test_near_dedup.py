@@ -61,6 +61,17 @@ def test_edges(spark, docs):
     assert nd.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(12):
+        texts = [variants(rng, [f"b{k}x{j}w{i}" for i in range(120)], 4, 3) for j in range(2)]
+        rows += [(10 * k, texts[0][0]), (10 * k, texts[1][0])] + [(10 * k + 1 + j, t) for j, t in enumerate(texts[0][1:] + texts[1][1:])]
+    rng.shuffle(rows)
+    got = {(r.doc_id, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {(i, i - i % 10) for i, _ in rows}
+
+
 def test_sketches():
     p = nd.Params()
     rng = np.random.default_rng(1)
