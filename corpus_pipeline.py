@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import materialize
 from lexmill.llm.decontaminate import benchmark_hits
 from lexmill.llm.mixing import mix
-from lexmill.llm.near_dedup import near_duplicates
+from lexmill.llm.near_dedup import first_documents
 from lexmill.llm.sstable import read_token_ids, write_token_ids
 from lexmill.llm.toxicity import score_toxicity
 
@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id. Documents without an id stand last
+    and, like those with a repeated one, are judged each by its own text."""
+    return first_documents(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each epoch, the document at a source's cut whole. Documents
-    without words cost no budget and stay once."""
+    without words cost no budget and stay once. Each row is taken or left by itself, whether its id is null, repeated or
+    neither; without an id its place is that of its text."""
+    named = docs.withColumn("__name", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string"))))
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    plan = mix(docs).select("doc_id", copies.alias("__copies")).filter("__copies > 0").groupBy("doc_id").agg(F.max("__copies").alias("__copies"))
-    return docs.join(plan, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+    taken = mix(named, id_col="__name", keep=tuple(docs.columns)).select("row", copies.alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

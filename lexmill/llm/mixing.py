@@ -47,18 +47,21 @@ def source_targets(sizes: DataFrame, p: Params) -> DataFrame:
     return levels.select("source", "n", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row; taken counts the words of each epoch, and the document
-    at a source's cut gives just the words that the budget, the rounded target, still lacks.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", params: Params = Params(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row, and with keep a struct `row` of these columns; taken
+    counts the words of each epoch, and the document at a source's cut gives just the words that the budget, the rounded
+    target, still lacks.
 
     Null and empty texts have size 0 and are taken for nothing. A null source is a source of its own, last in order.
     Rows without an id have the key of the empty string; repeated ids share a key and follow one another. Reruns agree,
-    whatever the partitions. Other columns are not read. An empty table gives no rows.
+    whatever the partitions; with keep, ties go by a hash of its columns. Other columns are not read. An empty table gives
+    no rows.
     """
     p = params
     spread = F.md5(F.concat(F.lit(f"{p.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     key = F.conv(F.substring(spread, 1, KEY_BITS // 4), 16, 10).cast("long")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"), key.alias("key"))
+    kept = [F.struct(*keep).alias("row"), F.xxhash64(*keep).alias("tie")] if keep else []
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"), key.alias("key"), *kept)
     sizes = materialize(source, "sizes")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     plan = source_targets(sizes, p).withColumn("budget", budget).withColumn("buckets", F.ceil(F.col("n") / p.bucket_rows).cast("long"))
@@ -78,10 +81,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = placed(materialize(cuts, "cuts"))
     epochs = F.col("epochs") * F.col("size")
     clear = rows.filter("bucket <> cut").withColumn("taken", epochs + F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(0))
-    until = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy("source").orderBy("key", "doc_id", "size", *(["tie"] if keep else [])).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(until), F.lit(0))
     edge = rows.filter("bucket = cut").withColumn("taken", epochs + F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), *(["row"] if keep else [])]
     return clear.select(*columns).unionByName(edge.select(*columns))
 
 

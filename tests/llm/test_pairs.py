@@ -1,11 +1,13 @@
 """Decontamination, mixing and the pipeline."""
 
+import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, mixing
+from lexmill.llm import decontaminate, mixing, toxicity
 
 
 def words_of(text):
@@ -103,3 +105,62 @@ def test_pipeline(spark):
     assert at.count() == before.count()
     for r in at.collect():
         assert r.n_tokens == len(tokenizer.encode(text[r.doc_id], add_special_tokens=False).ids) + 1
+
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def test_stage_near_dedup_by_rows(spark):
+    import corpus_pipeline
+
+    a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    near = lambda w: " ".join([*w[:30], "changed", *w[31:]])
+    a, b, c, d, near_a, near_d = *map(" ".join, (a, b, c, d)), near(a), near(d)
+    rows = [(None, a), (None, a), (None, near_a), (7, b), (7, b), (7, c), (7, near_d), (3, d), (None, None), (None, ""), (9, ""), (9, ""), (None, "one"), (4, "one"), (None, "two")]
+    docs = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text if r.text != near_a else a) for r in kept.collect())
+    assert got == Counter([(None, a), (7, b), (7, c), (3, d), (None, None), (None, ""), (9, ""), (9, ""), (4, "one"), (None, "two")])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), "").collect()))
+
+
+def test_stage_mixing_by_rows(spark):
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else 5 if i % 7 == 0 else i, " ".join([f"w{i}"] * (i * 5 % 90)), ["big", "big", "mid", None][i % 4]) for i in range(240)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    sizes: Counter = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want: Counter = Counter()
+    for s, target in targets(sizes).items():
+        name = lambda r: f"text:{hashed[r[1]]}" if r[0] is None else str(r[0])
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"mix:{name(r)}".encode()).hexdigest()[:15], name(r), len(r[1].split())))
+        epochs, rest = divmod(int(target + 0.5), sizes[s])
+        for r in own:
+            n = len(r[1].split())
+            want[r] += epochs + (rest > 0) if n else 1
+            rest -= n
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter(tuple(r) for r in got.collect()) == +want
+
+
+def test_stage_toxicity_by_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, labels = [], []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        rows.append((i, " ".join([f"word{(i * k) % 83}" for k in range(1, 25)] + [f"bad{i % 4}"] * toxic), "s"))
+        labels.append((i, toxic))
+    rows += [(None, f"word{i} word2 {'bad1' if i % 2 else 'word3'}", "s") for i in range(20)] + [(1, f"word{i} word9 {'bad2' if i % 2 else 'word4'}", "t") for i in range(6)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    model.prepare()
+    want = Counter(r for r in rows if model.score((r[1] or "").encode()) < 0.5)
+    assert Counter(tuple(r) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()) == want
+    assert 0 < sum(n for r, n in want.items() if r[0] is None) < 21
