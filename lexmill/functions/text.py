@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -28,6 +29,14 @@ STOP_WORDS = tuple(
 #: Characters that NFKC leaves alone whatever stands beside them; anything else sends the string to the normaliser.
 PLAIN = r"\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-ıĴ-ľŁ-ňŊ-ž‐‒-―‘-‟†-•′‹›€"
 
+# Classes ask first whether a character is plain ASCII, which settles most of them.
+ODD = rf"[[^\x00-\x7E]&&[^{PLAIN}]]"
+_WHITE = r"\t-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"  # white space but the blank
+_SPACE = rf"[[^\x21-\x7E]&&[ {_WHITE}]]"
+_OTHER_SPACE = rf"[[^\x20-\x7E]&&[{_WHITE}]]"
+WORD = rf"[\x21-\x7E[[^\x20-\x7E]&&[^{_WHITE}]]]+"
+WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
@@ -36,10 +45,17 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Unicode NFKC. Strings of plain characters stay in the JVM; the Arrow function sees nulls in their place."""
-    odd = c.rlike(f"[^{PLAIN}]")
+    odd = c.rlike(ODD)
     return F.when(odd, _nfkc(F.when(odd, c))).otherwise(c)
 
 
+def by_form(df: DataFrame, text: str, make: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """make(rows, compatibility) over the rows of df whose text NFKC leaves alone and over the others, united: only the
+    others meet an Arrow operator, and plain rows are never buffered for it."""
+    odd = F.coalesce(F.col(text).rlike(ODD), F.lit(False))
+    return make(df.filter(~odd), False).unionByName(make(df.filter(odd), True))
+
+
 def lower_tr(c: Column, compatibility: bool = True) -> Column:
     """Lower case by Turkish rules. compatibility=False leaves out NFKC, for text known to be in that form."""
     base = nfkc(c) if compatibility else c
@@ -52,7 +68,7 @@ def fold_tr(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, f" {_SPACE}+|{_OTHER_SPACE}{_SPACE}*", " "))
 
 
 def normalize_tr(c: Column, compatibility: bool = True) -> Column:
@@ -61,8 +77,9 @@ def normalize_tr(c: Column, compatibility: bool = True) -> Column:
 
 def tokens_of(normalized: Column, stop_words: bool = True) -> Column:
     """Tokens of a normalised column; with stop_words, none of STOP_WORDS and none of one character."""
-    found = F.regexp_extract_all(normalized, F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)) if stop_words else found
+    if not stop_words:
+        return F.regexp_extract_all(normalized, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(F.regexp_extract_all(normalized, F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def tokenize_tr(c: Column, stop_words: bool = True, compatibility: bool = True) -> Column:
@@ -71,16 +88,16 @@ def tokenize_tr(c: Column, stop_words: bool = True, compatibility: bool = True)
 
 def words_of(c: Column) -> Column:
     """Words between white space; null gives null, blank an empty array."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit(r"(?U)[^\s]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lines_of(c: Column) -> Column:

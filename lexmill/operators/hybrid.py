@@ -87,8 +87,10 @@ def search(chunks: DataFrame, index: sparse.SparseIndex, vectors: DataFrame, que
     top = sparse.topk(sparse.score(index, asked), p.candidates)
     near = dense.rank_vectors(vectors, queries, p.candidates)
     fused = fuse(sparse.fill(top, tokens, index.docs, p.candidates), near, p)
-    about = chunks.select(F.col("pos").alias("doc_id"), F.col("url").alias("source"), "job_form", tokenize_tr(F.coalesce("title", F.lit(""))).alias("title_tokens"))
-    found = order(fused.join(tokens, "query_id").join(about, "doc_id"), p).drop("query_tokens", "title_tokens")
+    # Only the titles of candidates are tokenised.
+    about = chunks.select(F.col("pos").alias("doc_id"), F.col("url").alias("source"), "job_form", F.coalesce("title", F.lit("")).alias("__title"))
+    candidates = fused.join(tokens, "query_id").join(about, "doc_id").withColumn("title_tokens", tokenize_tr(F.col("__title"))).drop("__title")
+    found = order(candidates, p).drop("query_tokens", "title_tokens")
     sides = found.join(vectors, "doc_id", "left").join(queries.select("query_id", F.col("vector").alias("__asked")), "query_id", "left")
     product = F.aggregate(F.zip_with("vector", "__asked", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return sides.withColumn("cosine", F.round(product, 6)).drop("vector", "__asked"), gate(queries, top, near, p)

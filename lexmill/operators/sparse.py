@@ -1,6 +1,6 @@
 """BM25 over an inverted index kept as DataFrames.
 
-postings(term, doc_id, tf, dl), terms(term, df, idf) and the documents' ids. Texts are tokenised once, when postings
+postings(term, doc_id, tf, dl), terms(term, df, idf), the documents' ids and two facts of the corpus. Texts are tokenised once, when postings
 are written; all else comes from their columns. Scoring joins query terms with postings, so that only documents that
 share a term with a query are touched.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import tokenize_tr
+from lexmill.functions.text import by_form, tokenize_tr
 from lexmill.schema import Bm25Params
 from lexmill.storage import materialize
 
@@ -23,34 +23,41 @@ class SparseIndex:
     postings: DataFrame  # term, doc_id, tf, dl
     terms: DataFrame  # term, df, idf
     docs: DataFrame  # doc_id
+    facts: DataFrame  # one row: n documents, mean tokens of a document (null without documents)
     params: Bm25Params = Bm25Params()
 
     def save(self, path: str) -> None:
-        """Postings are ordered by term within files, so that a scan for some terms skips row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        """Postings are ordered by term and document within and over files, so that a scan for some terms skips row
+        groups and the postings of a frequent term fill as many files as they need."""
+        n = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = self.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        for name, table in (("postings", ordered), ("terms", self.terms), ("docs", self.docs), ("facts", self.facts)):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, params: Bm25Params = Bm25Params()) -> SparseIndex:
-        return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "docs")), params)
+        return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "docs", "facts")), params)
 
 
 def build(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], params: Bm25Params = Bm25Params(), stop_words: bool = True) -> SparseIndex:
     """An index over the columns of text_cols, joined by spaces. Null texts count as empty: such rows have no
     postings but do count among the documents."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    tokens = docs.select(F.col(id_col).alias("doc_id"), tokenize_tr(text, stop_words).alias("tokens"))
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    tokens = by_form(source, "text", lambda df, odd: df.select("doc_id", tokenize_tr(F.col("text"), stop_words, odd).alias("tokens")))
     terms = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = materialize(terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), "postings")
     ids = docs.select(F.col(id_col).alias("doc_id"))
-    return SparseIndex(postings, inverse_frequencies(postings, ids, params), ids, params)
+    counted = ids.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("all")))  # a row each
+    facts = materialize(counted.select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("mean")), "facts")
+    return SparseIndex(postings, materialize(inverse_frequencies(postings, facts, params), "terms"), ids, facts, params)
 
 
-def inverse_frequencies(postings: DataFrame, ids: DataFrame, params: Bm25Params) -> DataFrame:
+def inverse_frequencies(postings: DataFrame, facts: DataFrame, params: Bm25Params) -> DataFrame:
     """(term, df, idf). Terms of more than half the documents get epsilon times the mean of all idf."""
-    n = ids.agg(F.count("*").alias("n")).scalar()
+    n = facts.select("n").scalar()
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = materialize(raw, "frequencies")
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, params.epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
@@ -71,7 +78,7 @@ def score(index: SparseIndex, queries: DataFrame) -> DataFrame:
     p = index.params
     wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighted = wanted.join(index.terms.select("term", "idf"), "term")
-    mean = index.postings.agg(F.sum("tf").alias("all")).scalar() / index.docs.agg(F.count("*").alias("n")).scalar()
+    mean = index.facts.select("mean").scalar()
     tf, norm = F.col("tf"), p.k1 * (1 - p.b + p.b * F.col("dl") / mean)
     part = F.col("qtf") * F.col("idf") * tf * (p.k1 + 1) / (tf + norm)
     return weighted.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import normalize_tr, tokenize_tr, word_count
+from lexmill.functions.text import by_form, normalize_tr, tokenize_tr, tokens_of, word_count
 from lexmill.operators import answers, dense, evaluation, hybrid, sparse
 from lexmill.plans.tables import bm25_sql, dense_sql, lower_sql, norm_sql, strip_sql, table, tokens_sql, words_sql
 from lexmill.schema import SearchParams
+from lexmill.storage import fresh_path
 
 # A synonym table for the driver's invented words.
 SYNONYMS = {"the": ["and", "of"], "in": ["on"], "nicht": ["auch", "sich"], "est": ["la"]}
@@ -29,8 +30,17 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
+_INDEXES: dict[tuple[str, str], sparse.SparseIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> sparse.SparseIndex:
-    return sparse.build(table(spark, sf_dir, "documents"), "doc_id", ("text",))
+    """The index of a folder's documents, built and saved once an application: queries share it, as users would."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = fresh_path(spark, "index")
+        sparse.build(table(spark, sf_dir, "documents"), "doc_id", ("text",)).save(path)
+        _INDEXES[key] = sparse.SparseIndex.load(spark, path)
+    return _INDEXES[key]
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
@@ -39,8 +49,12 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
 
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, distinct tokens, words and the normalised length of every document."""
-    docs = table(spark, sf_dir, "documents").withColumn("norm", normalize_tr(F.col("text")))
-    tokens = docs.select("doc_id", F.length("norm").cast("long").alias("n_norm"), tokenize_tr(F.col("text")).alias("t"), word_count(F.col("text")).alias("n_words"))
+
+    def told(docs: DataFrame, odd: bool) -> DataFrame:
+        normal = docs.select("doc_id", "text", normalize_tr(F.col("text"), odd).alias("norm"))
+        return normal.select("doc_id", F.length("norm").cast("long").alias("n_norm"), tokens_of(F.col("norm")).alias("t"), word_count(F.col("text")).alias("n_words"))
+
+    tokens = by_form(table(spark, sf_dir, "documents"), "text", told)
     return tokens.select("doc_id", "n_norm", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), "n_words")
 
 

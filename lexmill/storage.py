@@ -1,4 +1,4 @@
-"""Intermediate tables that outlive executors."""
+"""Intermediate tables that outlive executors, and inputs dealt out over all cores."""
 
 from __future__ import annotations
 
@@ -6,25 +6,81 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a local folder where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local(spark)).rstrip("/")
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a local folder of the application if
+    the master is local, as in tests; on a cluster an error, since executors would not see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
+        _LOCAL[spark.sparkContext.applicationId] = found
+    return found.rstrip("/")
 
 
-_folders: dict[str, str] = {}
+_LOCAL: dict[str, str] = {}
 
 
-def _local(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        _folders[app] = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
-    return _folders[app]
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, no block lives on an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more; other frames are passed over."""
+    for df in frames:
+        if path := getattr(df, "_lexmill_path", None):
+            remove(df.sparkSession, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Puts the folder `new` in the place of `path` by renames: what stood there stays whole until `new` is written,
+    and comes back if the second rename fails."""
+    target, fs = _hadoop(spark, path)
+    old = _hadoop(spark, f"{path}.old-{uuid.uuid4().hex}")[0]
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(_hadoop(spark, new)[0], target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"cannot move {new} to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read from fewer files than there are cores and its row groups keep less than half
+    of them busy; any other df as it is. Only footers are read to tell."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 2 * busy < cores else df
