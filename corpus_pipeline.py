@@ -7,12 +7,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import materialize
+from lexmill.llm.common import table
 from lexmill.llm.decontaminate import benchmark_hits
 from lexmill.llm.mixing import mix
 from lexmill.llm.near_dedup import first_documents
 from lexmill.llm.sstable import read_token_ids, write_token_ids
 from lexmill.llm.toxicity import score_toxicity
+from lexmill.storage import materialize
 
 #: Some stages cannot be said in SQL.
 ORACLE_SQL = None
@@ -62,7 +63,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

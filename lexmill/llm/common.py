@@ -1,56 +1,49 @@
-"""What the operators of this subpackage share: durable intermediates, Arrow row loops, word hashing."""
+"""What the operators of this subpackage share: Arrow row loops, word hashing, columns computed from texts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-M64 = (1 << 64) - 1
-
-
-# ---------------------------------------------------------------- durable intermediates
+from lexmill.storage import spread
 
+M64 = (1 << 64) - 1
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _LOCAL.setdefault(spark.sparkContext.applicationId, found)
-        found = _LOCAL[spark.sparkContext.applicationId]
-    return found.rstrip("/")
 
+# ---------------------------------------------------------------- tables and files
 
-_LOCAL: dict[str, str] = {}
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table over all cores, however few row groups it has."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def filesystem(uri: str):
+    from pyarrow.fs import FileSystem
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lexmill_path = path
-    return out
+    return FileSystem.from_uri(uri)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Deletes materialised tables that nothing reads any more."""
-    for df in frames:
-        if path := getattr(df, "_lexmill_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def replacing(uri: str):
+    """A stream to a file of the shared folder that appears whole, in the place of what an earlier attempt of the task
+    left."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(tmp) as out:
+        yield out
+    try:
+        fs.delete_file(path)
+    except FileNotFoundError:
+        pass
+    fs.move(tmp, path)
 
 
 # ---------------------------------------------------------------- Arrow row loops

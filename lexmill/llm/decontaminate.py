@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ALNUM, append, map_rows, materialize, ngrams, signed, word_hashes
+from lexmill.llm.common import ALNUM, append, map_rows, ngrams, signed, table, word_hashes
+from lexmill.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -187,7 +188,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    hits = benchmark_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     return hits.select("doc_id", F.col("hit_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_items") > 0).alias("contaminated"))
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lexmill.llm.common import ALNUM, append
+from lexmill.llm.common import ALNUM, append, table
 
 # Phrase and label of the base scan.
 PHRASES = {
@@ -127,4 +127,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_licenses(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lexmill.llm.common import append
+from lexmill.llm.common import append, table
 from lexmill.llm.jpeg import UNIT, Image, encode
 
 
@@ -54,4 +54,4 @@ def decode_media(images: DataFrame, media_col: str = "media", keep: tuple[str, .
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
-    return decode_media(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), keep=("doc_id", "n_bytes"))
+    return decode_media(encode_media(table(spark, sf_dir, "documents")), keep=("doc_id", "n_bytes"))

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import count_words, materialize
+from lexmill.llm.common import count_words, table
+from lexmill.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def op8_mix_to_weights(spark, sf_dir: str) -> DataFrame:
-    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = mix(table(spark, sf_dir, "documents"))
     return out.withColumn("target", F.round("target", 6))
 
 

@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACED, constants, discard, map_rows, materialize, ngrams, signed, splitmix, word_hashes
+from lexmill.llm.common import SPACED, constants, map_rows, ngrams, signed, splitmix, table, word_hashes
+from lexmill.storage import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -377,7 +378,7 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 #: Shingle overlaps counted exactly, links closed by recursion.

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.storage import spread
+from lexmill.llm.common import table
 
 CHUNK = 256
 #: Stands around matches; where a text holds it, OTHER takes its place, which no pattern matches either.
@@ -373,7 +373,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
-    found = find_personal_data(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    found = find_personal_data(table(spark, sf_dir, "documents"))
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     def count(kind: str) -> Column:

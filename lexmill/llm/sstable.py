@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import fresh_path, map_rows, materialize
+from lexmill.llm.common import filesystem, map_rows, replacing, table
+from lexmill.storage import fresh_path, materialize
 
 MAGIC = b"LXSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQIBB8s")
@@ -69,12 +70,6 @@ def probes_of(key: bytes, bits: int, probes: int) -> list[int]:
     return [(a + i * b * 0x9E3779B1) % bits for i in range(probes)]
 
 
-def filesystem(uri: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri)
-
-
 def write_shard(uri: str, entries: Iterator[tuple[bytes, bytes]], width: int) -> tuple[int, int, int]:
     """Writes (key, value) entries, in key order, under a temporary name and moves the whole file into place.
     Documents, ids and bytes written."""
@@ -304,5 +299,5 @@ def read_token_ids(manifest: DataFrame, shards: int | None = None) -> DataFrame:
 def op10_sstable(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return read_token_ids(write_token_ids(docs, public_tokenizers.path("word_bpe_49k.json")))

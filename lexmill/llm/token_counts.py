@@ -14,7 +14,7 @@ import re
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from lexmill.llm.common import append
+from lexmill.llm.common import append, table
 
 SPACE = "▁"
 PRETOKEN = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
@@ -86,4 +86,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_counts(table(spark, sf_dir, "documents"))

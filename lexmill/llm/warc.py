@@ -1,9 +1,10 @@
 """WARC derivative builder: response records to linked metadata and plain-text conversion records.
 
-Records are rows; deriving is a narrow projection followed by one explode, without a shuffle. Patterns are built-in
-functions; links and character references are read in one Arrow step. Both derivatives of a response refer to it by its identifier, target and date, name each
-other as concurrent, and keep its HTTP headers and digests. `write_warc` and `read_warc` turn rows into gzipped
-WARC/1.1 files and back, a record a gzip member.
+Responses are read from gzipped WARC/1.1 files record by record (`write_warc`, `read_warc`), each a gzip member, so that
+memory holds one record whatever the file's size. Deriving is a narrow projection followed by one explode, without a
+shuffle. Title, text and links of a page are read in one Arrow step, in time that grows with the page, also for broken
+pages. Both derivatives of a response refer to it by its identifier, target and date, name each other as concurrent,
+and keep its HTTP headers and digests.
 """
 
 from __future__ import annotations
@@ -12,34 +13,35 @@ import gzip
 import html.entities
 import io
 import re
-import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from lexmill.llm.common import fresh_path, map_rows
+from lexmill.llm.common import filesystem, map_rows, replacing, table
+from lexmill.storage import fresh_path, materialize
 
 FIELDS = ["page_id", "warc_type", "record_id", "concurrent_to", "refers_to", "refers_to_uri", "refers_to_date", "target_uri", "warc_date", "content_type", "source_headers", "source_payload_digest", "block_digest", "content_length", "block"]
 
-# Patterns that Java's and RE2's regular expressions read alike.
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<noscript\b.*?</noscript[^>]*>"
-BREAKS = r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|header|footer|nav|aside|title|head|body|html|main|form|blockquote|pre)\b[^>]*>"
-TAGS = r"</?[A-Za-z!][^>]*>"
-BLANK_LINES = r"[ \t\r\f\x0B]*\n[ \t\r\n\f\x0B]*"
-BLANKS = r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]"
-TITLE = r"(?is)<title[^>]*>(.*?)</title[^>]*>"
-# What OP3_SQL knows of links and entities, & last: quoted values without quotes in them, and seven names.
-SQL_LINKS = r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["']"""
-SQL_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-# The first href of an anchor, with its quotes: other attributes are passed over whole, so that what looks like one in
-# their values does not count.
+# Elements that are not shown, and those that stand on lines of their own.
+HIDDEN = ("script", "style", "noscript")
+BREAKING = "p br div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table article section header footer nav aside title head body html main form blockquote pre".split()
+
+OPENERS = re.compile(rf"<(?:!--|({'|'.join(HIDDEN)})\b)", re.IGNORECASE | re.ASCII)
+CLOSERS = {k: re.compile(rf"</{k}[^>]*>", re.IGNORECASE) for k in HIDDEN} | {"": re.compile("-->")}
+BREAKS = re.compile(rf"</?(?:{'|'.join(BREAKING)})\b[^>]*>", re.IGNORECASE | re.ASCII)
+TAGS = re.compile(r"</?[A-Za-z!][^>]*>")
+TITLE = re.compile(r"<title[^>]*>", re.IGNORECASE), re.compile(r"</title[^>]*>", re.IGNORECASE)
+BLANKS, BLANK_LINES = re.compile(r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]"), re.compile(r" ?\n[ \n]*")
+
+# An anchor with its attributes, each passed over whole, so that what looks like one in a value does not count.
 VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
-LINKS = re.compile(rf"<a(?=[\s/])(?:[\s/]*+(?!href[\s/>=])[^\s/>=]++(?:\s*+=\s*+{VALUE})?+)*+[\s/]*+href\s*+=\s*+({VALUE})", re.ASCII | re.IGNORECASE)
+ANCHOR = re.compile(rf"<a(?=[\s/])((?:[\s/]*+[^\s/>=]++(?:\s*+=\s*+{VALUE})?+)*+)", re.ASCII | re.IGNORECASE)
+ATTRIBUTE = re.compile(rf"([^\s/>=]++)(?:\s*+=\s*+({VALUE}))?+", re.ASCII)
 REFERENCES = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)([;=]?)")
 
 
@@ -77,29 +79,70 @@ def unescape(text: str | None) -> str | None:
 
 
 def hrefs(payload: str) -> list[str]:
-    """The href of each anchor that has one with a value, in order, quoted or not, decoded."""
-    values = (x[1:-1] if x[0] in "\"'" else x for x in LINKS.findall(payload))
-    return [REFERENCES.sub(in_attribute, x) if "&" in x else x for x in values]
+    """The href of each anchor whose first href has a value, in order, quoted or not, decoded."""
+    out = []
+    for attributes in ANCHOR.findall(payload):
+        x = next((v for k, v in ATTRIBUTE.findall(attributes) if k.lower() == "href"), "")
+        if x:
+            x = x[1:-1] if x[0] in "\"'" else x
+            out.append(REFERENCES.sub(in_attribute, x) if "&" in x else x)
+    return out
+
+
+def shown(page: str) -> str:
+    """page without comments and hidden elements that are closed. A kind that is not closed any more is not looked for
+    again."""
+    out, at, look, open_ = [], 0, 0, dict.fromkeys(CLOSERS, True)
+    while m := OPENERS.search(page, look):
+        kind = (m[1] or "").lower()
+        end = CLOSERS[kind].search(page, m.end()) if open_[kind] else None
+        if end:
+            out.append(page[at : m.start()])
+            at = look = end.end()
+        else:
+            open_[kind], look = False, m.end()
+        if not any(open_.values()):
+            break
+    return "".join(out) + page[at:]
+
+
+def tagged(page: str) -> tuple[str, str]:
+    """page up to its last >, and the rest, which holds no tag."""
+    end = page.rfind(">") + 1
+    return page[:end], page[end:]
+
+
+def squeezed(text: str) -> str:
+    return BLANK_LINES.sub("\n", BLANKS.sub(" ", text)).strip(" \n")
+
+
+def without_tags(page: str) -> str:
+    head, tail = tagged(page)
+    return TAGS.sub("", head) + tail
 
 
-@F.arrow_udf(StringType())
-def unescaped(x: pa.Array) -> pa.Array:
-    return pa.array(map(unescape, x.to_pylist()), pa.string())
+def plain_text(page: str) -> str:
+    """Visible text: hidden elements and comments dropped, block elements on lines of their own, all named and numeric
+    references decoded."""
+    head, tail = tagged(shown(page))
+    return squeezed(unescape(without_tags(BREAKS.sub("\n", head) + tail)))
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def links_of(x: pa.Array) -> pa.Array:
-    return pa.array(map(hrefs, x.to_pylist()), pa.list_(pa.string()))
+def title_of(page: str) -> str:
+    head, _ = tagged(page)
+    start = TITLE[0].search(head)
+    end = TITLE[1].search(head, start.end()) if start else None
+    return squeezed(unescape(without_tags(page[start.end() : end.start()]))) if end else ""
 
 
-def squeezed(x: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(x, BLANK_LINES, "\n"), BLANKS, " "), F.lit(" \n"))
+PAGE = StructType([StructField("title", StringType()), StructField("text", StringType()), StructField("links", ArrayType(StringType()))])
 
 
-def plain_text(page: Column) -> Column:
-    """Visible text: hidden elements and comments dropped, block elements on lines of their own, all
-    named and numeric entities decoded."""
-    return squeezed(unescaped(F.regexp_replace(F.regexp_replace(F.regexp_replace(page, HIDDEN, ""), BREAKS, "\n"), TAGS, "")))
+@F.arrow_udf(PAGE)
+def read_page(x: pa.Array) -> pa.Array:
+    pages = x.to_pylist()
+    columns = [pa.array([f(p or "") for p in pages], t) for f, t in ((title_of, pa.string()), (plain_text, pa.string()), (hrefs, pa.list_(pa.string())))]
+    return pa.StructArray.from_arrays(columns, names=PAGE.names)
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -119,11 +162,11 @@ def derive(found: DataFrame) -> DataFrame:
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     read = found.select("page_id", *[empty(c).alias(c) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")])
-    links = F.transform(links_of("payload"), lambda x: F.concat(F.lit("outlink: "), x, F.lit(" L a/@href")))
-    title = squeezed(unescaped(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), TAGS, "")))
-    fields = F.array_join(F.concat(F.array(F.concat(F.lit("title: "), F.translate(title, "\n", " ")), F.concat(F.lit("content-length: "), F.octet_length("payload").cast("string"))), links), "\r\n")
+    read = read.withColumn("page", read_page("payload"))
+    links = F.transform("page.links", lambda x: F.concat(F.lit("outlink: "), x, F.lit(" L a/@href")))
+    fields = F.array_join(F.concat(F.array(F.concat(F.lit("title: "), F.translate("page.title", "\n", " ")), F.concat(F.lit("content-length: "), F.octet_length("payload").cast("string"))), links), "\r\n")
     ids = [urn(F.concat_ws("|", F.lit(k), F.col("record_id"))) for k in ("metadata", "conversion")]
-    wide = read.select("*", fields.alias("fields"), plain_text(F.col("payload")).alias("text"), digest(F.col("payload")).alias("source"), ids[0].alias("m"), ids[1].alias("c"))
+    wide = read.select("*", fields.alias("fields"), F.col("page.text").alias("text"), digest(F.col("payload")).alias("source"), ids[0].alias("m"), ids[1].alias("c"))
 
     def record(kind: str, own: str, other: str, content: str, block: str) -> Column:
         b = F.col(block)
@@ -134,45 +177,70 @@ def derive(found: DataFrame) -> DataFrame:
     return kept.select(*FIELDS)
 
 
-HEADERS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "refers_to_uri"), ("WARC-Refers-To-Date", "refers_to_date"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
+# ---------------------------------------------------------------- files
 
+#: Fields of a record's header and the columns that hold them.
+HEADERS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "refers_to_uri"), ("WARC-Refers-To-Date", "refers_to_date"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("X-Page-Id", "page_id")]
+SOURCE_HEADER = "X-Source-Header"
+RECORD = ", ".join(f"{c} {'long' if c == 'page_id' else 'string'}" for _, c in HEADERS) + ", source_headers string, block string"
 
-def write_warc(records: DataFrame, directory: str | None = None) -> DataFrame:
-    """(path, records): one gzipped file for each partition that has rows. Files appear whole, under names that a
-    retried task writes anew. The result must be materialised once."""
+
+def as_records(found: DataFrame) -> DataFrame:
+    """Responses as records that write_warc takes: the block is the HTTP response."""
+    block = F.concat(F.coalesce("http_headers", F.lit("")), F.coalesce("payload", F.lit("")))
+    return found.select(F.lit("response").alias("warc_type"), "record_id", "target_uri", "warc_date", F.lit("application/http; msgtype=response").alias("content_type"), F.col("page_id").cast("long").alias("page_id"), block.alias("block"))
+
+
+def as_responses(records: DataFrame) -> DataFrame:
+    """The responses among records: (page_id, record_id, target_uri, warc_date, http_headers, payload). The headers end
+    with the first empty line; a block without one is all payload."""
+    at = F.locate("\r\n\r\n", F.col("block"))
+    head = F.when(at > 0, F.substring(F.col("block"), F.lit(1), at + 3)).otherwise("")
+    payload = F.when(at > 0, F.substring(F.col("block"), at + 4, F.char_length("block"))).otherwise(F.col("block"))
+    return records.filter("warc_type = 'response'").select("page_id", "record_id", "target_uri", "warc_date", head.alias("http_headers"), payload.alias("payload"))
+
+
+def write_warc(records: DataFrame, directory: str | None = None, file_bytes: int = 1 << 30) -> DataFrame:
+    """(path, records): gzipped files of each partition that has rows, a new one when the last reached file_bytes.
+
+    Columns of HEADERS, source_headers and block that records lacks, and null or empty ones, are left out of a record's
+    header; a null block is empty. Line ends in header values are written as %0D and %0A, and blanks at their ends are
+    lost when read. An empty table gives no files. Files appear whole, under names that a retried task writes anew."""
     directory = directory or fresh_path(records.sparkSession, "warc")
-    columns = [c for _, c in HEADERS] + ["source_headers", "block"]
+    wanted = [c for _, c in HEADERS] + ["source_headers", "block"]
+    source = records.select(*[F.col(c).cast("string") if c in records.columns else F.lit(None).cast("string").alias(c) for c in wanted])
 
     def make():
         part = TaskContext.get().partitionId()
 
+        def member(row) -> bytes:
+            text = lambda v: v.replace(b"\r", b"%0D").replace(b"\n", b"%0A")
+            lines = [b"WARC/1.1", *(name.encode() + b": " + text(v) for (name, _), v in zip(HEADERS, row, strict=False) if v)]
+            lines += [SOURCE_HEADER.encode() + b": " + text(x) for x in (row[-2] or b"").split(b"\r\n") if x]
+            block = row[-1] or b""
+            lines.append(b"Content-Length: %d" % len(block))
+            return gzip.compress(b"\r\n".join([*lines, b"", b""]) + block + b"\r\n\r\n", compresslevel=1, mtime=0)
+
         def run(rows):
-            from pyarrow.fs import FileSystem
-
-            first = next(rows, None)
-            if first is None:
-                return
-            fs, base = FileSystem.from_uri(directory)
-            fs.create_dir(base, recursive=True)
-            path, tmp, n = f"{base}/part-{part:06d}.warc.gz", f"{base}/{uuid.uuid4().hex}.tmp", 0
-            with fs.open_output_stream(tmp) as out:
-                for rest in ((first,), rows):
-                    for row in rest:
-                        lines = [f"{name}: {(v.decode() if isinstance(v, bytes) else v)}" for (name, _), v in zip(HEADERS, row, strict=False) if v not in (None, b"")]
-                        source = [f"X-Source-Header: {x}" for x in (row[-2] or b"").decode().split("\r\n") if x]
-                        out.write(gzip.compress("\r\n".join(["WARC/1.1", *lines, *source, "", ""]).encode() + (row[-1] or b"") + b"\r\n\r\n", compresslevel=1, mtime=0))
-                        n += 1
-            fs.move(tmp, path)
-            yield f"{directory}/part-{part:06d}.warc.gz", n
+            row, number = next(rows, None), 0
+            while row is not None:
+                path, n, size = f"{directory}/part-{part:06d}-{number:04d}.warc.gz", 0, 0
+                with replacing(path) as out:
+                    while row is not None and size < file_bytes:
+                        data = member(row)
+                        out.write(data)
+                        n, size, row = n + 1, size + len(data), next(rows, None)
+                yield path, n
+                number += 1
 
         return run
 
-    return map_rows(records.select(*columns), make, "path string, records long")
+    return materialize(map_rows(source, make, "path string, records long"), "warc_files")
 
 
-def parse_warc(data: bytes):
-    """(headers, block) of each record of an uncompressed WARC file; header names in lower case, repeats in lists."""
-    file = io.BytesIO(data)
+def parse_warc(file) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """(headers, block) of each record of an uncompressed WARC stream, one at a time; header names in lower case,
+    repeats in lists. A stream that ends within a record gives what there is of its block."""
     while line := file.readline():
         if not line.strip():
             continue
@@ -180,52 +248,89 @@ def parse_warc(data: bytes):
         while (line := file.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        yield headers, file.read(int(headers.get("content-length", ["0"])[0]))
+        length = headers.get("content-length", ["0"])[0]
+        yield headers, file.read(int(length) if length.isdigit() else 0)
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """(warc_type, record_id, refers_to, target_uri, warc_date, content_type, block_digest, headers, block) of every
-    record of the .warc and .warc.gz files of a folder, read by Spark; a file is one row and bounds memory."""
+def read_warc(spark, path: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Every record of the .warc and .warc.gz files of a folder, or of files(path), in the columns of RECORD. Tasks take
+    whole files and hold one record at a time. Fields that a record lacks are null, a page id that is no number too;
+    bytes of a block that are no UTF-8 become the replacement character. A folder without files gives no rows."""
+    if files is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path")  # contents are not read
+    key = HEADERS[-1][0].lower()
 
     def run(rows):
-        for name, content in rows:
-            for headers, block in parse_warc(gzip.decompress(content) if name.endswith(b".gz") else content):
-                one = lambda k: headers.get(k, [None])[0]  # noqa: E731, B023
-                yield one("warc-type"), one("warc-record-id"), one("warc-refers-to"), one("warc-target-uri"), one("warc-date"), one("content-type"), one("warc-block-digest"), "\r\n".join(f"{k}: {v}" for k, vs in headers.items() for v in vs), block
+        for (name,) in rows:
+            fs, at = filesystem(name.decode())
+            with fs.open_input_stream(at, compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw) if at.endswith(".gz") else raw, 1 << 20) as file:
+                for headers, block in parse_warc(file):
+                    values = [headers.get(k.lower(), [None])[0] for k, _ in HEADERS]
+                    number = headers.get(key, [""])[0]
+                    values[-1] = int(number) if re.fullmatch("-?[0-9]{1,18}", number) else None
+                    told = headers.get(SOURCE_HEADER.lower())
+                    yield *values, "\r\n".join(told) + "\r\n\r\n" if told else None, block.decode("utf-8", "replace")
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
-    return map_rows(files, lambda: run, "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, headers string, block binary")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return map_rows(files.select("path").repartition(width), lambda: run, RECORD)
 
 
 def op3_warc_derivatives(spark, sf_dir: str) -> DataFrame:
-    return derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    files = write_warc(as_records(responses(table(spark, sf_dir, "pages"))))
+    return derive(as_responses(read_warc(spark, files=files)))
+
+
+# ---------------------------------------------------------------- the same records in SQL
 
 
 def _sql() -> str:
+    """Written for RE2 and lists: the table of references is that of the standard library."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     crlf = "chr(13) || chr(10)"
+    names = {k: v.replace("\xa0", " ") for k, v in html.entities.html5.items()}
+    entities = f"ent as materialized (select map([{', '.join(map(q, names))}], [{', '.join(map(q, names.values()))}]) m)"
+    number = "case when lower(r[2:2]) = 'x' then ('0x' || rtrim(r[3:], ';'))::bigint else rtrim(r[2:], ';')::bigint end"
+    # r: the reference at the start of a piece behind an ampersand, p: the piece.
+    text_piece = f"""case when r = '' then '&' || p
+      when r[1] = '#' then replace(chr(({number})::int), chr(160), ' ') || p[len(r) + 1:]
+      else coalesce((select first(m[r[1:k]] || p[k + 1:] order by k desc) from (select unnest(range(2, len(r) + 1)) k) where m[r[1:k]] is not null), '&' || p) end"""
+    link_piece = f"""case when r = '' then '&' || p
+      when r[1] = '#' then chr(({number})::int) || p[len(r) + 1:]
+      when p[len(r) + 1:len(r) + 1] <> '=' and m[r] is not null then m[r] || p[len(r) + 1:] else '&' || p end"""
+
+    def decoded(source: str, keys: str, name: str, piece: str) -> str:
+        """CTE name(keys, x): column x of source with its references decoded."""
+        return f"""{name} as materialized (select {keys}, coalesce(string_agg(case when i = 1 then p else {piece} end, '' order by i), '') x
+  from (select *, regexp_extract(p, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)', 1) r from (select {keys}, unnest(string_split(x, '&')) p, generate_subscripts(string_split(x, '&'), 1) i from {source})), ent group by {keys})"""
 
-    def unescape(x):
-        for a, b in SQL_ENTITIES:
-            x = f"replace({x}, {q(a)}, {q(b)})"
-        return x
-
-    squeeze = lambda x: f"trim(regexp_replace(regexp_replace({x}, {q(BLANK_LINES)}, chr(10), 'g'), {q(BLANKS)}, ' ', 'g'), ' ' || chr(10))"
     drop = lambda x, pattern, to="''": f"regexp_replace({x}, {q(pattern)}, {to}, 'g')"
-    text = squeeze(unescape(drop(drop(drop("h", HIDDEN), BREAKS, "chr(10)"), TAGS)))
-    title = squeeze(unescape(drop(f"regexp_extract(h, {q(TITLE)}, 1)", TAGS)))
+    squeeze = lambda x: f"trim({drop(drop(x, '[ \t\r\f\v]{2,}|[\t\r\f\v]', q(' ')), ' ?\n[ \n]*', 'chr(10)')}, ' ' || chr(10))"
+    hidden = "(?is)<!--.*?-->|" + "|".join(rf"<{k}\b.*?</{k}[^>]*>" for k in HIDDEN)
+    text = drop(drop(drop("h", hidden), rf"(?i)</?(?:{'|'.join(BREAKING)})\b[^>]*>", "chr(10)"), "</?[A-Za-z!][^>]*>")
+    title = drop("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title[^>]*>', 1)", "</?[A-Za-z!][^>]*>")
+    value = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+    tags = rf"(?i)<a[\s/](?:[\s/]*[^\s/>=]+(?:\s*=\s*{value})?)*"
+    attribute = rf"([^\s/>=]+)(?:\s*=\s*({value}))?"
     make_urn = lambda x: "'<urn:uuid:' || " + " || '-' || ".join(f"substr(sha256({x}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
     return f"""
-with p as (select page_id, coalesce(url, '') u, coalesce(html, '') h from pages),
-r as (select *, {make_urn("'response|' || coalesce(page_id::varchar, '') || '|' || u || '|' || sha256(h)")} rid,
+with {entities},
+p as (select page_id, coalesce(url, '') u, coalesce(html, '') h from pages),
+r as materialized (select *, {make_urn("'response|' || coalesce(page_id::varchar, '') || '|' || u || '|' || sha256(h)")} rid,
   'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(h) || {crlf} || {crlf} headers from p),
-d as (select *, {make_urn("'metadata|' || rid")} m, {make_urn("'conversion|' || rid")} c, {text} tx,
-  array_to_string(['title: ' || replace({title}, chr(10), ' '), 'content-length: ' || strlen(h)] || list_transform(regexp_extract_all(h, {q(SQL_LINKS)}, 1), lambda x: 'outlink: ' || {unescape("x")} || ' L a/@href'), {crlf}) fl from r),
+u as (select distinct rid, h from r),
+{decoded(f"(select rid, {text} x from u)", "rid", "texts", text_piece)},
+{decoded(f"(select rid, {title} x from u)", "rid", "titles", text_piece)},
+a as (select rid, unnest(t) t, generate_subscripts(t, 1) n from (select rid, regexp_extract_all(h, {q(tags)}) t from u)),
+v as (select rid, n, list_filter(list_zip(regexp_extract_all(t[3:], {q(attribute)}, 1), regexp_extract_all(t[3:], {q(attribute)}, 2)), lambda y: lower(y[1]) = 'href')[1][2] x from a),
+{decoded("(select rid, n, case when x[1] in (chr(34), chr(39)) then x[2:-2] else x end x from v where x <> '')", "rid, n", "hrefs", link_piece)},
+links as (select rid, string_agg({crlf} || 'outlink: ' || x || ' L a/@href', '' order by n) x from hrefs group by 1),
+d as (select r.*, {make_urn("'metadata|' || rid")} m, {make_urn("'conversion|' || rid")} c, {squeeze("texts.x")} tx,
+  'title: ' || replace({squeeze("titles.x")}, chr(10), ' ') || {crlf} || 'content-length: ' || strlen(h) || coalesce(links.x, '') fl
+  from r join texts using (rid) join titles using (rid) left join links using (rid)),
 k as (select *, 'metadata' kind, m own, c other, 'application/warc-fields' ct, fl b from d union all select *, 'conversion', c, m, 'text/plain; charset=utf-8', tx from d)
 select page_id, kind warc_type, own record_id, other concurrent_to, rid refers_to, u refers_to_uri, '2024-01-01T00:00:00Z' refers_to_date, u target_uri, '2024-01-01T00:00:00Z' warc_date,
   ct content_type, headers source_headers, 'sha256:' || sha256(h) source_payload_digest, 'sha256:' || sha256(b) block_digest, strlen(b)::bigint content_length, b block from k
 """
 
 
-#: The same records for pages with no entities but SQL_ENTITIES and links that SQL_LINKS reads alike; SQL has no table of entities.
 OP3_SQL = _sql()

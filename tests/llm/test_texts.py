@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -243,3 +245,100 @@ def test_warc_references_and_links(spark):
     text = rows["conversion"].block
     assert text == "© Café éé\n· …x y &lt; ¬it; &bogus; AT&T\n123456"
     assert rows["conversion"].block_digest == f"sha256:{sha(text.encode())}" and rows["conversion"].content_length == len(text.encode())
+
+
+class Reader(HTMLParser):
+    """Title, lines of text and links by the standard library's tokenizer, for pages that are well formed."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.title, self.parts, self.links, self.hidden, self.titled = "", [], [], 0, False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript")
+        self.titled |= tag == "title"
+        self.parts.append("\n" if tag in warc.BREAKING else "")
+        if tag == "a":
+            self.links += [v.replace("\n", "") for k, v in attrs if k == "href" and v][:1]
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript")
+        self.titled &= tag != "title"
+        self.parts.append("\n" if tag in warc.BREAKING else "")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data.replace("\xa0", " "))
+            self.title += data if self.titled else ""
+
+    def text(self):
+        return "\n".join(x for line in "".join(self.parts).split("\n") if (x := re.sub("[ \\t\\r\\f\\v]+", " ", line).strip(" ")))
+
+
+def test_warc_pages_against_a_parser():
+    rng = np.random.default_rng(8)
+    bits = ["<p>", "</p>", "<br>", "word ", "&copy;", "&#233; ", "&lt;b&gt;", "\t two  blanks ", "\n\n", "<b class='x'>", "</b>", "<a href='/u?a=1&amp;b=2'>l</a>", '<a id="x" HREF="q&#38;r">m</a>', "<a href=plain>n</a>", "<a title='href=no'>o</a>", "<script>var x = '<p>';</script>", "<style>p{}</style>", "<!-- <p>gone --> ", "<div>", "</div>", "<li>é🙂"]
+    for _ in range(300):
+        page = "<html><head><title>T &amp; é</title></head><body>" + "".join(bits[i] for i in rng.integers(0, len(bits), 30)) + "</body></html>"
+        want = Reader(page)
+        assert (warc.title_of(page), warc.plain_text(page), warc.hrefs(page)) == (want.title, want.text(), want.links), page
+
+
+def test_warc_broken_pages():
+    """Broken pages take time in proportion to their length, and lose no text."""
+    for piece in ("<!-- ab ", "<script>a ", "<a ", "<title", "<p", "</p", "<a x=\" y=' href=z>", "&", "<!-- <script <style> </script> "):
+        page = piece * (1_000_000 // len(piece))
+        began = time.time()
+        warc.title_of(page), warc.plain_text(page), warc.hrefs(page)
+        assert time.time() - began < 10, piece
+    assert warc.plain_text("<!-- a <p>b<script>c</script>d <!-- e --> f") == "f"
+    assert warc.plain_text("a <script>b <!-- c --> d <p>e") == "a b d\ne"
+    assert warc.plain_text("x < y <b") == "x < y <b" and warc.title_of("<title>a") == "" and warc.title_of("<TITLE x>a<b>b</title>") == "ab"
+
+
+def test_warc_files(spark, tmp_path):
+    rows = [(1, "http://a/?x= é", "<p>ü\r\n\r\nsecond</p>"), (2, None, None), (3, "http://b/\r\nX-Evil: 1", ""), (3, "http://b/", ""), (None, "", "z"), (4, "http://c", "word " * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash")).repartition(3)
+    responses = warc.responses(pages)
+    files = warc.write_warc(warc.as_records(responses), f"file://{tmp_path}/r", file_bytes=100)
+    assert files.agg(F.sum("records")).first()[0] == 6 and files.count() > 3
+    kept = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    back = warc.as_responses(warc.read_warc(spark, f"file://{tmp_path}/r"))
+    same = ["page_id", "record_id", "warc_date", "http_headers", "payload"]
+    assert kept(back, *same) == kept(responses, *same)
+    assert {r.target_uri for r in back.collect()} == {"http://a/?x= é", None, "http://b/%0D%0AX-Evil: 1", "http://b/", "http://c"}
+    derived = warc.derive(back)
+    again = warc.read_warc(spark, files=warc.write_warc(derived, f"file://{tmp_path}/d"))
+    same = [c for c in warc.FIELDS if c not in ("content_length", "target_uri", "refers_to_uri")]
+    assert kept(again, *same) == kept(derived, *same)
+    for r in again.collect():
+        assert r.block_digest == f"sha256:{sha(r.block.encode())}"
+    # Another reader finds a gzip member for each record, and the lengths in their headers.
+    for f in (tmp_path / "d").glob("*.warc.gz"):
+        data, at = f.read_bytes(), 0
+        while at < len(data):
+            d = zlib.decompressobj(31)
+            text = d.decompress(data[at:])
+            head, _, rest = text.partition(b"\r\n\r\n")
+            assert head.startswith(b"WARC/1.1\r\n") and rest[-4:] == b"\r\n\r\n"
+            assert int(re.search(rb"\r\nContent-Length: (\d+)$", head)[1]) == len(rest) - 4
+            at = len(data) - len(d.unused_data)
+    (tmp_path / "r" / "short.warc").write_bytes(b"\r\nWARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: x\r\nContent-Length: 99\r\n\r\ncut \xff off")
+    short = [r for r in warc.read_warc(spark, f"file://{tmp_path}/r").collect() if r.block.startswith("cut")]
+    assert [(r.page_id, r.block, r.source_headers) for r in short] == [(None, "cut \ufffd off", None)]
+    assert warc.write_warc(warc.as_records(responses.limit(0)), f"file://{tmp_path}/none").count() == 0
+
+
+def test_warc_against_sql(spark, tmp_path):
+    import duckdb
+
+    pages = [(1, "http://a/", "<title>&copy; A&amp;B</title><p>x &notit; &bogus; &#169;&nbsp;y</p><a class=b href=/u?a=1&copy=2&amp;b=&eacute;>2</a><a href=\"it's\">1</a>"), (2, None, None), (3, "u", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = warc.op3_warc_derivatives(spark, f"file://{tmp_path}")
+    want = con.execute(warc.OP3_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
