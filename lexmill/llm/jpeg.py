@@ -6,12 +6,16 @@ that byte (128..255 or -255..-128), so that no coefficient is zero. Entropy codi
 low bit; AC bands without it (luma 1-5 and 6-63, chroma 1-63), which is spectral selection; then the low bits, which is
 successive approximation. Codes are as short as their tables allow, and most scans have a single symbol.
 
-Reading: scans accumulate into coefficient arrays, whatever their Huffman tables; those of one symbol are read as
-arrays, others symbol by symbol. Planes come from an inverse transform in numpy, chroma is repeated to full size.
+Reading: scans accumulate into coefficient arrays. The symbol, its length and the next code's place are looked up for
+every bit of a scan at once, a walk over the places gives the symbols, and their values are taken as arrays; scans of a
+single symbol need no walk. Only refinements, whose bits depend on what stands already, go symbol by symbol. Restart
+intervals are read. Planes come from an inverse transform in numpy, chroma is repeated to full size. What is malformed,
+cut off or of another kind raises Unreadable.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
@@ -148,39 +152,55 @@ def huffman(counts: bytes, symbols: bytes) -> Huffman:
     return Huffman(symbol, length, only)
 
 
-class Bits:
-    """The entropy-coded data of a scan; reads bit by bit, or windows at every bit."""
+class Unreadable(ValueError):
+    """The reason why an image cannot be read."""
+
+
+def code_windows(data: bytes) -> np.ndarray:
+    """The 16 bits from each bit on, ones after the end."""
+    raw = np.frombuffer(data + b"\xff\xff\xff", dtype=np.uint8).astype(np.uint32)
+    three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+    return (three[: len(data), None] >> np.arange(8, 0, -1, dtype=np.uint32) & 0xFFFF).ravel()
+
+
+def bit_array(data: bytes, count: int) -> np.ndarray:
+    if count > 8 * len(data):
+        raise Unreadable("a scan is cut off")
+    return np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=-(-count // 8)))[:count]
 
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at = data, 0
 
-    def array(self, count: int) -> np.ndarray:
-        need = -(-count // 8)
-        return np.unpackbits(np.frombuffer(self.data, dtype=np.uint8, count=min(need, len(self.data))))[:count]
+def extended(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Values of `size` bits as signed numbers: those with a leading 0 are negative."""
+    return np.where((size > 0) & (raw >> np.maximum(size - 1, 0) == 0), raw - (1 << size) + 1, raw)
 
-    def windows(self) -> np.ndarray:
-        """The 16 bits from each bit on, ones after the end."""
-        raw = np.frombuffer(self.data + b"\xff\xff\xff", dtype=np.uint8).astype(np.uint32)
-        three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-        return (three[: len(self.data), None] >> np.arange(8, 0, -1, dtype=np.uint32) & 0xFFFF).ravel()
+
+class Bits:
+    """Entropy-coded data read bit by bit, for refinements."""
+
+    def __init__(self, data: bytes) -> None:
+        self.bits, self.at = np.unpackbits(np.frombuffer(data, dtype=np.uint8)).tolist(), 0
+        self.windows = code_windows(data).tolist()
 
     def take(self, n: int) -> int:
-        a, b = self.at >> 3, (self.at + n + 7) >> 3
-        word = int.from_bytes(self.data[a:b].ljust(b - a, b"\xff"), "big")
+        value = 0
+        if self.at + n > len(self.bits):
+            raise Unreadable("a scan is cut off")
+        for x in self.bits[self.at : self.at + n]:
+            value = value << 1 | x
         self.at += n
-        return word >> ((b << 3) - self.at) & ((1 << n) - 1)
+        return value
 
     def symbol(self, table: Huffman) -> int:
-        at = self.at
-        window = self.take(16)
-        self.at = at + int(table.length[window])
+        if self.at >= len(self.bits):
+            raise Unreadable("a scan is cut off")
+        window = self.windows[self.at]
+        n = int(table.length[window])
+        if not n:
+            raise Unreadable("a code that its table lacks")
+        self.at += n
         return int(table.symbol[window])
 
 
-def extend(value: int, size: int) -> int:
-    return value if size == 0 or value >> (size - 1) else value - (1 << size) + 1
-
-
 def scan_order(parts: list[Component], mcus: tuple[int, int]) -> list[tuple[Component, np.ndarray]]:
     """For an interleaved scan: each component with its block numbers, MCU by MCU."""
     down, across = np.indices(mcus).reshape(2, -1)
@@ -192,37 +212,35 @@ def scan_order(parts: list[Component], mcus: tuple[int, int]) -> list[tuple[Comp
     return out
 
 
-def dc_scan(parts, mcus, bits: Bits, tables, high: int, low: int) -> None:
-    if len(parts) == 1:
-        c = parts[0]
-        order = [(c, (np.arange(c.own[0])[:, None] * c.grid[1] + np.arange(c.own[1])).reshape(-1, 1))]
-    else:
-        order = scan_order(parts, mcus)
-    n = sum(x.size for _, x in order)
+def dc_scan(order: list[tuple[Component, np.ndarray]], data: bytes, tables, high: int, low: int) -> None:
+    """A restart interval: order has each component with its block numbers, a row an MCU."""
+    n, width = sum(x.size for _, x in order), sum(x.shape[1] for _, x in order)
     if high:
-        values = bits.array(n).astype(np.int16) << low
+        values = bit_array(data, n).astype(np.int16) << low
     else:
-        windows = bits.windows()
+        windows = code_windows(data)
         # Where the next code begins, from every bit, for each component of an MCU in turn.
         steps, kinds = {}, [i for i, (_, x) in enumerate(order) for _ in range(x.shape[1])]
-        for i, table in enumerate(tables):
+        for table in tables:
             if id(table) not in steps:
                 steps[id(table)] = (np.arange(len(windows)) + table.length[windows] + table.symbol[windows]).tolist()
         jumps, at, starts = [steps[id(tables[i])] for i in kinds], 0, []
-        for k in range(n):
-            starts.append(at)
-            at = jumps[k % len(jumps)][at]
-        starts = np.array(starts)
-        which = np.resize(np.array(kinds), n)
+        try:
+            for k in range(n):
+                starts.append(at)
+                at = jumps[k % len(jumps)][at]
+        except IndexError:
+            raise Unreadable("a scan is cut off") from None
+        starts, which = np.array(starts), np.resize(np.array(kinds), n)
         length, size = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for i, table in enumerate(tables):
             own = which == i
             length[own], size[own] = table.length[windows[starts[own]]], table.symbol[windows[starts[own]]]
+        if (length == 0).any() or (size > 11).any():
+            raise Unreadable("a code that its table lacks")
         windows = np.concatenate([windows, [0xFFFF]])
-        raw = windows[np.minimum(starts + length, len(windows) - 1)].astype(np.int64) >> (16 - size)
-        values = np.where((size > 0) & (raw >> np.maximum(size - 1, 0) == 0), raw - (1 << size) + 1, raw)
-    at, width = 0, sum(x.shape[1] for _, x in order)
-    values = values.reshape(-1, width)
+        values = extended(windows[np.minimum(starts + length, len(windows) - 1)].astype(np.int64) >> (16 - size), size)
+    at, values = 0, values.reshape(-1, width)
     for c, blocks in order:
         own = values[:, at : at + blocks.shape[1]]
         flat = c.values.reshape(-1, BLOCK)
@@ -233,94 +251,134 @@ def dc_scan(parts, mcus, bits: Bits, tables, high: int, low: int) -> None:
         at += blocks.shape[1]
 
 
-def ac_first(c: Component, bits: Bits, table: Huffman, a: int, b: int, low: int) -> None:
-    blocks = c.values[: c.own[0], : c.own[1]]
-    count = c.own[0] * c.own[1] * (b - a + 1)
+def ac_first(c: Component, blocks: np.ndarray, data: bytes, table: Huffman, a: int, b: int, low: int) -> None:
+    """A restart interval of a first scan; blocks are its block numbers in order."""
+    flat, count = c.values.reshape(-1, BLOCK), len(blocks) * (b - a + 1)
     if table.single and 0 < table.single[0] < 16:
         size, code = table.single
         if size + code == 8:
-            raw = np.frombuffer(bits.data, dtype=np.uint8, count=count) & ((1 << size) - 1)
+            if count > len(data):
+                raise Unreadable("a scan is cut off")
+            raw = np.frombuffer(data, dtype=np.uint8, count=count) & ((1 << size) - 1)
+        else:
+            raw = bit_array(data, count * (size + code)).reshape(count, -1)[:, code:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1))
+        flat[blocks, a : b + 1] = (extended(raw.astype(np.int16), np.int16(size)) * (1 << low)).reshape(len(blocks), -1)
+        return
+    windows = code_windows(data)
+    symbols, lengths = table.symbol[windows].astype(np.int64), table.length[windows].astype(np.int64)
+    runs, sizes = symbols >> 4, symbols & 15
+    more = np.where(sizes > 0, sizes, np.where(runs < 15, runs, 0))  # bits behind a code: of a value, or of a run of ends
+    after = (np.arange(len(windows)) + np.maximum(lengths, 1) + more).tolist()
+    at, starts = 0, []
+    while at < len(after):
+        starts.append(at)
+        at = after[at]
+    starts = np.array(starts, dtype=np.int64)
+    n, run, size, own = lengths[starts], runs[starts], sizes[starts], more[starts]
+    value = np.concatenate([windows, [0xFFFF]])[np.minimum(starts + n, len(windows))].astype(np.int64) >> (16 - own)
+    places, chosen, block, place, used = [], [], 0, a, 0
+    for r, s, v in zip(run.tolist(), size.tolist(), value.tolist(), strict=True):
+        if block >= len(blocks):
+            break
+        if s:
+            place += r
+            if place > b:
+                raise Unreadable("a coefficient outside its band")
+            places.append((block, place))
+            chosen.append(used)
+            place += 1
+        elif r == 15:
+            place += 16
         else:
-            rows = bits.array(count * (size + code)).reshape(count, -1)[:, code:]
-            raw = rows.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1))
-        raw = raw.astype(np.int16)
-        values = np.where(raw >> (size - 1) == 0, raw - (1 << size) + 1, raw)
-        sign = np.where(values < 0, -1, 1).astype(np.int16)
-        blocks[:, :, a : b + 1] = (sign * (np.abs(values) << low)).reshape(*c.own, -1)
+            block, place = block + (1 << r) + v, a
+        if place > b:
+            block, place = block + 1, a
+        used += 1
+    if block != len(blocks):
+        raise Unreadable("a scan is cut off")
+    if (n[:used] == 0).any():
+        raise Unreadable("a code that its table lacks")
+    if places:
+        where, chosen = np.array(places), np.array(chosen)
+        flat[blocks[where[:, 0]], where[:, 1]] = extended(value[chosen], size[chosen]) * (1 << low)
+
+
+def ac_refine(c: Component, blocks: np.ndarray, data: bytes, table: Huffman, a: int, b: int, low: int) -> None:
+    """A restart interval of a refinement; blocks are its block numbers in order."""
+    flat, n, one = c.values.reshape(-1, BLOCK), b - a + 1, 1 << low
+    if table.single and table.single[0] == 0 and (flat[blocks, a : b + 1] != 0).all():
+        more = bit_array(data, len(blocks) * (table.single[1] + n)).reshape(len(blocks), -1)[:, table.single[1] :].astype(np.int16) << low
+        now = flat[blocks, a : b + 1]
+        flat[blocks, a : b + 1] = now + np.where(now < 0, -more, more)
         return
-    skip = 0
-    for r in range(c.own[0]):
-        for k in range(c.own[1]):
-            if skip:
-                skip -= 1
-                continue
-            at = a
+    bits, skip = Bits(data), 0
+    for number in blocks.tolist():
+        block, at = flat[number].tolist(), a
+
+        def correct(at, block=block):
+            if bits.take(1) and not abs(block[at]) & one:
+                block[at] += one if block[at] > 0 else -one
+
+        while not skip and at <= b:
+            run, size = divmod(bits.symbol(table), 16)
+            value = 0
+            if size:
+                value = one if bits.take(1) else -one
+            elif run < 15:
+                skip = (1 << run) + (bits.take(run) if run else 0)
+                break
             while at <= b:
-                run, size = divmod(bits.symbol(table), 16)
-                if size:
-                    at += run
-                    blocks[r, k, at] = extend(bits.take(size), size) * (1 << low)
-                    at += 1
-                elif run == 15:
-                    at += 16
-                else:
-                    skip = (1 << run) + (bits.take(run) if run else 0) - 1
+                if block[at]:
+                    correct(at)
+                elif run == 0:
                     break
+                else:
+                    run -= 1
+                at += 1
+            if value:
+                if at > b:
+                    raise Unreadable("a coefficient outside its band")
+                block[at] = value
+            at += 1
+        if skip:
+            for x in range(at, b + 1):
+                if block[x]:
+                    correct(x)
+            skip -= 1
+        flat[number] = block
 
 
-def ac_refine(c: Component, bits: Bits, table: Huffman, a: int, b: int, low: int) -> None:
-    blocks, n, one = c.values[: c.own[0], : c.own[1]], b - a + 1, 1 << low
-    if table.single and table.single[0] == 0 and (blocks[:, :, a : b + 1] != 0).all():
-        code, count = table.single[1], c.own[0] * c.own[1]
-        more = bits.array(count * (code + n)).reshape(*c.own, -1)[:, :, code:].astype(np.int16) << low
-        now = blocks[:, :, a : b + 1]
-        blocks[:, :, a : b + 1] = now + np.where(now < 0, -more, more)
-        return
-
-    def correct(block, at):
-        if bits.take(1) and not abs(int(block[at])) & one:
-            block[at] += one if block[at] > 0 else -one
-
-    skip = 0
-    for r in range(c.own[0]):
-        for k in range(c.own[1]):
-            block, at = blocks[r, k], a
-            if not skip:
-                while at <= b:
-                    run, size = divmod(bits.symbol(table), 16)
-                    value = 0
-                    if size:
-                        value = one if bits.take(1) else -one
-                    elif run < 15:
-                        skip = (1 << run) + (bits.take(run) if run else 0)
-                        break
-                    while at <= b:
-                        if block[at]:
-                            correct(block, at)
-                        elif run == 0:
-                            break
-                        else:
-                            run -= 1
-                        at += 1
-                    if value and at <= b:
-                        block[at] = value
-                    at += 1
-            if skip:
-                for x in range(at, b + 1):
-                    if block[x]:
-                        correct(block, x)
-                skip -= 1
+SCAN_END = re.compile(rb"\xff(?![\x00\xd0-\xd7\xff])", re.DOTALL)
+RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
 
 
 class Image:
-    """A parsed progressive JPEG: coefficients of its components, quantisers, and the payload's number of blocks."""
+    """A parsed progressive JPEG: coefficients of its components, quantisers, and the payload's number of blocks (None
+    in images that encode() did not make)."""
 
     def __init__(self, data: bytes) -> None:
+        try:
+            self.parse(data)
+            if not self.components:
+                raise Unreadable("no frame")
+        except (IndexError, KeyError, TypeError, struct.error) as e:
+            raise Unreadable(f"cut off or malformed ({type(e).__name__})") from None
+        except Unreadable:
+            raise
+        except ValueError as e:  # of numpy, on segments that are too short
+            raise Unreadable(f"malformed: {e}") from None
+
+    def parse(self, data: bytes) -> None:
         self.quantisers: dict[int, np.ndarray] = {}
-        self.payload_blocks, tables, at = None, {}, 2
+        self.components: dict[int, Component] = {}
+        self.payload_blocks, tables, at, self.interval = None, {}, 2, 0
         if data[:2] != b"\xff\xd8":
-            raise ValueError("not a JPEG")
+            raise Unreadable("not a JPEG")
         while True:
+            if data[at] != 0xFF:
+                raise Unreadable("no marker where one must stand")
+            while data[at + 1] == 0xFF:
+                at += 1
             marker = data[at + 1]
             if marker == 0xD9:
                 break
@@ -337,42 +395,63 @@ class Image:
                     tables[body[0] >> 4, body[0] & 15] = huffman(bytes(body[1:17]), bytes(body[17 : 17 + n]))
                     body = body[17 + n :]
             elif marker == 0xC2:
-                self.frame(body)
-            elif marker in (0xC0, 0xC1, *range(0xC3, 0xD0)) and marker != 0xC4:
-                raise ValueError("only progressive Huffman frames are read")
-            elif marker == 0xDD and body != b"\x00\x00":
-                raise ValueError("restart intervals are not read")
+                self.frame(body, len(data))
+            elif marker in (0xC0, 0xC1, *range(0xC3, 0xD0)):
+                raise Unreadable("not a progressive Huffman frame")
+            elif marker == 0xDD:
+                self.interval = struct.unpack(">H", body)[0]
             elif marker == 0xEF and body.startswith(APP_NAME):
                 self.payload_blocks = struct.unpack_from(">Q", body, len(APP_NAME))[0]
             elif marker == 0xDA:
-                end = at
-                while data[(end := data.index(b"\xff", end)) + 1] == 0:
-                    end += 2
-                self.read_scan(body, Bits(data[at:end].replace(b"\xff\x00", b"\xff")), tables)
-                at = end
-
-    def frame(self, body: bytes) -> None:
-        _, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                end = SCAN_END.search(data, at)
+                if not end:
+                    raise Unreadable("a scan is cut off")
+                parts = [x.replace(b"\xff\x00", b"\xff") for x in RESTART.split(data[at : end.start()])]
+                self.read_scan(body, parts, tables)
+                at = end.start()
+
+    def frame(self, body: bytes, weight: int) -> None:
+        precision, self.height, self.width, n = struct.unpack_from(">BHHB", body)
         specs = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        if self.components or precision != 8 or n not in (1, 3) or not self.height or not self.width or any(not 1 <= x <= 4 for s in specs for x in s[1:3]):
+            raise Unreadable("a frame of another kind: 8 bits, one or three components and a height are read")
         self.across, self.down = max(s[1] for s in specs), max(s[2] for s in specs)
+        if any(self.across % s[1] or self.down % s[2] for s in specs):
+            raise Unreadable("sampling in fractions is not read")
         self.mcus = (-(-self.height // (8 * self.down)), -(-self.width // (8 * self.across)))
-        self.components = {}
+        if self.mcus[0] * self.mcus[1] > 8 * weight:  # a block takes a bit at least
+            raise Unreadable("larger than its data")
         for number, h, v, table in specs:
             grid = (self.mcus[0] * v, self.mcus[1] * h)
             own = (-(-self.height * v // (8 * self.down)), -(-self.width * h // (8 * self.across)))
             self.components[number] = Component(number, h, v, table, grid, own, np.zeros((*grid, BLOCK), dtype=np.int16))
 
-    def read_scan(self, head: bytes, bits: Bits, tables) -> None:
+    def read_scan(self, head: bytes, parts: list[bytes], tables) -> None:
         chosen = [(self.components[head[1 + 2 * i]], head[2 + 2 * i]) for i in range(head[0])]
-        a, b, low = head[-3], head[-2], head[-1] & 15
-        high, parts = head[-1] >> 4, [c for c, _ in chosen]
-        if a == 0:
-            dc_scan(parts, self.mcus, bits, [None if high else tables[0, t >> 4] for _, t in chosen], high, low)
+        a, b, high, low = head[-3], head[-2], head[-1] >> 4, head[-1] & 15
+        components = [c for c, _ in chosen]
+        if not chosen or b > 63 or a > b or low > 13 or (a == 0 and b > 0) or (a > 0 and len(chosen) > 1):
+            raise Unreadable("a scan of a kind that progressive frames lack")
+        if len(components) > 1:
+            order = scan_order(components, self.mcus)
         else:
-            (ac_refine if high else ac_first)(parts[0], bits, tables[1, chosen[0][1] & 15], a, b, low)
+            c = components[0]
+            order = [(c, (np.arange(c.own[0])[:, None] * c.grid[1] + np.arange(c.own[1])).reshape(-1, 1))]
+        units = len(order[0][1])
+        step = self.interval or units
+        if len(parts) != -(-units // step):
+            raise Unreadable("restart marks do not fit the interval")
+        for i, data in enumerate(parts):
+            some = [(c, x[i * step : (i + 1) * step]) for c, x in order]
+            if a == 0:
+                dc_scan(some, data, [None if high else tables[0, t >> 4] for _, t in chosen], high, low)
+            else:
+                (ac_refine if high else ac_first)(some[0][0], some[0][1].ravel(), data, tables[1, chosen[0][1] & 15], a, b, low)
 
     def payload(self) -> bytes:
         """The bytes that encode() stored."""
+        if self.payload_blocks is None or len(self.components) != 3:
+            raise Unreadable("holds no payload")
         y, cb, cr = (c.values for c in self.components.values())
         tall, wide = self.mcus
         data = np.empty((tall, wide, MCU_BLOCKS, BLOCK), dtype=np.uint8)
@@ -384,6 +463,8 @@ class Image:
         """The full-resolution RGB tensor, uint8: channel, row, column."""
         planes = []
         for c in self.components.values():
+            if c.table not in self.quantisers:
+                raise Unreadable("a quantiser is missing")
             flat = c.values.reshape(-1, BLOCK).astype(np.float32) * self.quantisers[c.table]
             samples = np.clip(np.rint(flat @ BASIS) + 128, 0, 255).astype(np.uint8)
             plane = samples.reshape(*c.grid, 8, 8).transpose(0, 2, 1, 3).reshape(c.grid[0] * 8, c.grid[1] * 8)

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from lexmill.llm.common import append, table
-from lexmill.llm.jpeg import UNIT, Image, encode
+from lexmill.llm.jpeg import UNIT, Image, Unreadable, encode
+from lexmill.storage import fresh_path
 
 
 def padded(text: bytes | None) -> bytes:
@@ -19,10 +20,13 @@ def padded(text: bytes | None) -> bytes:
 
 
 def feature(rgb: np.ndarray) -> str:
-    """Width, height, mean of each channel in thousandths, and an average hash of 4 x 4 cells of the green channel."""
+    """Width, height, mean of each channel in thousandths, and an average hash of 4 x 4 cells of the green channel.
+    Rows and columns of images smaller than the cells are repeated."""
     _, tall, wide = rgb.shape
     means = [int(c.sum(dtype=np.int64)) * 1000 // c.size for c in rgb]
-    cells = rgb[1, : tall // 4 * 4, : wide // 4 * 4].reshape(4, tall // 4, 4, wide // 4).sum(axis=(1, 3), dtype=np.int64).ravel()
+    green = rgb[1].repeat(4 if tall < 4 else 1, axis=0).repeat(4 if wide < 4 else 1, axis=1)
+    h, w = (n // 4 for n in green.shape)
+    cells = green[: h * 4, : w * 4].reshape(4, h, 4, w).sum(axis=(1, 3), dtype=np.int64).ravel()
     bits = "".join("1" if 16 * int(x) >= int(cells.sum()) else "0" for x in cells)
     return f"{wide}x{tall};{','.join(map(str, means))};{int(bits, 2):04x}"
 
@@ -32,26 +36,42 @@ def encode_media(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     return append(docs, text_col, lambda: lambda texts: [(len(t or b""), encode(padded(t))) for t in texts], "n_bytes long, media binary", list(keep))
 
 
-def decode_media(images: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",), tensors: bool = False) -> DataFrame:
+def store_media(images: DataFrame, directory: str | None = None) -> DataFrame:
+    """images as a Parquet table in the shared folder, read back: what follows sees the stored bytes alone."""
+    spark = images.sparkSession
+    path = directory or fresh_path(spark, "media")
+    images.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(images.schema).parquet(path)
+
+
+DECODED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, tensor binary, error string"
+
+
+def decode_media(images: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, then what the stored bytes give: payload_bytes, payload_sha256, tail_crc32 (of the last 32
-    bytes), media_bytes, media_sha256, feature and, if asked for, height, width and tensor (RGB, channel by channel).
-    A null image gives nulls. Equal images give equal values."""
-
-    def run(blobs):
-        rows = []
-        for blob in blobs:
-            if blob is None:
-                rows.append((None,) * (9 if tensors else 6))
-                continue
+    bytes), media_bytes, media_sha256, feature, height, width, tensor (full-resolution RGB, uint8, channel by channel)
+    and error.
+
+    A null image gives nulls. An image that cannot be read gives its media_bytes and media_sha256, nulls, and the reason
+    as error, which is null otherwise; images that hold no payload give null payload columns. Equal images give equal
+    values."""
+
+    def one(blob: bytes | None) -> tuple:
+        if blob is None:
+            return (None,) * 10
+        told = (len(blob), hashlib.sha256(blob).hexdigest())
+        try:
             image = Image(blob)
-            payload, rgb = image.payload(), image.rgb()
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(rgb))
-            rows.append((*row, rgb.shape[1], rgb.shape[2], rgb.tobytes()) if tensors else row)
-        return rows
+            rgb = image.rgb()
+            payload = image.payload() if image.payload_blocks is not None else None
+        except Unreadable as e:
+            return (None, None, None, *told, None, None, None, None, str(e))
+        held = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        return (*held, *told, feature(rgb), rgb.shape[1], rgb.shape[2], rgb.tobytes(), None)
 
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return append(images, media_col, lambda: run, schema + ", height int, width int, tensor binary" * tensors, list(keep))
+    return append(images, media_col, lambda: lambda blobs: list(map(one, blobs)), DECODED, list(keep))
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
-    return decode_media(encode_media(table(spark, sf_dir, "documents")), keep=("doc_id", "n_bytes"))
+    stored = store_media(encode_media(table(spark, sf_dir, "documents")))
+    return decode_media(stored, keep=("doc_id", "n_bytes"))

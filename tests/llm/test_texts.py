@@ -25,14 +25,14 @@ def sha(x: bytes) -> str:
 
 def test_media_round_trip(docs):
     images = media.encode_media(docs, keep=("doc_id", "text"))
-    out = media.decode_media(images, keep=("doc_id", "text", "n_bytes"), tensors=True)
+    out = media.decode_media(media.store_media(images), keep=("doc_id", "text", "n_bytes"))
     rows = out.collect()
     assert len(rows) == docs.count()
     for r in rows:
         raw = (r.text or "").encode()
         full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), sha(full), zlib.crc32(full[-32:]))
-        assert len(r.tensor) == 3 * r.height * r.width
+        assert len(r.tensor) == 3 * r.height * r.width and r.error is None
     assert len({r.feature for r in rows if r.text == TEXTS[4]}) == 1
     assert media.decode_media(images.limit(0)).count() == 0
     assert media.decode_media(images.select("doc_id", F.lit(None).cast("binary").alias("media"))).first().payload_bytes is None
