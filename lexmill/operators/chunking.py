@@ -164,6 +164,7 @@ def chunk_pages(pages: DataFrame, p: ChunkParams = ChunkParams(), keep: tuple[st
 
 
 def profile(chunks: DataFrame) -> DataFrame:
-    """Per kind and (null kind) overall: chunks and the least, mean (whole) and most words."""
+    """Per kind and (null kind) overall: chunks, the least, mean (whole) and most words, and an example: the chunk with
+    the smallest id."""
     n = chunks.withColumn("words", word_count(F.col("text")))
-    return n.rollup("doc_type").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.floor(F.avg("words")).alias("mean"), F.max("words").alias("most"))
+    return n.rollup("doc_type").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.floor(F.avg("words")).alias("mean"), F.max("words").alias("most"), F.min("chunk_id").alias("example"))

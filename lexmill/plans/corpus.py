@@ -266,11 +266,49 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_pages(_records(spark, sf_dir)).select("chunk_id", "url", "n", "doc_type", "job_form", word_count(F.col("text")).alias("n_words"))
 
 
+# Lines of a column x without boiler-plate, and the words of windows; no document holds a term heading.
+_SPACED = f"""case when len({words_sql("x")}) >= 8 and len(list_filter({words_sql("x")}, lambda w: length(w) = 1)) >= 0.6 * len({words_sql("x")})
+    then replace(replace(regexp_replace(x, ' {{2,}}', chr(1), 'g'), ' ', ''), chr(1), ' ') else x end"""
+_NAVIGATION = ", ".join(f"'{x}'" for x in chunking.NAVIGATION)
+_SQUEEZED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_CHUNKS = f"""{_RECORDS},
+f as materialized (select doc_id, url, title, unit, doc_type, published_at, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_SPACED}), chr(10)) text from rec),
+g as (select *, list_filter(string_split(text, chr(10)), lambda x: {strip_sql("x")} <> '') fl from f),
+h as (select *, list_position(list_transform(fl, lambda x: {lower_sql(_SQUEEZED.format("x"))} = {lower_sql(_SQUEEZED.format("title"))}), true) same,
+    list_position(list_transform(fl, lambda x: lower({strip_sql("x")}) in ({_NAVIGATION})), false) said from g),
+src as materialized (select *, case when doc_type = 'duyuru' then '[' || published_at || '] ' when doc_type = 'sayfa' then '' else title || chr(10) end prefix,
+    case when doc_type = 'duyuru' then array_to_string(case when same > 0 then fl[same:] when said > 0 then fl[said:] else [] end, chr(10)) else text end body from h),
+one as materialized (select *, case when doc_type = 'sayfa' then false when doc_type = 'duyuru' then len({words_sql("prefix || body")}) <= 380 else len({words_sql("body")}) <= 380 end whole from src),
+l as (select doc_id, unnest(x) line, generate_subscripts(x, 1) k from (select doc_id, list_filter(string_split(body, chr(10)), lambda x: {strip_sql("x")} <> '') x from one where not whole)),
+w as (select doc_id, k, line, {words_sql("line")} w from l),
+cut as (select doc_id, k, 0 s, line piece, len(w) n from w where len(w) <= 380
+  union all select doc_id, k, s, array_to_string(w[s + 1:s + 380], ' '), len(w[s + 1:s + 380]) from (select *, unnest(range(0, len(w), 320)) s from w where len(w) > 380)),
+p as materialized (select doc_id, row_number() over (partition by doc_id order by k, s) i, piece, n from cut),
+fold as (select doc_id, i, piece held, n, null::varchar done from p where i = 1
+  union all select p.doc_id, p.i, case when f.n + p.n > 380 then array_to_string({words_sql("f.held")}[-60:], ' ') || chr(10) || p.piece else f.held || chr(10) || p.piece end,
+    case when f.n + p.n > 380 then least(60, len({words_sql("f.held")})) + p.n else f.n + p.n end, case when f.n + p.n > 380 then f.held end
+  from fold f join p on p.doc_id = f.doc_id and p.i = f.i + 1),
+made as (select doc_id, i, done t from fold where done is not null union all select doc_id, i + 1, held from (select *, max(i) over (partition by doc_id) m from fold) where i = m),
+texts as (select doc_id, i, {strip_sql("prefix || t")} t from made join one using (doc_id)
+  union all select doc_id, 1, {strip_sql("case when doc_type = 'duyuru' then prefix || body else body end")} from one where whole),
+numbered as (select doc_id, row_number() over (partition by doc_id order by i) - 1 n, t from texts where length(t) >= 10),
+said2 as (select c.*, url, title, unit, doc_type, {" + ".join(f"contains({lower_sql('one.text')}, '{m}')::int" for m in chunking.JOB_MARKERS)} >= 2 job_form,
+    list_filter(string_split(t, chr(10)), lambda x: not regexp_matches(x, '{{boiler}}')) kept from numbered c join one using (doc_id)),
+told as (select *, array_to_string(list_filter(list_transform(kept, lambda x: {strip_sql("x")}), lambda x: x <> '' and {lower_sql("x")} <> {lower_sql("title")} and {lower_sql("x")} <> {lower_sql("coalesce(unit, '')")}), ' ') said3 from said2),
+chunk as materialized (select substr(sha1(url || '#' || n), 1, 16) chunk_id, n::int n, url, title, unit, doc_type, job_form, {strip_sql("array_to_string(kept, chr(10))")} text from told
+  where said3 <> '' and {lower_sql("said3")} not in ('program seçiniz', 'seçiniz', 'tıklayınız') and (doc_type = 'personel' or len({words_sql("said3")}) >= 8))""".replace("{boiler}", _BOILER)
+CHUNK_PAGES_SQL = f"with recursive {_CHUNKS} select chunk_id, url, n, doc_type, job_form, len({words_sql('text')}) n_words from chunk"
+
+
 def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks and their least, mean and most words by kind and overall."""
+    """Chunks, their least, mean and most words, and the chunk that stands first, by kind and overall."""
     return chunking.profile(chunking.chunk_pages(_records(spark, sf_dir)))
 
 
+CHUNK_PROFILE_SQL = f"""with recursive {_CHUNKS}
+select doc_type, count(*) n, min(len({words_sql("text")})) least, floor(avg(len({words_sql("text")})))::bigint mean, max(len({words_sql("text")})) most, min(chunk_id) example from chunk group by rollup (doc_type)"""
+
+
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -280,6 +318,17 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html(spark, sf_dir).select("page_id", "page.title", "page.text", F.size("page.links").alias("n_links"), F.size("page.pdfs").alias("n_pdfs"))
 
 
+_UNESCAPED = "{0}"
+for _k, _v in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_k}', '{_v}')"
+HTML_EXTRACT_SQL = rf"""
+with b as (select page_id, url, html, regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>', chr(10), 'g') t,
+    regexp_extract_all(html, '<a href="([^"]*)"', 1) h from pages)
+select page_id, {_UNESCAPED.format("trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))")} title,
+  array_to_string(list_filter(list_transform(string_split({_UNESCAPED.format("t")}, chr(10)), lambda x: {strip_sql("x")}), lambda x: x <> ''), chr(10)) as "text",
+  len(list_filter(h, lambda x: x <> '' and not regexp_matches(x, '^(#|javascript:|mailto:|tel:)'))) n_links, 0 n_pdfs from b"""
+
+
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of every page, made absolute."""
     return html.links(_html(spark, sf_dir).select("page_id", "page")).select("page_id", "place", "link_text", "link_url")
