@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexmill.schema import PAGES
+from lexmill.storage import replace
 
 
 def read_strict(spark: SparkSession, path: str, schema: StructType = PAGES) -> DataFrame:
@@ -34,10 +37,13 @@ def read_lenient(spark: SparkSession, path: str, schema: StructType = PAGES, key
 
 
 def write(df: DataFrame, path: str, order: str | None = None) -> int:
-    """Replaces path by df as JSON lines and returns the number of rows. With order, files and rows within them are in
-    that order and the column is left out. A job's files appear when it is committed."""
+    """Replaces path by df as JSON lines and returns the number of rows. The new folder is written beside the old one
+    and takes its place by renames, so that a failure leaves the old one whole; df may be read from path itself. With
+    order, files and rows within them are in that order and the column is left out."""
     out = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order).drop(order) if order else df
-    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    out.write.option("ignoreNullFields", "false").json(new)
+    replace(df.sparkSession, new, path.rstrip("/"))
     return df.sparkSession.read.text(path).count()
 
 
