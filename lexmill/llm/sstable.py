@@ -10,17 +10,20 @@ block index (first key, offset, length of each block) and a fixed-size footer. L
     footer  u64 filter offset, u64 index offset, u64 documents, u64 ids, u32 blocks, u8 id width, u8 probes, 8 magic bytes
 
 Keys are the id with its sign bit turned, big-endian, so that bytes sort as numbers; a null id has the empty key and
-comes first. Documents are range-partitioned by id, one shard a partition, and encoded after that shuffle: what moves
-is compressed text, not ids. Words between ASCII white space are encoded once and kept in a bounded worker cache;
-white space is dropped by the tokenizer, and no token, contraction or special string spans it.
+comes first. Documents are range-partitioned by id and encoded after that shuffle: what moves is compressed text, not
+ids. A partition holds about shard_bytes of text, and a task that meets more begins another file, so that files, and the
+keys and filter a task holds, stay of one size whatever the table's. Words between ASCII white space are encoded once
+and kept in a bounded worker cache, for tokenizers that drop white space and let no token, contraction or special string
+span it; other tokenizers are told by their parts and encode texts whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
@@ -35,7 +38,8 @@ from lexmill.storage import fresh_path, materialize
 
 MAGIC = b"LXSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQIBB8s")
-BLOCK_BYTES, BITS_A_KEY, PROBES = 64 << 10, 10, 7
+BLOCK_BYTES, BITS_A_KEY, PROBES, MIX = 64 << 10, 10, 7, 0x9E3779B1
+SHARD_KEYS = 1 << 22
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -67,19 +71,16 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 def probes_of(key: bytes, bits: int, probes: int) -> list[int]:
     a, b = zlib.crc32(key), zlib.adler32(key) | 1
-    return [(a + i * b * 0x9E3779B1) % bits for i in range(probes)]
+    return [(a + i * b * MIX) % bits for i in range(probes)]
 
 
-def write_shard(uri: str, entries: Iterator[tuple[bytes, bytes]], width: int) -> tuple[int, int, int]:
-    """Writes (key, value) entries, in key order, under a temporary name and moves the whole file into place.
-    Documents, ids and bytes written."""
+def write_shard(uri: str, entries: Iterator[tuple[bytes, bytes]], width: int, limit: int = 1 << 30) -> tuple[int, int, int]:
+    """Writes (key, value) entries, in key order, until their values reach limit bytes or are SHARD_KEYS; the file appears whole. Documents,
+    ids and bytes written."""
     import zstandard
 
-    fs, path = filesystem(uri)
-    os_dir, tmp = path.rpartition("/")[0], f"{path}.{uuid.uuid4().hex}.tmp"
-    fs.create_dir(os_dir, recursive=True)
-    packer, index, keys, n_ids, at = zstandard.ZstdCompressor(level=1), [], [], 0, 0
-    with fs.open_output_stream(tmp) as out:
+    packer, index, hashes, n_ids, at, held = zstandard.ZstdCompressor(level=1), [], array("Q"), 0, 0, 0
+    with replacing(uri) as out:
         block, weight, first, last = [], 0, b"", b""
 
         def flush():
@@ -96,20 +97,28 @@ def write_shard(uri: str, entries: Iterator[tuple[bytes, bytes]], width: int) ->
             shared = len(os.path.commonprefix([last, key]))
             block += [varint(shared), varint(len(key) - shared), varint(len(value)), key[shared:], value]
             weight, last, n_ids = weight + len(value) + 12, key, n_ids + len(value) // width
-            keys.append(key)
+            hashes.append(zlib.crc32(key) << 32 | zlib.adler32(key) | 1)
+            held += len(value)
             if weight >= BLOCK_BYTES:
                 flush()
+            if held >= limit or len(hashes) >= SHARD_KEYS:
+                break
         flush()
-        bits = np.zeros(max(64, len(keys) * BITS_A_KEY + 7 & ~7), dtype=bool)
-        for key in keys:
-            bits[probes_of(key, len(bits), PROBES)] = True
-        packed = np.packbits(bits).tobytes()
+        packed = bloom(np.frombuffer(hashes, dtype=np.uint64))
         out.write(packed)
         table = b"".join(varint(len(k)) + k + struct.pack("<QI", o, n) for k, o, n in index)
         out.write(table)
-        out.write(FOOTER.pack(at, at + len(packed), len(keys), n_ids, len(index), width, PROBES, MAGIC))
-    fs.move(tmp, path)
-    return len(keys), n_ids, at + len(packed) + len(table) + FOOTER.size
+        out.write(FOOTER.pack(at, at + len(packed), len(hashes), n_ids, len(index), width, PROBES, MAGIC))
+    return len(hashes), n_ids, at + len(packed) + len(table) + FOOTER.size
+
+
+def bloom(hashes: np.ndarray) -> bytes:
+    """The filter of keys given as two 32-bit hashes each; the same positions as probes_of."""
+    bits = np.zeros(max(64, len(hashes) * BITS_A_KEY + 7 & ~7), dtype=bool)
+    a, b = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
+    for i in range(PROBES):
+        bits[(a + np.uint64(i) * b % np.uint64(len(bits)) * np.uint64(MIX % len(bits))) % np.uint64(len(bits))] = True
+    return np.packbits(bits).tobytes()
 
 
 class Shard:
@@ -167,6 +176,18 @@ class Shard:
         return found
 
 
+def separable(tokenizer) -> bool:
+    """Whether texts may be cut at ASCII white space and lower-cased before: the normaliser composes, replaces white space
+    and lower-cases, the pre-tokenizer drops white space, added tokens take none of it, words end with a mark."""
+    parts = json.loads(tokenizer.to_str())
+    normal, split, model = parts["normalizer"] or {}, parts["pre_tokenizer"] or {}, parts["model"]
+    steps = [x["type"] for x in normal.get("normalizers", [normal] if normal else [])]
+    first = (split.get("pretokenizers") or [split])[0]
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+    plain = not any(t["content"].isspace() or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in parts["added_tokens"])
+    return set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and drops and plain and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+
+
 class Encoder:
     """Encoded words (bytes of their ids) of one tokenizer that lower-cases; the cache is cleared when full."""
 
@@ -180,6 +201,7 @@ class Encoder:
         self.tokenizer, self.width, self.limit = Tokenizer.from_file(path), width, limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.whole = not separable(self.tokenizer)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -188,6 +210,9 @@ class Encoder:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts, in little-endian integers of the encoder's width. Unknown words of all texts are
         encoded together."""
+        if self.whole:
+            found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, dtype=f"<u{self.width}").tobytes() for x in found]
         # Letter case is lost in the tokenizer too, but special strings are told by it.
         words = [(t if any(x[:2] in t for x in self.special) else t.lower()).split() for t in texts]
         if missing := set().union(*words).difference(self.known):
@@ -243,9 +268,10 @@ def groups(rows: Iterator[tuple], weight: int = 1 << 20) -> Iterator[list[tuple]
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None, cache: int = 800_000) -> DataFrame:
+def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None, cache: int = 800_000, shard_bytes: int = 256 << 20) -> DataFrame:
     """Encodes each text, appends end_id, and writes shards; the manifest (shard, path, documents, ids, bytes, start),
-    one row a file, where start is the number of ids in all shards before.
+    one row a file, where start is the number of ids in all shards before. There are `shards` partitions, or as many as
+    keep about shard_bytes of text in each; a file ends when its ids reach shard_bytes.
 
     Null and empty texts have the end id alone. Rows without an id come first. Rows with the same id stay apart, in
     the order of their texts' hashes. Any white space but ASCII's is left to the tokenizer. Other columns are not
@@ -255,9 +281,9 @@ def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = Non
 
     spark = docs.sparkSession
     directory = directory or fresh_path(spark, "sstable")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = source.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
@@ -268,16 +294,16 @@ def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = Non
         end = end_id.to_bytes(width, "little")
 
         def run(rows):
-            first = next(rows, None)
-            if first is None:
-                return
-            entries = ((key_of(i), ids + end) for some in groups(chain((first,), rows)) for (i, _), ids in zip(some, encoder.ids([t or b"" for _, t in some]), strict=True))
-            path = f"{directory}/part-{part:06d}.sst"
-            yield (part, path, *write_shard(path, entries, width))
+            entries = ((key_of(i), ids + end) for some in groups(rows) for (i, _), ids in zip(some, encoder.ids([t or b"" for _, t in some]), strict=True))
+            number, first = 0, next(entries, None)
+            while first is not None:
+                path = f"{directory}/part-{part:06d}-{number:04d}.sst"
+                yield (part << 20 | number, path, *write_shard(path, chain((first,), entries), width, shard_bytes))
+                number, first = number + 1, next(entries, None)
 
         return run
 
-    manifest = materialize(map_rows(ranged, make, "shard int, path string, documents long, ids long, bytes long"), "manifest")
+    manifest = materialize(map_rows(ranged, make, "shard long, path string, documents long, ids long, bytes long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 

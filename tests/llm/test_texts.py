@@ -114,6 +114,33 @@ def test_shards(docs, tmp_path):
     assert sstable.read_token_ids(sstable.write_token_ids(docs.limit(0), public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/none")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_shards_of_bounded_size(spark, docs, tmp_path, name):
+    """Files end at their bound; tokenizers that keep white space encode whole texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    assert sstable.separable(tokenizer) == (name == "word_bpe_49k.json")
+    manifest = sstable.write_token_ids(docs, public_tokenizers.path(name), f"file://{tmp_path}", shards=2, shard_bytes=3000).orderBy("shard").collect()
+    assert len(manifest) > 2 and sum(m.documents for m in manifest) == docs.count()
+    got = [(sstable.id_of(k), ids.tolist()) for m in manifest for k, ids in sstable.Shard(m.path).scan()]
+    want = sorted(((r.doc_id, [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0]))
+    assert got == want
+    for m in manifest:
+        shard = sstable.Shard(m.path)
+        for key, ids in shard.scan():
+            assert any((x == ids).all() for x in shard.lookup(sstable.id_of(key)) if len(x) == len(ids))
+    assert sum(bool(sstable.Shard(m.path).lookup(k)) for m in manifest for k in range(10**6, 10**6 + 200)) == 0
+
+
+def test_bloom_positions():
+    keys = [sstable.key_of(i * 977 - 5) for i in range(3000)]
+    packed = np.unpackbits(np.frombuffer(sstable.bloom(np.array([zlib.crc32(k) << 32 | zlib.adler32(k) | 1 for k in keys], dtype=np.uint64)), dtype=np.uint8))
+    assert all(packed[sstable.probes_of(k, len(packed), sstable.PROBES)].all() for k in keys)
+    wrong = sum(packed[sstable.probes_of(sstable.key_of(i), len(packed), sstable.PROBES)].all() for i in range(10**9, 10**9 + 3000))
+    assert wrong < 100
+
+
 # ---------------------------------------------------------------- personal data
 
 PATTERNS = {
