@@ -1,9 +1,10 @@
 """License scans with a positional rare-token index.
 
-The index keeps, for each license template, the words that are rarest over all templates with their positions. A file
-is looked up by the rare words it holds; each hit votes for the place where the template would begin, and a place with
-enough votes is verified: the share of template words that stand at their relative positions, and the template's
-mandatory key phrase inside. Labels are joined with those of plain phrases found anywhere.
+The index keeps, for each license template, its words of highest inverse document frequency over the templates and a
+background of frequent English words, with their positions. A file is looked up by the rare words it holds; each hit
+votes for the place where the template would begin. Where enough postings agree within a few words, for words may have
+been put in or left out between them, the place is verified: the share of template words that stand there in order, and
+the template's mandatory key phrase. Labels are joined with those of plain phrases found anywhere.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from lexmill.llm.common import ALNUM, append, table
+from lexmill.llm.license_texts import BACKGROUND, TEMPLATES
 
 # Phrase and label of the base scan.
 PHRASES = {
@@ -24,30 +26,22 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Label, mandatory key phrase, and the words of well-known public license notices.
-TEMPLATES = [
-    ("apache-2.0", "apache license version 2 0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "apache license version 2 0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("mit", "mit license", "Released under the MIT License"),
-    ("mit", "permission is hereby granted free of charge", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
-    ("bsd", "redistribution and use in source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("gpl", "gnu general public license", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "gnu general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("lgpl", "gnu lesser general public license", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mpl-2.0", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "released into the public domain", "This is free and unencumbered software released into the public domain"),
-    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-]
-
 
 @dataclass(frozen=True)
 class Params:
-    rare_words: int = 4  # of each template, in its postings
+    rare_words: int = 8  # of each template, in its postings
     votes: float = 0.5  # share of a template's postings that must agree on a place
-    share: float = 0.8  # of template words at their relative positions
+    share: float = 0.8  # of template words that stand in order
+    drift: float = 0.1  # share of a template's length by which places of its postings may differ, and of words put in
+
+
+def in_order(wanted: dict[bytes, int], n: int, words: list[bytes]) -> int:
+    """The longest common subsequence of a template of n words (bits of the places of each) and words, by bits."""
+    full = rest = (1 << n) - 1
+    for w in words:
+        if m := wanted.get(w, 0) & rest:
+            rest = (rest + m | rest - m) & full
+    return n - rest.bit_count()
 
 
 class Index:
@@ -56,35 +50,63 @@ class Index:
     def __init__(self, templates=tuple(TEMPLATES), p: Params = Params()) -> None:
         self.p, self.labels = p, [t[0] for t in templates]
         self.keys = [b" " + t[1].encode() + b" " for t in templates]
-        self.words = [ALNUM.words(t[2].encode()) for t in templates]
-        df = Counter(w for ws in self.words for w in set(ws))
-        idf = {w: math.log((len(self.words) + 1) / (n + 1)) for w, n in df.items()}
-        self.postings, self.needed = defaultdict(list), []
-        for t, ws in enumerate(self.words):
+        words = [ALNUM.words(t[2].encode()) for t in templates]
+        self.sizes = [len(w) for w in words]
+        df = Counter(w for ws in words for w in set(ws)) + Counter({w.encode(): len(words) for w in BACKGROUND})
+        idf = {w: math.log((2 * len(words) + 1) / (n + 1)) for w, n in df.items()}
+        self.postings, self.needed, self.places = defaultdict(list), [], []
+        for t, ws in enumerate(words):
             rare = sorted(set(ws), key=lambda w: (-idf[w], -len(w), w))[: p.rare_words]
-            places = [(i, w) for i, w in enumerate(ws) if w in rare]
-            for i, w in places:
+            hits = [(i, w) for i, w in enumerate(ws) if w in rare]
+            for i, w in hits:
                 self.postings[w].append((t, i))
-            self.needed.append(max(1, math.ceil(p.votes * len(places))))
+            self.needed.append(max(1, math.ceil(p.votes * len(hits))))
+            bits: dict[bytes, int] = defaultdict(int)
+            for i, w in enumerate(ws):
+                bits[w] |= 1 << i
+            self.places.append(dict(bits))
         self.postings = dict(self.postings)
+        self.drift = [max(2, math.ceil(p.drift * n)) for n in self.sizes]
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
         """Labels of the templates found in a file's words, and the largest verified share."""
-        votes: Counter = Counter()
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in [i for i, w in enumerate(words) if w in self.postings]:
-            votes.update((t, i - at) for t, at in self.postings[words[i]])
+            for t, at in self.postings[words[i]]:
+                votes[t].append((i - at, at))
         labels, best = set(), 0.0
-        for (t, start), n in votes.items():
-            if n < self.needed[t]:
-                continue
-            want = self.words[t]
-            have = words[max(0, start) : start + len(want)]
-            share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(want)) / len(want)
-            if share >= self.p.share and self.keys[t] in b" " + b" ".join(have) + b" ":
-                labels.add(self.labels[t])
-                best = max(best, share)
+        for t, cast in votes.items():
+            for start in self.agreed(t, cast):
+                share = self.verified(t, start, words)
+                if share >= self.p.share:
+                    labels.add(self.labels[t])
+                    best = max(best, share)
         return labels, best
 
+    def agreed(self, t: int, cast: list[tuple[int, int]]):
+        """Places where enough postings agree within the drift, in order; places nearer than half of it are one."""
+        if len(cast) < self.needed[t]:
+            return
+        cast.sort()
+        low, held, last = 0, Counter(), None
+        for start, at in cast:
+            held[at] += 1
+            while cast[low][0] < start - self.drift[t]:
+                held[cast[low][1]] -= 1
+                if not held[cast[low][1]]:
+                    del held[cast[low][1]]
+                low += 1
+            if len(held) >= self.needed[t] and (last is None or cast[low][0] - last > self.drift[t] // 2):
+                last = cast[low][0]
+                yield last
+
+    def verified(self, t: int, start: int, words: list[bytes]) -> float:
+        """The share of the template's words in order about a place, 0 without its key phrase."""
+        have = words[max(0, start - self.drift[t]) : max(0, start + self.sizes[t] + 2 * self.drift[t])]
+        if self.keys[t] not in b" " + b" ".join(have) + b" ":
+            return 0.0
+        return in_order(self.places[t], self.sizes[t], have) / self.sizes[t]
+
 
 def phrase_places(words: list[bytes]) -> tuple[list[int], set[str]]:
     """Starts of every base phrase, from word 0, and their labels."""
@@ -103,7 +125,8 @@ def phrase_places(words: list[bytes]) -> tuple[list[int], set[str]]:
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), params: Params = Params()) -> DataFrame:
     """The columns in keep, then n_words, n_base, first_word, last_word, base_labels, labels and score, a row for each
-    row of docs. score is the largest share of a template's words found in place, 0 if no template is found.
+    row of docs. score is the largest share of a template's words found in order, 0 if no template
+    is found.
 
     Null and empty texts have no words, no places (first_word and last_word null) and empty labels. Other columns are
     not read.

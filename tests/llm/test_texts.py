@@ -75,6 +75,67 @@ def test_license_templates(spark):
     assert got[-2:] == [[""], [""]]
 
 
+def noise(rng, n):
+    return [["the", "a", "license", "software", "copyright", "granted", "warranty", "Lorem", "ipsum", "public", "all", "rights", "BY", "free", "code"][i] if i < 15 else f"w{i}" for i in rng.integers(0, 200, n)]
+
+
+def edited(rng, words, share):
+    """words with a share of them changed, left out or followed by another."""
+    out = []
+    for w in words:
+        kind = rng.integers(3) if rng.random() < share else 9
+        out += [f"x{rng.integers(1000)}"] if kind == 0 else [] if kind == 1 else [w, f"y{rng.integers(1000)}"] if kind == 2 else [w]
+    return out
+
+
+def test_license_labels_against_brute_force():
+    """A label needs a stretch of the text with 0.8 of the template's words in order and its key phrase, by dynamic
+    programming over every stretch; whole and edited templates are found, noise is not."""
+    rng = np.random.default_rng(6)
+    index = licenses.Index()
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    for _ in range(40):
+        a, b = ([f"t{i}" for i in rng.integers(0, 6, n)] for n in rng.integers(1, 30, 2))
+        bits: dict = {}
+        for i, w in enumerate(a):
+            bits[w] = bits.get(w, 0) | 1 << i
+        assert licenses.in_order(bits, len(a), b) == common(a, b)
+
+    wrong = sum(bool(index.scan([w.lower().encode() for w in noise(rng, 400)])[0]) for _ in range(100))
+    hit = tried = 0
+    for label, key, text in licenses.TEMPLATES:
+        words = words_of(text)
+        for share in (0, 0.03, 0.08):
+            for _ in range(6):
+                own = edited(rng, words, share)
+                said = [w.lower() for w in [*noise(rng, 60), *own, *noise(rng, 60)]]
+                found, score = index.scan([w.encode() for w in said])
+                holds = f" {key} " in " " + " ".join(own) + " " and common(words, own) >= 0.8 * len(words)
+                if holds:
+                    tried, hit = tried + 1, hit + (label in found)
+                for other in found:
+                    assert any(x == other and f" {k} " in " " + " ".join(said) + " " and common(words_of(t), said) >= 0.8 * len(words_of(t)) for x, k, t in licenses.TEMPLATES)
+                assert (score >= 0.8) == bool(found)
+    assert hit >= 0.97 * tried and tried > 300 and wrong == 0, (hit, tried, wrong)
+
+
+def test_license_places_stay_linear():
+    for word in ("software", "merchantability", "license", "cc by nc", "released into the public domain"):
+        words = [w.encode() for w in word.split()] * (200_000 // len(word.split()))
+        began = time.time()
+        licenses.Index().scan(words)
+        assert time.time() - began < 20, word
+
+
 # ---------------------------------------------------------------- token counts
 
 
