@@ -13,7 +13,7 @@ from lexmill.llm.mixing import mix
 from lexmill.llm.near_dedup import first_documents
 from lexmill.llm.sstable import read_token_ids, write_token_ids
 from lexmill.llm.toxicity import score_toxicity
-from lexmill.storage import materialize
+from lexmill.storage import discard, materialize
 
 #: Some stages cannot be said in SQL.
 ORACLE_SQL = None
@@ -38,12 +38,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each epoch, the document at a source's cut whole. Documents
-    without words cost no budget and stay once. Each row is taken or left by itself, whether its id is null, repeated or
-    neither; without an id its place is that of its text."""
-    named = docs.withColumn("__name", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string"))))
+    """Documents as often as the mix takes them: a row for each epoch. The document at a source's cut is taken whole, so
+    that a source exceeds its budget by less than that document. Documents without words cost no budget and stay once.
+    Each row is taken or left by itself, whether its id is null, repeated or neither."""
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    taken = mix(named, id_col="__name", keep=tuple(docs.columns)).select("row", copies.alias("copies")).filter("copies > 0")
+    taken = mix(docs, keep=tuple(docs.columns)).select("row", copies.alias("copies")).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
@@ -65,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs

@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in DataFrame operations alone.
 
-Every document gets a hash-random key; the key ranges of a source are its buckets, so many that each holds about
-bucket_rows documents. Bucket sums and their prefix sums tell in which bucket a source's budget ends; documents in
+Every document gets a hash-random key; keys are dealt to the ranges of their source, so many that each holds about
+bucket_rows documents: a range sort whose bounds are known, since keys are uniform, and that moves no rows. Bucket sums and their prefix sums tell in which bucket a source's budget ends; documents in
 buckets before it are taken, those after are not, and only the bucket of the cut is sorted and summed document by
 document. Whole epochs come first where a budget exceeds its source. No window spans more than one bucket's
 documents, or one row a bucket or source.
@@ -54,12 +54,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     target, still lacks.
 
     Null and empty texts have size 0 and are taken for nothing. A null source is a source of its own, last in order.
-    Rows without an id have the key of the empty string; repeated ids share a key and follow one another. Reruns agree,
-    whatever the partitions; with keep, ties go by a hash of its columns. Other columns are not read. An empty table gives
+    The key of a row is a hash of its id and text, so that rows without an id or with a repeated one are spread like any
+    others; only rows that agree in both share a key. Reruns agree, whatever the partitions; with keep, ties go by a hash
+    of its columns. Other columns are not read. An empty table gives
     no rows.
     """
     p = params
-    spread = F.md5(F.concat(F.lit(f"{p.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    name = F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    spread = F.md5(name.cast("binary"))
     key = F.conv(F.substring(spread, 1, KEY_BITS // 4), 16, 10).cast("long")
     kept = [F.struct(*keep).alias("row"), F.xxhash64(*keep).alias("tie")] if keep else []
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"), key.alias("key"), *kept)
@@ -96,7 +98,7 @@ def op8_mix_to_weights(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 with d as materialized (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as hashed from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as hashed from documents),
 s as (select source, sum(size)::double source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double w from d group by 1),
 o as (select *, sum(source_size) over () total, sum(w) over () ws,
   coalesce(sum(source_size) over (order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0) bs,

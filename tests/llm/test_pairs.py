@@ -130,13 +130,12 @@ def test_stage_mixing_by_rows(spark):
 
     rows = [(None if i % 3 == 0 else 5 if i % 7 == 0 else i, " ".join([f"w{i}"] * (i * 5 % 90)), ["big", "big", "mid", None][i % 4]) for i in range(240)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
     sizes: Counter = Counter()
     for _, t, s in rows:
         sizes[s] += len(t.split())
     want: Counter = Counter()
     for s, target in targets(sizes).items():
-        name = lambda r: f"text:{hashed[r[1]]}" if r[0] is None else str(r[0])
+        name = lambda r: f"{'' if r[0] is None else r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}"
         own = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"mix:{name(r)}".encode()).hexdigest()[:15], name(r), len(r[1].split())))
         epochs, rest = divmod(int(target + 0.5), sizes[s])
         for r in own:
