@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import json
+import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
@@ -143,12 +145,38 @@ def echo(prompts: list[str]) -> list[str]:
     return ["\n".join([s for s in p.split("--- BAGLAM ---\n", 1)[-1].split("\n--- SORU ---", 1)[0].split("\n") if s.strip()][:6]) for p in prompts]
 
 
-def generate(df: DataFrame, prompt_col: str, out: str, generator: TextGenerator) -> DataFrame:
-    """df with a generator's answers, batch by batch on the executors; null prompts get null."""
+class ServedModel:
+    """A generator that asks a model served over HTTP, a prompt a request: POST of {"model", "prompt", "stream": false}
+    and what else `options` holds; the answer is the field `answer` of the JSON that comes back."""
+
+    def __init__(self, url: str, model: str, timeout: float = 120.0, answer: str = "response", **options) -> None:
+        self.url, self.model, self.timeout, self.answer, self.options = url, model, timeout, answer, options
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        said = []
+        for p in prompts:
+            body = json.dumps({"model": self.model, "prompt": p, "stream": False, **self.options}).encode()
+            request = urllib.request.Request(self.url, data=body, headers={"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                said.append(str(json.loads(r.read())[self.answer]).strip())
+        return said
+
+
+def generate(df: DataFrame, prompt_col: str, out: str, generator: TextGenerator, batch: int = 8) -> DataFrame:
+    """df with a generator's answers, some prompts at a time on the executors. Null prompts get null, and so do the
+    prompts of a call that fails, so that one failure is an answer of its own and not the end of the job."""
+
+    def answered(prompts: list[str]) -> list:
+        try:
+            return list(generator(prompts))
+        except Exception:
+            return [None] * len(prompts) if len(prompts) == 1 else [x for p in prompts for x in answered([p])]
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        given = s.dropna()
-        return pd.Series(generator(given.tolist()), index=given.index, dtype=object).reindex(s.index).astype(object).where(lambda x: x.notna(), None)
+        given = s.dropna().tolist()
+        said = iter([x for at in range(0, len(given), batch) for x in answered(given[at : at + batch])])
+        return pd.Series([None if p is None else next(said) for p in s], dtype=object)
 
     return df.withColumn(out, run(F.col(prompt_col)))
 
@@ -168,9 +196,10 @@ def sources(results: DataFrame, key: str = "url") -> DataFrame:
     return first.groupBy("query_id").agg(F.transform(ordered, lambda s: F.struct(s["title"].alias("title"), s["url"].alias("url"))).alias("sources"))
 
 
-def route(queries: DataFrame, results: DataFrame, gate: DataFrame, today: datetime.date, generator: TextGenerator = echo, redirects: Column | None = None, k: int = 4) -> DataFrame:
+def route(queries: DataFrame, results: DataFrame, gate: DataFrame, today: datetime.date, generator: TextGenerator = echo, redirects: Column | None = None, k: int = 4, texts: dict[str, str] | None = None) -> DataFrame:
     """(query_id, route, answer, sources) of queries(query_id, text, search_text, named): redirect, direct, out_of_scope,
-    not_recorded, answered or unknown. Only queries that no rule settles reach the generator, with the best k results.
+    not_recorded, answered, unknown or, where the generator failed, failed. texts has the answers of routes that end
+    without one, by route; those it lacks are null. Only queries that no rule settles reach the generator, with the best k results.
     redirects is an expression over text that names a target, or null."""
     target = F.when(~F.coalesce("named", F.lit(False)), redirects if redirects is not None else F.lit(None).cast("string"))
     asked = queries.withColumn("target", target)
@@ -184,17 +213,19 @@ def route(queries: DataFrame, results: DataFrame, gate: DataFrame, today: dateti
     contexts = open_.join(context_text(pack_context(best)), "query_id", "left").select("query_id", prompt(F.col("search_text"), F.col("context"), today).alias("prompt"))
     said = generate(contexts, "prompt", "said", generator).select("query_id", "said").withColumn("unknown", knows_nothing(F.col("said")))
     out = known.join(said, "query_id", "left")
-    kind = F.coalesce("route", F.when(F.col("unknown"), "unknown").otherwise("answered"))
+    kind = F.coalesce("route", F.when(F.col("said").isNull(), "failed").when(F.col("unknown"), "unknown").otherwise("answered"))
     answer = F.when(F.col("route") == "redirect", F.col("target")).when(F.col("route") == "direct", F.col("direct")).when(kind == "answered", F.col("said"))
+    for name, told in (texts or {}).items():
+        answer = answer.when(kind == name, told)
     shown = results.join(out.filter("route = 'direct'").select("query_id", F.col("source_rank").alias("rank")), ["query_id", "rank"], "left_semi")
-    shown = shown.unionByName(best.drop("search_text").join(out.filter("route is null and not unknown").select("query_id"), "query_id", "left_semi"))
+    shown = shown.unionByName(best.drop("search_text").join(out.filter("route is null and said is not null and not unknown").select("query_id"), "query_id", "left_semi"))
     final = out.select("query_id", kind.alias("route"), answer.alias("answer"))
     return final.join(sources(shown), "query_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<struct<title:string,url:string>>")))
 
 
 def unanswered(routed: DataFrame, queries: DataFrame, gate: DataFrame, asked_at: str) -> DataFrame:
     """Log rows of questions without an answer: asked_at, question, search_question, reason, bm25_max, cosine_max."""
-    lost = routed.filter(F.col("route").isin("out_of_scope", "not_recorded", "unknown")).select("query_id", F.col("route").alias("reason"))
+    lost = routed.filter(F.col("route").isin("out_of_scope", "not_recorded", "unknown", "failed")).select("query_id", F.col("route").alias("reason"))
     rows = lost.join(queries.select("query_id", F.col("text").alias("question"), F.col("search_text").alias("search_question")), "query_id").join(gate, "query_id", "left")
     return rows.select(F.lit(asked_at).alias("asked_at"), "question", "search_question", "reason", F.bround("bm25_max", 2).alias("bm25_max"), F.bround("cosine_max", 3).alias("cosine_max"))
 

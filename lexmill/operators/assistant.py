@@ -35,11 +35,12 @@ def respond(
     generator: answers.TextGenerator = answers.echo,
     redirects: Column | None = None,
     p: SearchParams = SearchParams(),
+    texts: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(routed, gate) of prepared rows with a column vector, the encoded search text: search, structured answers, gate,
     generator."""
     asked = prepared.select("query_id", F.col("search_text").alias("text"), "vector", F.coalesce("k", F.lit(p.k)).alias("k"))
     found, gate = hybrid.search(chunks, index, vectors, asked, p)
     results = found.select("query_id", "rank", F.col("doc_id").alias("pos")).join(chunks.select("pos", "title", "unit", "text", "url", "published_at"), "pos").drop("pos")
-    routed = answers.route(prepared.select("query_id", "text", "search_text", "named"), results, gate, today, generator, redirects, p.k)
+    routed = answers.route(prepared.select("query_id", "text", "search_text", "named"), results, gate, today, generator, redirects, p.k, texts)
     return routed, gate

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,21 +84,25 @@ def staff_chunks(text: Column, title: Column, p: ChunkParams = ChunkParams()) ->
 
 def term_blocks(text: Column) -> Column:
     """array<struct<heading, lines>>: lines between term headings. A heading without lines is dropped, its name goes
-    with it; lines before the first heading have a null heading."""
-    kind = "array<struct<heading:string,lines:array<string>>>"
-    none = F.array().cast("array<string>")
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("string").alias("heading"), none.alias("lines"))
-    close = lambda acc: F.when(F.size(acc["lines"]) > 0, F.concat(acc["done"], F.array(F.struct(acc["heading"].alias("heading"), acc["lines"].alias("lines"))))).otherwise(acc["done"])
-
-    def step(acc: Column, line: Column) -> Column:
-        heading = first_match(line, TERM_HEADING, 1)
-        return F.struct(
-            F.when(heading.isNotNull(), close(acc)).otherwise(acc["done"]).alias("done"),
-            F.coalesce(heading, acc["heading"]).alias("heading"),
-            F.when(heading.isNotNull(), none).otherwise(F.concat(acc["lines"], F.array(line))).alias("lines"),
-        )
+    with it; lines before the first heading have a null heading. Headings are found first, then lines are sliced."""
+
+    def blocks(lines: Column) -> Column:
+        marks = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), first_match(x, TERM_HEADING, 1).alias("heading"))), lambda m: m["heading"].isNotNull())
+        none = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("heading"))
+
+        def cut(marks: Column) -> Column:
+            until = F.concat(F.slice(F.transform(marks, lambda m: m["at"]), 2, F.size(marks)), F.array(F.size(lines) + 1))
+            each = lambda m, end: F.struct(m["heading"].alias("heading"), F.slice(lines, m["at"] + 1, end - m["at"] - 1).alias("lines"))
+            return F.filter(F.zip_with(marks, until, each), lambda b: F.size(b["lines"]) > 0)
+
+        return once(F.concat(F.array(none), marks), cut)
+
+    return once(lines_of(text), blocks)
+
 
-    return F.aggregate(lines_of(text), start, step, close)
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with value computed once, also where make uses it within other lambdas."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
 def term_chunks(text: Column, title: Column, p: ChunkParams = ChunkParams()) -> Column:

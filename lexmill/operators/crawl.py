@@ -14,6 +14,7 @@ from lexmill.storage import materialize
 @dataclass(frozen=True)
 class CrawlParams:
     depth: int = 2
+    max_pages: int = 1000  # that a crawl fetches in all
     unit_marker: str = "/tr/Birim/"
     person_marker: str = "prsnl="
     units_only: bool = False  # admit unit pages only; PDFs and person pages are exempt
@@ -31,10 +32,11 @@ def admissible(df: DataFrame, url: str, scope: Scope, p: CrawlParams) -> DataFra
 
 def next_level(offers: DataFrame, seen: DataFrame) -> DataFrame:
     """One row for each key of offers(key, from_key, place, ...) that seen lacks: the offer of the parent that was met
-    first, then the first on its page."""
+    first, then the first on its page, then the least url."""
     rest = [c for c in offers.columns if c not in ("key", "from_key", "place")]
     fresh = offers.join(seen.select("key"), "key", "left_anti")
-    first = fresh.groupBy("key").agg(F.min_by(F.struct("from_key", "place", *rest), F.struct("from_key", "place")).alias("o"))
+    by = F.struct("from_key", "place", *[c for c in rest if c == "url"])
+    first = fresh.groupBy("key").agg(F.min_by(F.struct("from_key", "place", *rest), by).alias("o"))
     return first.select("key", *[F.col(f"o.{c}").alias(c) for c in ("from_key", "place", *rest)])
 
 

@@ -1,7 +1,8 @@
-"""Exact dense top k: queries in blocks of bounded size against all vectors.
+"""Exact dense top k: blocks of queries against blocks of vectors.
 
-One pass over the vectors serves a block of queries; each task keeps its best k of every query, and only those are
-shuffled.
+Queries lie in the shared folder as a table. A task holds a bounded block of its vectors, reads the queries block by
+block and gives the best k of each query among its block of vectors; only those are shuffled. Neither the driver nor a
+plan holds queries, and the vectors are read once, however many queries there are.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.sparse import topk
+from lexmill.storage import fresh_path
 
-#: Queries held by a task at a time.
-BLOCK = 1024
+#: Queries, and numbers of vectors, held by a task at a time.
+BLOCK, HELD = 1024, 16 << 20
 
 
 def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:
@@ -51,50 +53,51 @@ def rank_vectors(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool
     """(query_id, doc_id, score, rank) of the k largest dot products of queries(query_id, vector) with
     vectors(doc_id, vector), rounded to 6 places, ties to the smaller id. Null vectors take no part; with skip_self, a
     row does not match the query of its own id. Vectors of another length than the query raise an error."""
-    given = queries.select("query_id", "vector").filter(F.col("vector").isNotNull() & F.col("query_id").isNotNull())
-    best = None
-    for ids, matrix in _blocks(given):
-        part = vectors.select("doc_id", "vector").filter(F.col("vector").isNotNull() & F.col("doc_id").isNotNull())
-        part = part.mapInArrow(_scan(ids, matrix, k, skip_self), "query_id long, doc_id long, score double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return topk(best, k)
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query blocks, fetched one partition at a time."""
-    ids: list = []
-    rows: list = []
-    for r in queries.toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
-
-
-def _scan(query_ids: np.ndarray, matrix: np.ndarray, k: int, skip_self: bool):
+    given = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(F.col("vector").isNotNull() & F.col("query_id").isNotNull())
+    path = fresh_path(queries.sparkSession, "queries")
+    given.write.parquet(path)
+    known = vectors.select("doc_id", "vector").filter(F.col("vector").isNotNull() & F.col("doc_id").isNotNull())
+    return topk(known.mapInArrow(_scan(path, k, skip_self), "query_id long, doc_id long, score double"), k)
+
+
+def _query_blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileSystem
+
+    fs, at = FileSystem.from_uri(path)
+    for batch in ds.dataset(at, format="parquet", filesystem=fs).to_batches(columns=["query_id", "vector"], batch_size=BLOCK):
+        if batch.num_rows:
+            yield batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+
+
+def _scan(path: str, k: int, skip_self: bool):
+    def best(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for query_ids, matrix in _query_blocks(path):
+            for a in range(0, len(query_ids), max(1, min(BLOCK, HELD // len(ids)))):
+                some = query_ids[a : a + max(1, min(BLOCK, HELD // len(ids)))]
+                scores = np.round(matrix[a : a + len(some)] @ vectors.T, 6) + 0.0
+                if skip_self:
+                    scores[some[:, None] == ids[None, :]] = -np.inf
+                floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(some), -np.inf)
+                rows, columns = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+                order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+                rows, columns = rows[order], columns[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)  # within a query, best first
+                rows, columns = rows[place < k], columns[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(some[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], names=["query_id", "doc_id", "score"])
+
     def run(batches):
-        held = [(np.empty(0, dtype=np.int64), np.empty(0)) for _ in query_ids]
+        ids, vectors, held = [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(ids), -1)
-            for at in range(0, len(ids), 2048):
-                scores = np.round(matrix @ vectors[at : at + 2048].T, 6) + 0.0
-                some = ids[at : at + 2048]
-                if skip_self:
-                    scores[query_ids[:, None] == some[None, :]] = -np.inf
-                floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(query_ids), -np.inf)
-                for q in range(len(query_ids)):
-                    near = np.flatnonzero((scores[q] >= floor[q]) & (scores[q] > -np.inf))
-                    i, s = np.concatenate((held[q][0], some[near])), np.concatenate((held[q][1], scores[q][near]))
-                    keep = np.lexsort((i, -s))[:k]
-                    held[q] = (i[keep], s[keep])
-        for q, (i, s) in zip(query_ids, held, strict=True):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q)), pa.array(i), pa.array(s)], names=["query_id", "doc_id", "score"])
+            if not batch.num_rows:
+                continue
+            ids.append(batch.column(0).to_numpy(zero_copy_only=False))
+            vectors.append(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1))
+            held += vectors[-1].size
+            if held >= HELD:
+                yield from best(np.concatenate(ids), np.concatenate(vectors))
+                ids, vectors, held = [], [], 0
+        if ids:
+            yield from best(np.concatenate(ids), np.concatenate(vectors))
 
     return run

@@ -76,7 +76,8 @@ def longest_unit(low: Column, units: Column) -> Column:
 
 
 def unit_list(units: DataFrame) -> DataFrame:
-    """One row with the array that longest_unit takes, of units(unit). The list of a site's units is a rule table."""
+    """One row with the array that longest_unit takes, of units(unit). The list of a site's units is a rule table: its
+    size is that of the organisation, not of the corpus, whose distinct unit names are all it takes."""
     known = units.filter(F.coalesce("unit", F.lit("")) != "").select("unit").distinct()
     rows = known.select((-F.length("unit")).alias("by"), "unit", normalize_tr(F.col("unit")).alias("normal"))
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("by", "unit", "normal"))), lambda u: F.struct(u["unit"].alias("unit"), u["normal"].alias("normal"))).alias("units"))

@@ -63,6 +63,19 @@ with t as (select doc_id, length({norm_sql("text")}) n_norm, {tokens_sql("text")
 select doc_id, n_norm, len(t) n_tokens, len(list_distinct(t)) n_distinct, n_words from t"""
 
 
+def token_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document whose id is even behind compatibility characters, of the others as they are."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" ﬁne ＡＢＣ x² ½ İ\u0307stanbul\u00a0Ⅳ"))).otherwise(F.col("text"))
+    forms = by_form(docs.select("doc_id", text.alias("text")), "text", lambda df, odd: df.select("doc_id", normalize_tr(F.col("text"), odd).alias("norm")))
+    return forms.select("doc_id", F.md5("norm").alias("norm_md5"), F.size(tokens_of(F.col("norm"))).cast("long").alias("n_tokens"))
+
+
+TOKEN_FORMS_SQL = f"""
+with t as (select doc_id, text || case when doc_id % 2 = 0 then ' fine ABC x2 1⁄2 İstanbul IV' else '' end x from documents)
+select doc_id, md5({norm_sql("x")}) norm_md5, len({tokens_sql("x")}) n_tokens from t"""
+
+
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary with document and inverse document frequencies."""
     return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
@@ -201,5 +214,5 @@ select query_id, rank, doc_id, (case when w <= rest then w else rest end)::bigin
   md5(case when w <= rest then body else array_to_string({words_sql("body")}[1:greatest(rest, 0)::int], ' ') || ' ...' end) text_md5
 from run where (rest > 0 and (w <= rest or rest >= 40)) or (w = 0 and rest >= 0)"""
 
-QUERIES = {f.__name__: f for f in (token_stats, bm25_terms, bm25_topk, query_expansion, dense_topk, rrf_fusion, hybrid_search, scope_gate, gate_errors, eval_hits, context_pack)}
+QUERIES = {f.__name__: f for f in (token_stats, token_forms, bm25_terms, bm25_topk, query_expansion, dense_topk, rrf_fusion, hybrid_search, scope_gate, gate_errors, eval_hits, context_pack)}
 SQL = {name: globals()[f"{name.upper()}_SQL"].strip() for name in QUERIES}

@@ -1,7 +1,9 @@
-"""A polite HTTP source: spark.read.format("lexmill_http").option("urls", path of a Parquet table with a column url).
+"""A polite HTTP source: spark.read.format("lexmill_http").option("urls", path of a Parquet table with a column url and,
+for POST requests, a column data (string or binary; null for GET)).
 
 URLs of one host are read by one task, so that the pause between requests holds for the whole job; hosts are read in
-parallel. A URL is sent as it is.
+parallel. A URL is sent as it is. With the option failures set to true, URLs without a page give a row with the last
+status (null where nothing answered) and no body; else they give none.
 """
 
 from __future__ import annotations
@@ -13,8 +15,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lexmill.storage import fresh_path, materialize
+
 SCHEMA = "url string, final_url string, status int, content_type string, body binary"
 
 
@@ -27,27 +32,36 @@ class Client:
     def fetch(self, url: str, data: bytes | None = None) -> tuple | None:
         """(url, final_url, status, content_type, body), or None unless the status is 200. The wait grows with each
         attempt; client errors are final."""
+        row = self.answer(url, data)
+        return row if row[2] == 200 else None
+
+    def answer(self, url: str, data: bytes | None = None) -> tuple:
+        """As fetch, with the last status and a null body where there is no page. Data make a POST request."""
+        status = None
         for attempt in range(1, self.attempts + 1):
             time.sleep(max(0.0, self.last + self.pause - time.monotonic()))
             self.last = time.monotonic()
             try:
                 request = urllib.request.Request(url, data=data, headers={"User-Agent": self.agent})
                 with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    return (url, r.geturl(), r.status, r.headers.get("Content-Type", ""), r.read()) if r.status == 200 else None
+                    if r.status == 200:
+                        return url, r.geturl(), 200, r.headers.get("Content-Type", ""), r.read()
+                    return url, r.geturl(), r.status, None, None
             except urllib.error.HTTPError as e:
+                status = e.code
                 if e.code < 500:
-                    return None
+                    break
             except (OSError, ValueError):
                 pass
             if attempt < self.attempts:
                 time.sleep(self.pause * attempt)
-        return None
+        return url, None, status, None, None
 
 
 class Host(InputPartition):
-    def __init__(self, urls: list[str]) -> None:
+    def __init__(self, requests: list[tuple[str, bytes | None]]) -> None:
         super().__init__(None)
-        self.urls = urls
+        self.requests = requests
 
 
 class Reader(DataSourceReader):
@@ -57,24 +71,39 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Host]:
         """One partition a host. The URLs of a crawl level, of a size that max_urls bounds, pass through here."""
         import pyarrow.dataset as ds
+        from pyarrow.fs import FileSystem
 
         most, hosts, n = int(self.options.get("max_urls", 1_000_000)), defaultdict(list), 0
-        for batch in ds.dataset(self.options["urls"].removeprefix("file:"), format="parquet", exclude_invalid_files=True).to_batches(columns=["url"]):
-            for url in batch.column(0).to_pylist():
-                if url:
-                    hosts[urlsplit(url).netloc.lower()].append(url)
+        where = self.options["urls"]
+        fs, at = FileSystem.from_uri(where if ":" in where else f"file://{where}")
+        table = ds.dataset(at, format="parquet", filesystem=fs, exclude_invalid_files=True)
+        wanted = ["url", "data"] if "data" in table.schema.names else ["url"]
+        for batch in table.to_batches(columns=wanted):
+            for row in batch.to_pylist():
+                if url := row["url"]:
+                    data = row.get("data")
+                    hosts[urlsplit(url).netloc.lower()].append((url, data.encode() if isinstance(data, str) else data))
                     n += 1
             if n > most:
                 raise ValueError(f"more than {most} URLs in a level; raise max_urls or split the level")
-        return [Host(urls) for _, urls in sorted(hosts.items())]
+        return [Host(requests) for _, requests in sorted(hosts.items())] or [Host([])]
 
     def read(self, partition: Host) -> Iterator[tuple]:
         o = self.options
         client = Client(float(o.get("pause", 1.0)), int(o.get("attempts", 3)), float(o.get("timeout", 30.0)))
-        for url in partition.urls:
-            found = client.fetch(url)
-            if found:
-                yield found
+        for url, data in partition.requests:
+            row = client.answer(url, data)
+            if row[2] == 200 or o.get("failures", "false").lower() == "true":
+                yield row
+
+
+def fetched(requests: DataFrame, **options: str) -> DataFrame:
+    """The rows of SCHEMA for requests(url[, data]), failures included: written to the shared folder, then read once."""
+    spark = requests.sparkSession
+    path = fresh_path(spark, "urls")
+    requests.write.parquet(path)
+    spark.dataSource.register(HttpSource)
+    return materialize(spark.read.format("lexmill_http").options(failures="true", **options).option("urls", path).load(), "fetched")
 
 
 class HttpSource(DataSource):

@@ -96,6 +96,49 @@ def test_routes(spark, results):
     assert (silent.route, silent.answer, silent.sources) == ("unknown", None, [])
 
 
+def test_failures_and_texts(spark, results):
+    q = spark.createDataFrame([(5, "yemek listesi", "yemek listesi", False), (6, "zzz nedir acaba", "zzz nedir acaba", False)], "query_id long, text string, search_text string, named boolean")
+    gate = spark.createDataFrame([(5, True), (6, False)], "query_id long, in_scope boolean").withColumns({"bm25_max": F.lit(1.0), "cosine_max": F.lit(0.5)})
+
+    def broken(prompts):
+        raise TimeoutError
+
+    told = answers.route(q, results, gate, datetime.date(2026, 1, 5), broken, texts={"failed": "later", "out_of_scope": "not here"})
+    assert {r.query_id: (r.route, r.answer, r.sources) for r in told.collect()} == {5: ("failed", "later", []), 6: ("out_of_scope", "not here", [])}
+    assert {r.reason for r in answers.unanswered(told, q, gate, "t").collect()} == {"failed", "out_of_scope"}
+
+    def fussy(prompts):
+        if "bad" in prompts:
+            raise ValueError
+        return [p.upper() for p in prompts]
+
+    rows = answers.generate(spark.createDataFrame([("a",), ("bad",), (None,), ("c",)], "p string").coalesce(1), "p", "said", fussy).collect()
+    assert [r.said for r in rows] == ["A", None, None, "C"]
+
+
+def test_served_model():
+    import http.server
+    import json
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"response": f" {asked['model']}:{asked['prompt']}:{asked['seed']} "}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert answers.ServedModel(f"http://127.0.0.1:{server.server_address[1]}/", "m", 5, seed=3)(["x", "y"]) == ["m:x:3", "m:y:3"]
+    server.shutdown()
+
+
 def test_context(spark):
     text = lambda n: " ".join(["w"] * n)
     rows = [(1, 1, text(60)), (1, 2, text(60)), (1, 3, text(5)), (2, 1, text(90)), (2, 2, text(20)), (3, 1, None), (3, 2, text(100)), (3, 3, "")]
