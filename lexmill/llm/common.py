@@ -49,12 +49,21 @@ def replacing(uri: str):
 # ---------------------------------------------------------------- Arrow row loops
 
 
+def short_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Sets the session's Arrow batches to at most so many rows: by default one holds 10,000, which for rows of 20 KB, a
+    usual page, is 200 MB and several times that in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], schema: str, batch_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow over rows. make() is called once a task and gives a function from row tuples to row tuples;
     string columns arrive as UTF-8 bytes. Output batches are cut at about batch_bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    short_batches(df.sparkSession)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def rows(batches):
@@ -180,6 +189,7 @@ def append(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], lis
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    short_batches(df.sparkSession)
     text = F.col(text_col)
     source = df.select(*[F.col(c) for c in keep], (text if dict(df.dtypes).get(text_col) == "binary" else text.cast("string")).alias("__text"))
     more = StructType.fromDDL(added)

@@ -3,7 +3,8 @@
 A document's set holds the hashes of its distinct word shingles. Each register of a sketch is the truncated,
 exponentially spaced minimum of one hash function over the set, so that sketches of parts merge by maximum and equal
 registers are about as likely as shared shingles. Bands of registers propose pairs, the joint likelihood of two
-sketches discards those that cannot reach the similarity asked for, and full sets confirm the rest.
+sketches discards those that cannot reach the similarity asked for, and full sets confirm the rest. A set holds 64-bit
+hashes of its shingles; two shingles of one document's pair agree by chance once in about 10^19 pairs.
 
 Sizes: equal sets collapse to one class first. In a bucket of a band, each class is compared with one hub; what the
 confirmed links join needs no further comparison. Only buckets that still hold several components compare members

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from lexmill.llm.common import filesystem, map_rows, replacing, table
+from lexmill.llm.common import filesystem, map_rows, replacing, short_batches, table
 from lexmill.storage import fresh_path, materialize
 
 FIELDS = ["page_id", "warc_type", "record_id", "concurrent_to", "refers_to", "refers_to_uri", "refers_to_date", "target_uri", "warc_date", "content_type", "source_headers", "source_payload_digest", "block_digest", "content_length", "block"]
@@ -160,6 +160,7 @@ def derive(found: DataFrame) -> DataFrame:
     An empty payload gives an empty conversion and metadata without title and links. Links keep their order and
     repeats. Null columns of a response count as empty; an empty table gives no rows. Other columns are not read.
     """
+    short_batches(found.sparkSession)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     read = found.select("page_id", *[empty(c).alias(c) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")])
     read = read.withColumn("page", read_page("payload"))
