@@ -188,6 +188,11 @@ def separable(tokenizer) -> bool:
     return set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and drops and plain and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
 
 
+def latin(word: str) -> bool:
+    """Whether a word is of Latin letters that neither composing nor lower-casing takes apart: a single pre-token."""
+    return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
+
+
 class Encoder:
     """Encoded words (bytes of their ids) of one tokenizer that lower-cases; the cache is cleared when full."""
 
@@ -230,7 +235,7 @@ class Encoder:
         wanted = {w[:-1] for w in closed} | {w[-1:] for w in closed} | set(words).difference(closed)
         plain, other = [], []
         for w in wanted.difference(known):
-            (plain if w.isalpha() else other).append(w)
+            (plain if w.isalpha() or latin(w.decode()) else other).append(w)
         for group in (plain, other):
             for at in range(0, len(group), 2048):
                 self.encode(group[at : at + 2048], group is plain)
@@ -238,8 +243,8 @@ class Encoder:
             known[w] = known[w[:-1]] + known[w[-1:]]
 
     def encode(self, words: list[bytes], single: bool) -> None:
-        """Encodes words as one text, since a call costs far more than a word. If each is a single pre-token (ASCII
-        letters alone), its last id is the one that ends a word; otherwise character offsets tell words apart."""
+        """Encodes words as one text, since a call costs far more than a word. If each is a single pre-token
+        (letters alone), its last id is the one that ends a word; otherwise character offsets tell words apart."""
         texts = [w.decode() for w in words]
         if single:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")

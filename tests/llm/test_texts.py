@@ -194,6 +194,19 @@ def test_shards_of_bounded_size(spark, docs, tmp_path, name):
     assert sum(bool(sstable.Shard(m.path).lookup(k)) for m in manifest for k in range(10**6, 10**6 + 200)) == 0
 
 
+def test_words_of_latin_letters():
+    """Every letter below U+0180, alone and in words, as the library encodes it."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder, rng = Tokenizer.from_file(path), sstable.Encoder(path, 2, 100), np.random.default_rng(1)
+    letters = [chr(i) for i in range(0x250) if chr(i).isalpha()]
+    words = [*letters, *("".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(2, 9))) for _ in range(3000)), "e\u0301t", "ﬁn", "l'été", "été.", "İs", "1é", "ʼn"]
+    texts = [" ".join(words[at : at + 40]) for at in range(0, len(words), 40)]
+    got = encoder.ids([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bloom_positions():
     keys = [sstable.key_of(i * 977 - 5) for i in range(3000)]
     packed = np.unpackbits(np.frombuffer(sstable.bloom(np.array([zlib.crc32(k) << 32 | zlib.adler32(k) | 1 for k in keys], dtype=np.uint64)), dtype=np.uint8))
