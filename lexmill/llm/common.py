@@ -180,20 +180,60 @@ def count_words(column: str, pattern: str = r"[^\x20\x09-\x0D]+"):
     return F.coalesce(F.regexp_count(F.col(column), F.lit(pattern)), F.lit(0)).cast("long")
 
 
+# ---------------------------------------------------------------- kept columns beside new ones
+
+
+def column(name: str):
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_names(keep: Iterable[str], added: Iterable[str]) -> list[str]:
+    """Names under which kept columns stand beside added ones: their own, or `input_` before it where an added column
+    has that name."""
+    taken, out = {a.lower() for a in added}, []
+    for name in keep:
+        while name.lower() in taken:
+            name = f"input_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pack(df: DataFrame, keep: Iterable[str], *own) -> DataFrame:
+    """The columns in own and a struct `row` of those in keep: joins and Python steps between pack and unpack choose
+    names freely, since no column of the input stands beside theirs."""
+    fields = [column(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    return df.select(*own, F.struct(*(fields or [F.lit(0).alias("none")])).alias("row"))
+
+
+def unpack(df: DataFrame, keep: Iterable[str], *added: str) -> DataFrame:
+    """The columns of row under the names they came with (see kept_names), then those added."""
+    names = kept_names(keep, added)
+    return df.select(*[F.col("row").getField(f"c{i}").alias(n) for i, n in enumerate(names)], *added)
+
+
+def fingerprint(keep: Iterable[str]):
+    """A hash of columns of any type; maps, which Spark neither hashes nor compares, by their JSON."""
+    return F.sha2(F.to_json(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(keep)]), {"ignoreNullFields": "false"}), 256)
+
+
 # ---------------------------------------------------------------- columns computed from a text column
 
 
 def append(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[tuple]]], added: str, keep: list[str], slice_bytes: int = 4 << 20) -> DataFrame:
-    """The columns in keep, then those of the DDL in added. make() is called once a task and gives a function from a
-    list of texts (UTF-8 bytes, or those of a binary column, or None) to as many tuples. A narrow operation: no shuffle, slices of bounded size."""
+    """The columns in keep, then those of the DDL in added; a kept column named like an added one is renamed (see
+    kept_names). make() is called once a task and gives a function from a list of texts (UTF-8 bytes, or those of a
+    binary column, or None) to as many tuples. A narrow operation: no shuffle, slices of bounded size."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     short_batches(df.sparkSession)
-    text = F.col(text_col)
-    source = df.select(*[F.col(c) for c in keep], (text if dict(df.dtypes).get(text_col) == "binary" else text.cast("string")).alias("__text"))
+    text = column(text_col)
+    source = df.select(*[column(c).alias(f"k{i}") for i, c in enumerate(keep)], (text if dict(df.dtypes).get(text_col) == "binary" else text.cast("string")).alias("t"))
     more = StructType.fromDDL(added)
-    out = StructType([*source.schema.fields[:-1], *more.fields])
+    # Names by position: what stands in the input cannot meet them.
+    out = StructType([*source.schema.fields[:-1], *[StructField(f"a{i}", f.dataType) for i, f in enumerate(more.fields)]])
     added_types = [f.type for f in to_arrow_schema(more)]
 
     def run(batches):
@@ -209,4 +249,5 @@ def append(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], lis
                 new = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), added_types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *new], names=out.names)
 
-    return source.mapInArrow(run, out)
+    names = [*kept_names(keep, more.names), *more.names]
+    return source.mapInArrow(run, out).toDF(*names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, licenses, media, mixing, near_dedup, pii, sstable, token_counts, toxicity, warc
+from lexmill.llm import decontaminate, licenses, media, mixing, near_dedup, pieces, pii, prefix_trie, sstable, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mix_to_weights": mixing.op8_mix_to_weights,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sstable": sstable.op10_sstable,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op13_sentencepieces": pieces.op13_sentencepieces,
 }
 
 SQL = {
@@ -22,4 +24,5 @@ SQL = {
     "op3_warc_derivatives": warc.OP3_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
     "op8_mix_to_weights": mixing.OP8_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }
