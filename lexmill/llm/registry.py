@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, licenses, media, mixing, near_dedup, pieces, pii, prefix_trie, sstable, token_counts, toxicity, warc
+from lexmill.llm import collocations, decontaminate, licenses, media, mixing, near_dedup, pieces, pii, prefix_trie, sstable, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sstable": sstable.op10_sstable,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_collocations": collocations.op12_collocations,
     "op13_sentencepieces": pieces.op13_sentencepieces,
 }
 
@@ -25,4 +26,5 @@ SQL = {
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
     "op8_mix_to_weights": mixing.OP8_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
