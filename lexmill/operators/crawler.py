@@ -1,4 +1,4 @@
-"""A crawl from seeds to page records: level by level, a join with what was seen, a fetch, and one pass over its answers."""
+"""A crawl from seeds to page records: round by round, a join with what was seen, a fetch, and one pass over its answers."""
 
 from __future__ import annotations
 
@@ -12,19 +12,28 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.urls import Scope, identity, is_person
 from lexmill.operators import html, ingest
-from lexmill.operators.crawl import CrawlParams, admissible, next_level
+from lexmill.operators.crawl import LINK, LIST, CrawlParams, admissible, next_level, numbered
 from lexmill.schema import PageParams
 from lexmill.storage import materialize
 
-CONTEXT = "menu string, unit string, breadcrumb array<string>, depth int, from_url string, place int"
-# The tabs of a person's page, by number and label.
-TABS = ((1, "Özgeçmiş"), (2, "Yayınlar"), (3, "Dersler"))
+CONTEXT = "menu string, unit string, breadcrumb array<string>, depth int"
+# The tabs of a person's page that are asked for, by the last part of their address, and their labels.
+TABS = (("KisiselBilgiler", "Akademik Görevler ve Öğrenim Bilgisi"), ("DersListesi", "Verdiği Dersler"))
+
+
+@dataclass(frozen=True)
+class PersonTabs:
+    """Where the tabs of a person's page are asked for: by POST to endpoint/tab, the page's token in one field."""
+
+    endpoint: str
+    tabs: tuple[tuple[str, str], ...] = TABS
+    field: str = "id"
 
 
 @dataclass(frozen=True)
 class Crawl:
     records: DataFrame  # page records, as pages.records gives them
-    visits: DataFrame  # key, url, depth, from_key, status: a row for each page asked for
+    visits: DataFrame  # seq, key, url, depth, from_key, status: a row for each page asked for, numbered in queue order
 
 
 def counts(visits: DataFrame) -> DataFrame:
@@ -32,21 +41,12 @@ def counts(visits: DataFrame) -> DataFrame:
     return visits.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def tab_requests(rows: DataFrame, endpoint: str, tabs=TABS) -> DataFrame:
-    """(url, tab_no, label, request_url, data): a POST request for each tab of the person pages among rows(url, html)
-    that hold a token."""
-    token = rows.select("url", html.person_token(F.col("html")).alias("token")).filter("token is not null")
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("tab_no"), F.lit(label).alias("label")) for n, label in tabs])).alias("tab")
-    asked = token.select("url", "token", each).select("url", "tab.*", "token")
-    return asked.select("url", "tab_no", "label", F.concat(F.lit(f"{endpoint}?tab="), F.col("tab_no").cast("string"), F.lit("&p="), F.url_encode("token")).alias("request_url"), F.concat(F.lit("token="), F.url_encode("token")).alias("data"))
-
-
-def person_tabs(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], endpoint: str) -> DataFrame:
-    """(url, tab_no, label, body) of the person pages among rows: their tabs are asked for by POST, tags are dropped."""
-    asked = materialize(tab_requests(rows, endpoint), "tabs")
-    got = fetch(asked.select(F.col("request_url").alias("url"), "data")).filter("status = 200").select(F.col("url").alias("request_url"), F.decode("body", "UTF-8").alias("html"))
-    told = html.extract(got.withColumn("url", F.col("request_url")))
-    return asked.join(told.select("request_url", F.col("page.text").alias("body")), "request_url").select("url", "tab_no", "label", "body")
+def requests(level: DataFrame, tabs: PersonTabs | None, c: CrawlParams) -> DataFrame:
+    """(url[, follow]) of a level: with tabs, person pages carry the requests that hang on their token."""
+    if not tabs:
+        return level.select("url")
+    follow = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"{tabs.endpoint.rstrip('/')}/{tab}").alias("url"), F.lit(tabs.field).alias("field")) for tab, label in tabs.tabs])
+    return level.select("url", F.when(is_person(F.col("url"), c.person_marker), follow).alias("follow"))
 
 
 def crawl(
@@ -56,55 +56,59 @@ def crawl(
     today: datetime.date,
     fetched_at: Column | str,
     extractor: Callable[[bytes], list[str]] | None = None,
-    tabs_endpoint: str | None = None,
+    tabs: PersonTabs | None = None,
     courses_endpoint: str | None = None,
     c: CrawlParams = CrawlParams(),
     h: html.HtmlParams = html.HtmlParams(),
     p: PageParams = PageParams(),
 ) -> Crawl:
-    """Records and visits of a crawl from seeds(url[, menu, unit, breadcrumb]).
-
-    fetch turns requests(url[, data]) into (url, final_url, status, content_type, body), as sources.http.fetched does.
-    A page is met once, at its least depth, by the offer of the parent met first. Each level is cut to the pages that
-    max_pages leaves, in the order of parents and of places on them; the crawl ends there, at the depth, or when nothing
-    new is offered. Only numbers of pages come to the driver. PDFs are read if there is an extractor; persons' tabs and
-    course lists are asked for where their endpoints are named. Failed pages have a visit and no record.
+    """Records and visits of a crawl from seeds(url[, menu, unit, breadcrumb, place]), in the order of one queue.
+
+    fetch turns requests(url[, follow]) into (url, final_url, status, content_type, body[, parts]), as
+    sources.http.fetched does. Pages stand in a queue, seeds by place, then by key; what a page offers goes to its end:
+    embedded files at the page's own depth, then links one deeper. A page is met once, by the first offer of it, and
+    takes unit and breadcrumb from there. Course lists are asked for with the page that first names them and stand in no
+    queue. max_pages pages of the queue are asked for, failed ones included. Each round takes all that stands in the
+    queue, numbered (crawl.numbered); only numbers of pages come to the driver.
+
+    PDFs are read if there is an extractor, persons' tabs and course lists are asked for where their endpoints are
+    named. Failed pages have a visit and no record; a person's page without a token or whose tabs fail keeps its own
+    text.
     """
     spark = seeds.sparkSession
     given = [x for x in ("menu", "unit", "breadcrumb") if x in seeds.columns]
     empty = {"menu": F.lit(None).cast("string"), "unit": F.lit(None).cast("string"), "breadcrumb": F.array().cast("array<string>")}
-    first = seeds.select("url", *[F.col(x) if x in given else v.alias(x) for x, v in empty.items()], F.lit(0).alias("depth"), F.lit("").alias("from_key"), F.lit(0).alias("place"))
+    place = F.col("place").cast("long") if "place" in seeds.columns else F.lit(0).cast("long")
+    first = seeds.select("url", *[F.col(x) if x in given else v.alias(x) for x, v in empty.items()], F.lit(0).alias("depth"), F.lit(0).cast("long").alias("from_seq"), F.lit(LINK).alias("kind"), place.alias("place"), F.lit(None).cast("string").alias("from_key"))
     seen = spark.createDataFrame([], "key string")
-    offered, left, records, visits = first, c.max_pages, [], []
-    while left > 0:
-        keyed = admissible(offered, "url", scope, c).withColumn("key", identity(F.col("url")))
-        level = next_level(keyed, seen).orderBy("depth", "from_key", "place", "key").limit(left)
-        level = materialize(level.select("key", "url", "menu", "unit", "breadcrumb", "depth", "from_key"), "level")
+    offered, begun, records, visits = first, 0, [], []
+    while True:
+        queued = admissible(offered.filter(F.col("kind") != LIST), "url", scope, c).unionByName(offered.filter(F.col("kind") == LIST))
+        fresh = materialize(next_level(queued.withColumn("key", identity(F.col("url"))), seen), "offers")
+        seen = seen.unionByName(fresh.select("key"))
+        if courses_endpoint and visits:
+            lists = fresh.filter(F.col("kind") == LIST).select("url", "unit", "breadcrumb")
+            got = fetch(lists.select("url")).filter("status = 200").select("url", "content_type", "body").join(lists, "url")
+            records.append(materialize(ingest.course_records(got, fetched_at, p, h), "records"))
+        level = numbered(fresh.filter(F.col("kind") != LIST), begun).filter(F.col("seq") < c.max_pages)
         n = level.count()
         if not n:
             break
-        left -= n
-        answers = fetch(level.select("url"))
-        got = materialize(level.join(answers.select("url", "status", "content_type", "body"), "url", "left"), "answers")
-        visits.append(got.select("key", "url", "depth", "from_key", "status"))
-        seen = seen.unionByName(level.select("key"))
-        pages = got.filter("status = 200").drop("key", "from_key", "status")
-        tabs = None
-        if tabs_endpoint:
-            people = pages.filter(is_person(F.col("url"), c.person_marker)).select("url", F.decode("body", "UTF-8").alias("html"))
-            tabs = person_tabs(people, fetch, tabs_endpoint)
-        rows = materialize(ingest.parsed(pages, tabs, h, c), "parsed")
-        told = [ingest.html_records(rows, today, fetched_at, p)]
+        begun += n
+        answers = fetch(requests(level, tabs, c))
+        columns = [x for x in ("final_url", "status", "content_type", "body", "parts") if x in answers.columns]
+        got = materialize(level.join(answers.select("url", *columns), "url", "left"), "answers")
+        visits.append(got.select("seq", "key", "url", "depth", "from_key", "status"))
+        pages = got.filter("status = 200").drop("key", "from_key", "from_seq", "kind", "place", "status")
+        rows = materialize(ingest.parsed(pages.drop("seq"), h, c), "parsed")
+        records.append(materialize(ingest.html_records(rows, today, fetched_at, p), "records"))
         if extractor:
-            told.append(ingest.pdf_records(pages, extractor, fetched_at, p))
+            records.append(materialize(ingest.pdf_records(pages, extractor, fetched_at, p), "records"))
+        offered = ingest.offers(rows, c)
         if courses_endpoint:
-            lists = materialize(ingest.course_lists(rows, courses_endpoint).join(seen.select(F.col("key").alias("__k")), F.col("__k") == identity(F.col("url")), "left_anti"), "lists")
-            courses = fetch(lists.select("url")).filter("status = 200").select("url", "content_type", "body").join(lists, "url")
-            told.append(ingest.course_records(ingest.parsed(courses, None, h, c), fetched_at, p))
-            seen = seen.unionByName(lists.select(identity(F.col("url")).alias("key")))
-        records += [materialize(x, "records") for x in told]
-        offered = ingest.offers(rows, c).withColumn("from_key", identity(F.col("from_url"))).drop("from_url")
+            offered = offered.unionByName(ingest.course_lists(rows, courses_endpoint))
+        offered = offered.join(pages.select(F.col("url").alias("from_url"), F.col("seq").alias("from_seq")), "from_url").withColumn("from_key", identity(F.col("from_url"))).withColumn("place", F.col("place").cast("long")).drop("from_url")
     if not visits:
         none = spark.createDataFrame([], f"url string, content_type string, body binary, {CONTEXT}")
-        return Crawl(ingest.html_records(ingest.parsed(none, None, h, c), today, fetched_at, p), spark.createDataFrame([], "key string, url string, depth int, from_key string, status int"))
+        return Crawl(ingest.html_records(ingest.parsed(none, h, c), today, fetched_at, p), spark.createDataFrame([], "seq long, key string, url string, depth int, from_key string, status int"))
     return Crawl(reduce(DataFrame.unionByName, records), reduce(DataFrame.unionByName, visits))

@@ -159,9 +159,13 @@ def program_ids(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"derslistegetir\((\d+)\)"), F.lit(1)))
 
 
+#: The token of a person's page, by which its tabs are asked for.
+TOKEN = r"Sayfa_Getir\('[^']+','([^']+)'\)"
+
+
 def person_token(html: Column) -> Column:
     """The token of a person's tabs, null where there is none."""
-    return F.nullif(F.regexp_extract(html, r"Sayfa_Getir\('[^']+','([^']+)'\)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, TOKEN, 1), F.lit(""))
 
 
 def person_text(tabs: DataFrame, key: str = "url") -> DataFrame:

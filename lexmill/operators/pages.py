@@ -19,11 +19,13 @@ URL_TYPES = (
 )
 
 
-def classify_response(df: DataFrame, url: str = "url", content_type: str = "content_type", body: str = "body") -> DataFrame:
+def classify_response(df: DataFrame, url: str = "url", content_type: str = "content_type", body: str = "body", by_path: bool = True) -> DataFrame:
     """df with kind (pdf, html or null) and html (the body as UTF-8 where it is HTML). A PDF is told by its content
-    type or by the path of its final URL."""
+    type or, with by_path, by the path of its URL or of the column final_url, where redirects led, if there is one."""
     low = F.lower(F.coalesce(F.col(content_type), F.lit("")))
-    pdf = low.contains("pdf") | F.coalesce(F.lower(F.col(url)).rlike(r"^[^?#]*\.pdf(?:[?#]|$)"), F.lit(False))
+    pdf = low.contains("pdf")
+    for c in (url, *[x for x in ("final_url",) if x in df.columns]) if by_path else ():
+        pdf = pdf | F.coalesce(F.lower(F.col(c)).rlike(r"^[^?#]*\.pdf(?:[?#]|$)"), F.lit(False))
     return df.withColumn("kind", F.when(pdf, "pdf").when(low.contains("html"), "html")).withColumn("html", F.when(F.col("kind") == "html", F.decode(F.col(body), "UTF-8")))
 
 

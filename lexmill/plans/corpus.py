@@ -342,25 +342,41 @@ select page_id, (row_number() over (partition by page_id order by k) - 1)::int p
 
 
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a graph, a document linked with those one and two sources on; levels from the first source of each
-    language, down to depth 3."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang").distinct().withColumn("number", F.regexp_extract("source", "[0-9]+", 0).cast("int"))
-    url = lambda lang, n: F.concat(F.lit("https://Example.org/"), lang, F.lit("/"), n.cast("string"), F.lit("/"))
-    steps = F.explode(F.array(F.lit(1), F.lit(2))).alias("place")
-    edges = docs.select(url(F.col("lang"), F.col("number")).alias("url"), "lang", "number", steps).withColumn("link_url", url(F.col("lang"), F.col("number") + F.col("place")))
-    seeds = docs.groupBy("lang").agg(F.min("number").alias("n")).select(url(F.col("lang"), F.col("n")).alias("url"))
-    scope = urls.Scope(hosts=("example.org",), fragments=())
-    return crawl.traverse(edges, seeds, scope, crawl.CrawlParams(depth=3)).select("key", "depth", "from_key")
-
-
-CRAWL_LEVELS_SQL = """
-with recursive d as (select distinct lang, regexp_extract(source, '[0-9]+')::int n from documents),
-e as (select lang, n, n + p to_n from d, (values (1), (2)) v(p)),
-r as (select lang, min(n) n, 0 depth from d group by 1 union select r.lang, e.to_n, r.depth + 1 from r join e on e.lang = r.lang and e.n = r.n where r.depth < 3),
-m as (select lang, n, min(depth) depth from r group by all),
-p as (select m.lang, m.n, m.depth, min('https://example.org/' || m.lang || '/' || f.n) from_key
-  from m left join e on e.lang = m.lang and e.to_n = m.n left join m f on f.lang = e.lang and f.n = e.n and f.depth = m.depth - 1 group by all)
-select 'https://example.org/' || lang || '/' || n "key", depth, case when depth > 0 then from_key end from_key from p"""
+    """Pages joined by what they link to: from the first page of each top-level domain to the paths it links to, on to
+    the pages that link there, and to their paths, in the order of one queue."""
+    raw = _html(spark, sf_dir)
+    node = lambda p: F.concat(F.lit("https://links.example"), p)
+    page = lambda c: F.concat(F.lit("https://pages.example/"), F.col(c).cast("string"))
+    found = html.links(raw.select("page_id", "page")).filter(urls.path(F.col("link_url")).startswith("/")).select("page_id", "place", node(urls.path(F.col("link_url"))).alias("target"))
+    out = found.select(page("page_id").alias("url"), F.col("target").alias("link_url"), F.col("place").cast("long").alias("place"))
+    back = found.select(F.col("target").alias("url"), page("page_id").alias("link_url"), F.col("page_id").alias("place"))
+    domain = F.element_at(F.split(urls.host(F.col("url")), r"\."), -1)
+    seeds = raw.groupBy(domain.alias("d")).agg(F.min("page_id").alias("place")).select(page("place").alias("url"), "place")
+    scope = urls.Scope(hosts=("links.example", "pages.example"), extensions=(), fragments=(), parameters=())
+    return crawl.traverse(out.unionByName(back), seeds, scope, crawl.CrawlParams(depth=3)).select("key", "depth", "from_key", "seq")
+
+
+def _levels_sql(depth: int) -> str:
+    """Levels one by one: what the level before offers, without what was met, numbered in the order of the queue."""
+    out = """l0 as materialized (select 'https://pages.example/' || min(page_id) "key", 0 as "depth", null::varchar from_key, row_number() over (order by min(page_id)) - 1 seq from hosts group by d)"""
+    for k in range(1, depth + 1):
+        met = " union all ".join(f'select "key" from l{i}' for i in range(k))
+        total = " + ".join(f"(select count(*) from l{i})" for i in range(k))
+        out += f""",
+l{k} as materialized (
+  select e.b "key", {k}, arg_min(e.a, (p.seq, e.place)) from_key, row_number() over (order by min((p.seq, e.place)), e.b) - 1 + {total} seq
+  from l{k - 1} p join e on e.a = p."key" where e.b not in ({met}) group by e.b)"""
+    return out
+
+
+CRAWL_LEVELS_SQL = rf"""
+with a as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) h, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) k from pages),
+r as (select page_id, row_number() over (partition by page_id order by k) - 1 place, regexp_extract(regexp_replace(h, '^[a-z]+://[^/?#]*', ''), '^[^?#]*') p from a where h <> '' and not regexp_matches(h, '^(#|javascript:|mailto:|tel:)')),
+t as (select page_id, place, 'https://pages.example/' || page_id u, 'https://links.example' || case when regexp_replace(p, '/+$', '') = '' then '/' else regexp_replace(p, '/+$', '') end v from r where starts_with(p, '/')),
+e as materialized (select a, b, min(place) place from (select u a, v b, place from t union all select v, u, page_id from t) group by 1, 2),
+hosts as (select page_id, regexp_extract(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '[^.]*$') d from pages),
+{_levels_sql(3)}
+select * from l0 union all select * from l1 union all select * from l2 union all select * from l3"""
 
 _ALL = (page_records, page_validate, page_profile, page_upsert_cdc, url_scope_key, doc_type_rules, date_extract, stratified_sample, stride_chunks, sliding_chunks, term_blocks, letterspace_repair, informative_filter, chunk_pages, chunk_profile, html_extract, html_links, crawl_levels)
 QUERIES = {f.__name__: f for f in _ALL}

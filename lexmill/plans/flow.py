@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions import urls
 from lexmill.functions.text import STOP_WORDS
 from lexmill.operators import answers, chunking, crawl, dense, html, ingest, pages, questions
 from lexmill.plans.tables import norm_sql, table, words_sql
@@ -220,17 +221,21 @@ from r where length(t) >= 20"""
 
 
 def ingest_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What parsed responses offer to a crawl: links, embedded files and the course lists of programmes."""
+    """What parsed responses offer to a crawl: links, embedded files and the course lists of programmes, each by the
+    first response that offers it, in the order of document ids."""
     rows = ingest.parsed(_fetched(spark, sf_dir))
-    offered = ingest.offers(rows, crawl.CrawlParams(depth=1)).select("from_url", "url", "menu", "unit", F.array_join("breadcrumb", "/").alias("breadcrumb"), "depth")
-    lists = ingest.course_lists(rows, "https://a.edu/list").select(F.lit(None).cast("string").alias("from_url"), "url", "menu", "unit", F.array_join("breadcrumb", "/").alias("breadcrumb"), "depth")
-    return offered.unionByName(lists)
-
-
-INGEST_OFFERS_SQL = f"""with {_FETCHED}
-select url from_url, 'https://a.edu/tr/x/' || id url, 'Link' menu, 'Unit ' || id unit, 'Akademik/Unit ' || id breadcrumb, 1 as "depth" from r where m = 0
-union all select url, 'https://a.edu/f.pdf', 'Unit ' || id, 'Unit ' || id, 'Akademik/Unit ' || id, 0 from r where m = 0
-union all select null, 'https://a.edu/list?id=' || doc_id % 5, 'Ders Listesi (AKTS)', arg_min('U ' || id, url), arg_min('Akademik/U ' || id || '/Menu', url), 0 from r where m = 3 group by doc_id % 5"""
+    offered = ingest.offers(rows, crawl.CrawlParams(depth=1)).unionByName(ingest.course_lists(rows, "https://a.edu/list"))
+    queued = offered.withColumn("from_seq", F.regexp_extract("from_url", "[0-9]+$", 0).cast("long")).withColumn("key", urls.identity(F.col("url")))
+    first = crawl.next_level(queued, spark.createDataFrame([], "key string"))
+    return first.select("from_url", "url", "menu", "unit", F.array_join("breadcrumb", "/").alias("breadcrumb"), "depth")
+
+
+INGEST_OFFERS_SQL = f"""with {_FETCHED},
+o as (
+select doc_id s, url from_url, 'https://a.edu/tr/x/' || id url, 'Link' menu, 'Unit ' || id unit, 'Akademik/Unit ' || id breadcrumb, 1 as "depth" from r where m = 0
+union all select doc_id, url, 'https://a.edu/f.pdf', 'Unit ' || id, 'Unit ' || id, 'Akademik/Unit ' || id, 0 from r where m = 0
+union all select doc_id, url, 'https://a.edu/list?id=' || doc_id % 5, 'Ders Listesi (AKTS)', 'U ' || id, 'Akademik/U ' || id || '/Menu', 0 from r where m = 3)
+select * exclude (s) from o qualify row_number() over (partition by url order by s) = 1"""
 
 
 def person_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,33 @@
 """A polite HTTP source: spark.read.format("lexmill_http").option("urls", path of a Parquet table with a column url and,
-for POST requests, a column data (string or binary; null for GET)).
+for POST requests, a column data (string or binary; null for GET), and for requests that hang on an answer a column
+follow, an array of (label, url, field)).
 
 URLs of one host are read by one task, so that the pause between requests holds for the whole job; hosts are read in
 parallel. A URL is sent as it is. With the option failures set to true, URLs without a page give a row with the last
 status (null where nothing answered) and no body; else they give none.
+
+A follow-up is a POST of one form field, whose value the option token, a pattern with one group, finds in the page. It
+is sent in the same host's queue right after the page, so that pages and follow-ups share one pause. What follow-ups
+answered stands in parts, in their order; one that fails has its status and no body and leaves the page as it is.
 """
 
 from __future__ import annotations
 
+import re
 import time
 import urllib.error
 import urllib.request
 from collections import defaultdict
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import urlencode, urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexmill.storage import fresh_path, materialize
 
-SCHEMA = "url string, final_url string, status int, content_type string, body binary"
+PARTS = "array<struct<label: string, status: int, content_type: string, body: binary>>"
+SCHEMA = f"url string, final_url string, status int, content_type string, body binary, parts {PARTS}"
 
 
 class Client:
@@ -59,7 +66,7 @@ class Client:
 
 
 class Host(InputPartition):
-    def __init__(self, requests: list[tuple[str, bytes | None]]) -> None:
+    def __init__(self, requests: list[tuple[str, bytes | None, list | None]]) -> None:
         super().__init__(None)
         self.requests = requests
 
@@ -77,12 +84,12 @@ class Reader(DataSourceReader):
         where = self.options["urls"]
         fs, at = FileSystem.from_uri(where if ":" in where else f"file://{where}")
         table = ds.dataset(at, format="parquet", filesystem=fs, exclude_invalid_files=True)
-        wanted = ["url", "data"] if "data" in table.schema.names else ["url"]
+        wanted = ["url", *[x for x in ("data", "follow") if x in table.schema.names]]
         for batch in table.to_batches(columns=wanted):
             for row in batch.to_pylist():
                 if url := row["url"]:
                     data = row.get("data")
-                    hosts[urlsplit(url).netloc.lower()].append((url, data.encode() if isinstance(data, str) else data))
+                    hosts[urlsplit(url).netloc.lower()].append((url, data.encode() if isinstance(data, str) else data, row.get("follow")))
                     n += 1
             if n > most:
                 raise ValueError(f"more than {most} URLs in a level; raise max_urls or split the level")
@@ -91,14 +98,24 @@ class Reader(DataSourceReader):
     def read(self, partition: Host) -> Iterator[tuple]:
         o = self.options
         client = Client(float(o.get("pause", 1.0)), int(o.get("attempts", 3)), float(o.get("timeout", 30.0)))
-        for url, data in partition.requests:
+        token = re.compile(o.get("token", r"(?!)"))
+        for url, data, follow in partition.requests:
             row = client.answer(url, data)
             if row[2] == 200 or o.get("failures", "false").lower() == "true":
-                yield row
+                yield *row, follow_up(client, row[4], token, follow)
+
+
+def follow_up(client: Client, body: bytes | None, token: re.Pattern, follow: list | None) -> list[tuple] | None:
+    """(label, status, content type, body) of each follow-up to a page with a token; null where there are none."""
+    found = token.search(body.decode("utf-8", "replace")) if body and follow else None
+    if not found:
+        return None
+    answers = [(f["label"], client.answer(f["url"], urlencode({f["field"]: found[1]}).encode())) for f in follow]
+    return [(label, *a[2:]) for label, a in answers]
 
 
 def fetched(requests: DataFrame, **options: str) -> DataFrame:
-    """The rows of SCHEMA for requests(url[, data]), failures included: written to the shared folder, then read once."""
+    """The rows of SCHEMA for requests(url[, data][, follow]), failures included: written to the shared folder, then read once."""
     spark = requests.sparkSession
     path = fresh_path(spark, "urls")
     requests.write.parquet(path)

@@ -35,7 +35,7 @@ def test_from_responses_to_answers(spark, tmp_path):
     rows = ingest.parsed(fetched)
     records = ingest.html_records(rows, today, "2026-01-10T00:00:00").unionByName(ingest.pdf_records(fetched, lambda b: [b.decode()], "2026-01-10T00:00:00"))
     courses = spark.createDataFrame([("http://a.edu/list?id=7", "text/html", LIST.encode(), "Ders Listesi (AKTS)", "Yazılım Mühendisliği", [], 0)], FETCHED)
-    records = records.unionByName(ingest.course_records(ingest.parsed(courses), "2026-01-10T00:00:00"))
+    records = records.unionByName(ingest.course_records(courses, "2026-01-10T00:00:00"))
     got = {r.url.rsplit("/", 1)[-1]: (r.title, r.doc_type, r.unit, r.published_at) for r in records.collect()}
     assert got == {
         "1": ("Yazılım Mühendisliği", "sayfa", "Yazılım Mühendisliği", None),
@@ -46,7 +46,7 @@ def test_from_responses_to_answers(spark, tmp_path):
     }
     offered = {(r.url, r.menu, r.depth) for r in ingest.offers(rows, crawl.CrawlParams(depth=1)).collect()}
     assert offered == {("http://a.edu/f/takvim.pdf", "Yazılım Mühendisliği", 0), ("http://a.edu/tr/Birim/Personel", "Akademik Personel", 1), ("http://a.edu/tr/x.pdf", "Plan", 1)}
-    assert [tuple(r)[:3] for r in ingest.course_lists(rows, "http://a.edu/list").collect()] == [("http://a.edu/list?id=7", "Ders Listesi (AKTS)", "Yazılım Mühendisliği")]
+    assert [(r.url, r.menu, r.unit) for r in ingest.course_lists(rows, "http://a.edu/list").collect()] == [("http://a.edu/list?id=7", "Ders Listesi (AKTS)", "Yazılım Mühendisliği")]
 
     chunks = dense.encode(chunking.chunk_pages(records).withColumn("t", dense.embedding_text()), "t", encoder).drop("t", "n")
     index.save(index.with_positions(chunks), str(tmp_path / "index"), "letters", "test", datetime.datetime(2026, 1, 10))
