@@ -2,17 +2,17 @@
 
 A text is normalised by the model's compiled character map: at each place the longest rule that matches is replaced,
 and for every byte of the result the source bytes it came from are recorded. The normalised text splits into pre-tokens
-that no piece crosses; each is merged, best score first, into pieces, characters without a piece become byte pieces, and
-a bounded cache in each worker holds the pieces of the pre-tokens it met. A piece's normalised bytes then project to the
+that no piece crosses; a bounded cache in each worker holds the pieces of the pre-tokens it met, and the library, on a
+model whose normaliser is taken out, merges those that it misses, many in one call. A piece's normalised bytes then project to the
 source bytes they came from. Everything is a narrow map: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -60,6 +60,23 @@ def fields(data: bytes):
             at += n
 
 
+def without_normalizer(data: bytes) -> bytes:
+    """The model with the normaliser named identity, which adds and removes nothing."""
+    out, spec = bytearray(), b"\x0a\x08identity\x18\x00\x20\x00\x28\x01"
+
+    def varint(n: int) -> bytes:
+        held = bytearray()
+        while n > 127:
+            held.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*held, n])
+
+    for number, value in fields(data):
+        if number != 3:
+            out += varint(number << 3 | 2) + varint(len(value)) + value  # all parts of a model are messages
+    return bytes(out + varint(3 << 3 | 2) + varint(len(spec)) + spec)
+
+
 class CharacterMap:
     """A compiled character map: a double-array trie over source bytes whose values are places in a block of
     replacements, each ended by a zero byte."""
@@ -110,14 +127,15 @@ class Model:
     squeeze: bool = True  # runs of spaces become one
     escape: bool = True
     suffix: bool = False
+    bare: bytes = b""  # the model file with a normaliser that changes nothing
     unknown_surface: bytes = " ⁇ ".encode()
 
     def check(self, path: str) -> Model:
         """Raises where the model asks for what is not done here."""
         if self.type != BPE or not self.escape or self.suffix:
             raise ValueError(f"{path}: only BPE models with escaped spaces before words")
-        if USER in self.kinds or UNUSED in self.kinds:
-            raise ValueError(f"{path}: user-defined and unused pieces are not handled")
+        if USER in self.kinds or UNUSED in self.kinds or not self.byte_fallback:
+            raise ValueError(f"{path}: only models with byte pieces and without user-defined or unused ones")
         if any(re.search("[^▁]▁", x) or "\n" in x for x in (p.decode() for p, k in zip(self.pieces, self.kinds, strict=True) if k == NORMAL)):
             raise ValueError(f"{path}: pieces cross pre-tokens")
         return self
@@ -127,6 +145,7 @@ def read_model(path: str) -> Model:
     m = Model()
     with open(path, "rb") as f:
         data = f.read()
+    m.bare = without_normalizer(data)
     for number, value in fields(data):
         if number == 1:
             piece = dict(fields(value))
@@ -221,66 +240,37 @@ PRETOKEN = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 
 
 class Pieces(dict):
-    """Pre-token -> (ids, byte length of each in the normalised text). A miss is merged once and kept, until the cache
-    is full and starts anew."""
+    """Pre-token -> its pieces as pairs of 32-bit numbers, id and byte length in the normalised text, as bytes. What a batch of
+    texts misses is merged once and kept, until the cache is full and starts anew."""
 
     def __init__(self, m: Model, limit: int) -> None:
-        super().__init__()
-        self.m, self.limit = m, limit
-        self.ids = {p.decode(): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k == NORMAL}
-        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k == BYTE}
-        self.unknown = m.kinds.index(UNKNOWN)
+        import sentencepiece
 
-    def __missing__(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        if len(self) >= self.limit:
+        super().__init__()
+        self.limit = limit
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=m.bare)
+        self.sizes = np.array([1 if k == BYTE else len(p) for p, k in zip(m.pieces, m.kinds, strict=True)], dtype=np.int32)
+
+    def learn(self, tokens: list[str]) -> None:
+        """Puts the pieces of all tokens into the cache."""
+        missing = [t for t in dict.fromkeys(tokens) if t not in self]
+        if len(self) + len(missing) > self.limit:
             self.clear()
-        out = self.merge(token)
-        if len(token) < 1024:
-            self[token] = out
-        return out
-
-    def merge(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Neighbours join by the best score of what they make, the leftmost first, until no join is a piece."""
-        symbols, n = list(token), len(token)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(a: int, b: int) -> None:
-            joined = symbols[a] + symbols[b]
-            if (i := self.ids.get(joined)) is not None:
-                heapq.heappush(heap, (-self.m.scores[i], a, b, joined))
-
-        for a in range(n - 1):
-            offer(a, a + 1)
-        while heap:
-            _, a, b, joined = heapq.heappop(heap)
-            if not symbols[a] or not symbols[b] or right[a] != b or len(symbols[a]) + len(symbols[b]) != len(joined):
-                continue
-            symbols[a], symbols[b], right[a] = joined, "", right[b]
-            if right[b] < n:
-                left[right[b]] = a
-                offer(a, right[b])
-            if left[a] >= 0:
-                offer(left[a], a)
-        ids: list[int] = []
-        sizes: list[int] = []
-        unknown = False  # unknown characters that follow each other are one piece
-        for x in filter(None, symbols):
-            i = self.ids.get(x)
-            raw = x.encode()
-            if i is not None:
-                ids.append(i)
-                sizes.append(len(raw))
-            elif self.m.byte_fallback:
-                ids.extend(self.bytes[b] for b in raw)
-                sizes.extend([1] * len(raw))
-            elif unknown:
-                sizes[-1] += len(raw)
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(raw))
-            unknown = i is None and not self.m.byte_fallback
-        return tuple(ids), tuple(sizes)
+            missing = list(dict.fromkeys(tokens))
+        if not missing:
+            return
+        found = self.library.encode(missing, num_threads=1)
+        ends = np.cumsum([len(x) for x in found])
+        pairs = np.empty((int(ends[-1]), 2), dtype=np.int32)
+        pairs[:, 0] = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=len(pairs))
+        pairs[:, 1] = self.sizes[pairs[:, 0]]
+        spelt = np.diff(np.concatenate(([0], np.cumsum(pairs[:, 1])))[np.concatenate(([0], ends))])
+        if (spelt != [len(t.encode()) for t in missing]).any():
+            raise ValueError("the model's pieces do not spell its texts")
+        held, at = pairs.tobytes(), 0
+        for t, to in zip(missing, (8 * ends).tolist(), strict=True):
+            self[t] = held[at:to]
+            at = to
 
 
 class Decoder:
@@ -346,18 +336,19 @@ def characters(data: bytes) -> bytes:
 _WORKER: dict[tuple, Pieces] = {}
 
 
-def encode_text(text: bytes, normalizer: Normalizer, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, begins, ends) of a text's pieces, places in source bytes, end exclusive."""
-    out, begins, ends = normalizer.normalize(text)
-    if not out:
-        return (np.empty(0, np.int32),) * 3
-    found = list(map(pieces.__getitem__, PRETOKEN.findall(out.decode())))
-    ids = np.fromiter((i for x, _ in found for i in x), dtype=np.int32)
-    to = np.cumsum(np.fromiter((n for _, s in found for n in s), dtype=np.int32))
-    # Characters that source bytes share between pieces, as in a replacement of several letters, belong to each.
-    first = begins[np.concatenate(([0], to[:-1]))]
-    last = ends[to - 1]
-    return ids, first, last
+def encode_texts(texts: list[bytes], normalizer: Normalizer, pieces: Pieces) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, begins, ends) of the pieces of each text, places in source bytes, end exclusive."""
+    normal = [normalizer.normalize(t) for t in texts]
+    tokens = [PRETOKEN.findall(out.decode()) for out, _, _ in normal]
+    pieces.learn([t for x in tokens for t in x])
+    rows = []
+    for (_, begins, ends), x in zip(normal, tokens, strict=True):
+        pairs = np.frombuffer(b"".join(map(pieces.__getitem__, x)), dtype=np.int32).reshape(-1, 2)
+        ids, to = pairs[:, 0].copy(), np.cumsum(pairs[:, 1])
+        # Source bytes that several pieces came from, as in a replacement of several letters, belong to each.
+        first = begins[np.concatenate(([0], to[:-1]))] if len(to) else begins
+        rows.append((ids, first, ends[to - 1] if len(to) else ends))
+    return rows
 
 
 def model_of(docs: DataFrame, model_path: str | None):
@@ -380,9 +371,9 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
             _WORKER[path, cache] = Pieces(model.value, cache)
         pieces = _WORKER[path, cache]
         normalizer = Normalizer(model.value)
-        return lambda texts: [encode_text(t or b"", normalizer, pieces) for t in texts]
+        return lambda texts: encode_texts([t or b"" for t in texts], normalizer, pieces)
 
-    return append(docs, text_col, make, "ids array<int>, begins array<int>, ends array<int>", list(keep))
+    return append(docs, text_col, make, "ids array<int>, begins array<int>, ends array<int>", list(keep), slice_bytes=1 << 20)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), model_path: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def parts():
 
 def check(text, library, parts):
     m, normalizer, merged, decoder = parts
-    ids, begins, ends = pieces.encode_text(text.encode(), normalizer, merged)
+    [(ids, begins, ends)] = pieces.encode_texts([text.encode()], normalizer, merged)
     want = library.encode(text)
     assert ids.tolist() == want
     assert decoder.decode(ids) == library.decode(want).encode()
