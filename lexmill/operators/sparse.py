@@ -27,11 +27,7 @@ class SparseIndex:
     params: Bm25Params = Bm25Params()
 
     def save(self, path: str) -> None:
-        """Postings are ordered by term and document within and over files, so that a scan for some terms skips row
-        groups and the postings of a frequent term fill as many files as they need."""
-        n = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ordered = self.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-        for name, table in (("postings", ordered), ("terms", self.terms), ("docs", self.docs), ("facts", self.facts)):
+        for name, table in (("postings", ordered(self.postings)), ("terms", self.terms), ("docs", self.docs), ("facts", self.facts)):
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
@@ -39,24 +35,47 @@ class SparseIndex:
         return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "docs", "facts")), params)
 
 
-def build(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], params: Bm25Params = Bm25Params(), stop_words: bool = True) -> SparseIndex:
-    """An index over the columns of text_cols, joined by spaces. Null texts count as empty: such rows have no
-    postings but do count among the documents."""
+def ordered(postings: DataFrame) -> DataFrame:
+    """Postings ordered by term and document within and over files, so that a scan for some terms skips row groups and
+    the postings of a frequent term fill as many files as they need."""
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
+def postings(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], stop_words: bool = True) -> DataFrame:
+    """(term, doc_id, tf, dl) of the columns of text_cols, joined by spaces; null texts count as empty."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
     source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     tokens = by_form(source, "text", lambda df, odd: df.select("doc_id", tokenize_tr(F.col("text"), stop_words, odd).alias("tokens")))
     terms = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = materialize(terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), "postings")
+    return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    """(term, df): in how many documents each term stands."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def build(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], params: Bm25Params = Bm25Params(), stop_words: bool = True) -> SparseIndex:
+    """An index over the columns of text_cols, joined by spaces. Null texts count as empty: such rows have no
+    postings but do count among the documents."""
+    found = materialize(postings(docs, id_col, text_cols, stop_words), "postings")
     ids = docs.select(F.col(id_col).alias("doc_id"))
-    counted = ids.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("all")))  # a row each
-    facts = materialize(counted.select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("mean")), "facts")
-    return SparseIndex(postings, materialize(inverse_frequencies(postings, facts, params), "terms"), ids, facts, params)
+    counted = ids.agg(F.count("*").alias("n")).crossJoin(found.agg(F.sum("tf").alias("all")))  # a row each
+    facts = counted.select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("mean"))
+    return of_counts(found, frequencies(found), ids, facts, params)
+
+
+def of_counts(postings: DataFrame, frequencies: DataFrame, docs: DataFrame, facts: DataFrame, params: Bm25Params = Bm25Params()) -> SparseIndex:
+    """An index of postings whose terms(term, df), documents and facts(n, mean) are known."""
+    facts = materialize(facts, "facts")
+    return SparseIndex(postings, materialize(inverse_frequencies(frequencies, facts, params), "terms"), docs, facts, params)
 
 
-def inverse_frequencies(postings: DataFrame, facts: DataFrame, params: Bm25Params) -> DataFrame:
+def inverse_frequencies(frequencies: DataFrame, facts: DataFrame, params: Bm25Params) -> DataFrame:
     """(term, df, idf). Terms of more than half the documents get epsilon times the mean of all idf."""
     n = facts.select("n").scalar()
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = frequencies.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     raw = materialize(raw, "frequencies")
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, params.epsilon * mean).otherwise(F.col("raw")).alias("idf"))

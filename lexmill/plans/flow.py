@@ -290,7 +290,7 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.save(index.with_positions(encoded), path, "letters", "documents", datetime.datetime(2026, 1, 15))
     chunks, words, vectors = index.load(spark, path)
     terms = words.postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
-    facts = spark.read.parquet(f"{path}/meta").select(F.concat_ws("|", "model", "dim", "chunks", "source", "built_at").alias("facts"))
+    facts = index.meta(spark, path).select(F.concat_ws("|", "model", "dim", "chunks", "source", "built_at").alias("facts"))
     both = chunks.join(vectors, chunks.pos == vectors.doc_id).drop("doc_id").join(terms, F.col("pos") == terms.doc_id, "left")
     asked = F.md5(dense.query_text("title")).alias("query_md5")
     return both.select("chunk_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.round(F.col("vector")[0].cast("double"), 4).alias("x"), F.round(F.col("vector")[1].cast("double"), 4).alias("y"), asked).crossJoin(facts)  # one row of facts

@@ -76,6 +76,44 @@ def replace(spark: SparkSession, new: str, path: str) -> None:
         fs.delete(old, True)
 
 
+def stamp(df: DataFrame) -> tuple:
+    """(path, time, size) of each file that df is read from."""
+    told = [(p, fs.getFileStatus(p)) for p, fs in (_hadoop(df.sparkSession, f) for f in sorted(df.inputFiles()))]
+    return tuple((p.toString(), s.getModificationTime(), s.getLen()) for p, s in told)
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """The version files of a folder, by number: what each says."""
+    p, fs = _hadoop(spark, f"{path}/versions")
+    if not fs.exists(p):
+        return {}
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(p)]
+    told = {int(n[:-5]): where for n, where in found if n.endswith(".json") and n[:-5].isdigit()}
+    return {n: _read(spark, where) for n, where in told.items()}
+
+
+def commit(spark: SparkSession, path: str, number: int, text: str) -> None:
+    """Makes a version by one rename of its written file. A version of that number, which another writer made first, is
+    an error; nothing is changed then."""
+    target, fs = _hadoop(spark, f"{path}/versions/{number:09d}.json")
+    new = _hadoop(spark, f"{path}/versions/.{uuid.uuid4().hex}")[0]
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(new, target):
+        fs.delete(new, False)
+        raise FileExistsError(f"version {number} of {path} exists: another writer was first")
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    p, fs = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it is read from fewer files than there are cores and its row groups keep less than half
     of them busy; any other df as it is. Only footers are read to tell."""

@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexmill.operators.pages import upsert
-from lexmill.storage import remove
+from lexmill.sources.store import PageStore
 
 
-def upsert_stream(pages: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Merges each batch of page records into the store, a folder of one version a batch, of which the last two are kept.
-    A batch that is run again reads the version before it and writes the same one. Each batch writes the store anew: for
-    stores of many times a batch's size, take larger batches."""
+def upsert_stream(pages: DataFrame, store: PageStore, checkpoint: str, source: str = "stream") -> StreamingQuery:
+    """Merges each batch of page records into the store, which writes the buckets that the batch changes. A batch that is
+    run again, after a failure, is known by its number and changes nothing; buckets of many parts are written anew, and
+    versions but the last two are removed."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{store}/v={number - 1}") if number else spark.createDataFrame([], batch.schema)
-        upsert(old, batch).drop("status").write.mode("overwrite").parquet(f"{store}/v={number}")
-        remove(spark, f"{store}/v={number - 2}")
+        store.merge(batch, f"{source}-{number}")
+        store.compact()
+        store.vacuum()
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

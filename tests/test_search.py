@@ -112,7 +112,7 @@ def test_search_from_saved_index(spark, tmp_path):
         store.load(spark, path)
     store.save(store.with_positions(chunks), path, "model", "test", datetime.datetime(2026, 1, 1))
     loaded, idx, vec = store.load(spark, path)
-    assert spark.read.parquet(f"{path}/meta").first().asDict() == {"model": "model", "dim": 2, "chunks": 7, "source": "test", "built_at": "2026-01-01T00:00:00"}
+    assert store.meta(spark, path).first().asDict() == {"model": "model", "dim": 2, "chunks": 7, "source": "test", "built_at": "2026-01-01T00:00:00"}
     queries = spark.createDataFrame([(1, "kuş nerede", [0.0, 1.0]), (2, None, [1.0, 0.0])], "query_id long, text string, vector array<float>")
     results, gate = hybrid.search(loaded, idx, vec, queries, SearchParams(gate_cosine_alone=0.9))
     rows = {(r.query_id, r.rank): r for r in results.collect()}
