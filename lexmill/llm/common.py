@@ -175,9 +175,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def count_words(column: str, pattern: str = r"[^\x20\x09-\x0D]+"):
+def count_words(name: str, pattern: str = r"[^\x20\x09-\x0D]+"):
     """Words of a string column as a native expression; null counts 0."""
-    return F.coalesce(F.regexp_count(F.col(column), F.lit(pattern)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(column(name).cast("string"), F.lit(pattern)), F.lit(0)).cast("long")
 
 
 # ---------------------------------------------------------------- kept columns beside new ones
@@ -213,9 +213,15 @@ def unpack(df: DataFrame, keep: Iterable[str], *added: str) -> DataFrame:
     return df.select(*[F.col("row").getField(f"c{i}").alias(n) for i, n in enumerate(names)], *added)
 
 
-def fingerprint(keep: Iterable[str]):
-    """A hash of columns of any type; maps, which Spark neither hashes nor compares, by their JSON."""
-    return F.sha2(F.to_json(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(keep)]), {"ignoreNullFields": "false"}), 256)
+def whole(name: str):
+    """An id column as a long; what is no whole number is null."""
+    return column(name).try_cast("long")
+
+
+def fingerprint(df: DataFrame, keep: Iterable[str]):
+    """A hash of columns of any type; those that hold maps, which Spark neither hashes nor compares, by their JSON."""
+    types = dict(df.dtypes)
+    return F.xxhash64(*[F.to_json(F.struct(column(c).alias("c"))) if "map<" in types.get(c, "") else column(c) for c in keep])
 
 
 # ---------------------------------------------------------------- columns computed from a text column

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ALNUM, append, map_rows, ngrams, signed, table, word_hashes
+from lexmill.llm.common import ALNUM, append, column, map_rows, ngrams, pack, signed, table, unpack, word_hashes
 from lexmill.storage import materialize
 
 
@@ -54,7 +54,7 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, p: Params) -> DataF
             for i in range(len(words) - n + 1 if n else 0):
                 yield item.decode(), words[i : i + n].tobytes()
 
-    source = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null")
+    source = items.select(column(id_col).cast("string").alias("item"), column(text_col).cast("string").alias("text")).filter("item is not null")
     return map_rows(source, lambda: run, "item string, words binary").distinct()
 
 
@@ -78,7 +78,7 @@ def rarity(docs: DataFrame, text_col: str, keys: dict[int, np.ndarray]) -> dict[
 
         return run
 
-    found = map_rows(docs.select(F.col(text_col).cast("string")), make, "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
+    found = map_rows(docs.select(column(text_col).cast("string")), make, "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
     out: dict[int, dict[int, int]] = {k: {} for k in keys}
     for k, s, n in found.collect():  # at most max_windows * window rows
         out[k][s & 0xFFFFFFFFFFFFFFFF] = n
@@ -149,14 +149,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     exclusive) and hit_items array<string> (sorted). A row for each row of docs.
 
     Null and empty texts have no words and no hits. Items without an id or without words are passed over. Repeated
-    items and windows count once. Other columns are not read.
+    items and windows count once. A kept column named like a new one is renamed (common.kept_names). Other columns are
+    not read.
     """
     p = params
     windows = materialize(windows_of(benchmark, item_id, item_text, p), "windows")
     blocks = max(1, -(-windows.count() // p.max_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int"))
     state = ["hit_words", "hit_starts", "hit_ends", "hit_items"]
-    out = docs.select(*keep, F.col(text_col).alias("__doc"), F.lit(0).cast("long").alias(state[0]), F.expr("cast(array() as array<int>)").alias(state[1]), F.expr("cast(array() as array<int>)").alias(state[2]), F.expr("cast(array() as array<string>)").alias(state[3]))
+    out = pack(docs, keep, column(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias(state[0]), F.expr("cast(array() as array<int>)").alias(state[1]), F.expr("cast(array() as array<int>)").alias(state[2]), F.expr("cast(array() as array<string>)").alias(state[3]))
     for k in range(blocks):
         rows = [(r["item"], bytes(r["words"])) for r in windows.filter(F.col("block") == k).collect()]  # about max_windows
         table = docs.sparkSession.sparkContext.broadcast(prefix_table(rows, docs, text_col, p))
@@ -177,14 +178,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             return run
 
         if blocks == 1:
-            return append(out, "__doc", make, "hit_words long, hit_starts array<int>, hit_ends array<int>, hit_items array<string>", list(keep))
-        out = append(out, "__doc", make, "w long, s array<int>, e array<int>, i array<string>", [*keep, "__doc", *state])
-        out = out.select(*keep, "__doc", F.col("w").alias(state[0]), F.concat(state[1], "s").alias(state[1]), F.concat(state[2], "e").alias(state[2]), F.array_sort(F.array_union(state[3], "i")).alias(state[3]))
+            return unpack(append(out, "text", make, "hit_words long, hit_starts array<int>, hit_ends array<int>, hit_items array<string>", ["row"]), keep, *state)
+        out = append(out, "text", make, "w long, s array<int>, e array<int>, i array<string>", ["row", "text", *state])
+        out = out.select("row", "text", F.col("w").alias(state[0]), F.concat(state[1], "s").alias(state[1]), F.concat(state[2], "e").alias(state[2]), F.array_sort(F.array_union(state[3], "i")).alias(state[3]))
     # Spans of several blocks may overlap: merge them in order of their starts.
     pairs = F.array_sort(F.arrays_zip(F.col(state[1]).alias("a"), F.col(state[2]).alias("b")))
     spans = F.aggregate(pairs, F.expr("cast(array() as array<struct<a:int,b:int>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))))
-    out = out.withColumn("__spans", spans)
-    return out.select(*keep, state[0], F.col("__spans.a").alias(state[1]), F.col("__spans.b").alias(state[2]), state[3])
+    out = out.withColumn("spans", spans)
+    return unpack(out.select("row", state[0], F.col("spans.a").alias(state[1]), F.col("spans.b").alias(state[2]), state[3]), keep, *state)
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

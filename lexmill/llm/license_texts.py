@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -17,6 +19,45 @@ _APACHE_END = 'Unless required by applicable law or agreed to in writing, softwa
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
 _GPL_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
 
+_FSF = "Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_APACHE_HEAD = 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'
+_MPL_HEAD = 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'
+
+# The conditions of Creative Commons licences as they are written, and their sets.
+CONDITIONS = {"nc": ("NonCommercial", "Non-Commercial"), "nd": ("NoDerivatives", "NoDerivs", "No-Derivatives"), "sa": ("ShareAlike", "Share-Alike")}
+CONDITION_SETS = ((), ("nc",), ("nd",), ("sa",), ("nc", "nd"), ("nc", "sa"))
+
+
+def _words(text: str) -> str:
+    return text.lower().replace("-", " ")
+
+
+def _creative_commons() -> list[tuple[str, str, str]]:
+    out = []
+    for has in CONDITION_SETS:
+        label = "-".join(("cc-by", *has))
+        out.append((label, _words(" ".join(("cc by", *has))), f"Licensed under CC {'-'.join(('BY', *(x.upper() for x in has)))} 4.0"))
+        for spelt in product(*[CONDITIONS[x] for x in has]):
+            name = "-".join(("Attribution", *spelt))
+            out.append((label, _words(f"creative commons {name}"), f"This work is licensed under a Creative Commons {name} 4.0 International License"))
+            out.append((label, _words(f"creative commons {name}"), f"Creative Commons {name} 4.0"))
+    return out
+
+
+def forbidden(label: str) -> list[str]:
+    """Phrases, as words, beside which a place is another licence: conditions that the label lacks, and names of the
+    licences whose names hold this one's."""
+    if label.startswith("cc-by"):
+        has = label.split("-")[2:]
+        spelt = [_words(x) for c, forms in CONDITIONS.items() if c not in has for x in forms]
+        return spelt + [_words(" ".join(("by", *more))) for more in CONDITION_SETS if len(more) == len(has) + 1 and set(has) < set(more)]
+    return {"gpl": ["lesser general public license", "library general public license", "affero general public license"], "bsd": ["mentioning features or use"]}.get(label, [])
+
+
+#: Words that may stand within a short notice without changing what it says, and words before it that turn it round.
+FILLERS = frozenset("the a an of terms and conditions this work version v its all".split())
+NEGATIONS = frozenset("not never no isn aren wasn weren unlike neither nor instead rather except without formerly previously".split())
+
 #: Label, mandatory key phrase, text. A notice that is often given alone stands beside the whole text.
 TEMPLATES = [
     ("apache-2.0", "apache license version 2 0", "Licensed under the Apache License, Version 2.0"),
@@ -39,9 +80,16 @@ TEMPLATES = [
     ("mpl-2.0", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "released into the public domain", "This is free and unencumbered software released into the public domain"),
     ("unlicense", "released into the public domain", _UNLICENSE),
-    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("gpl", "gnu general public license", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}"),
+    ("gpl", "gnu general public license", "Licensed under the GNU General Public License"),
+    ("lgpl", "gnu lesser general public license", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}"),
+    ("lgpl", "gnu lesser general public license", "Licensed under the GNU Lesser General Public License"),
+    ("agpl", "gnu affero general public license", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {_FSF}"),
+    ("agpl", "gnu affero general public license", _GPL.replace("GNU General", "GNU Affero General")),
+    ("agpl", "gnu affero general public license", "Licensed under the GNU Affero General Public License"),
+    ("apache-2.0", "apache license version 2 0", _APACHE_HEAD),
+    ("mpl-2.0", "mozilla public license", _MPL_HEAD),
+    *_creative_commons(),
 ]
 
 #: Frequent English words; each counts as if it stood in every text of a background as large as the templates are many.

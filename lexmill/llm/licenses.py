@@ -4,7 +4,9 @@ The index keeps, for each license template, its words of highest inverse documen
 background of frequent English words, with their positions. A file is looked up by the rare words it holds; each hit
 votes for the place where the template would begin. Where enough postings agree within a few words, for words may have
 been put in or left out between them, the place is verified: the share of template words that stand there in order, and
-the template's mandatory key phrase. Labels are joined with those of plain phrases found anywhere.
+the template's mandatory key phrase. Beside a place, no phrase may stand that makes it another licence, as noncommercial
+beside an attribution licence; a short notice may hold filler words only, and no word that denies it may stand before
+it. Labels are joined with those of plain phrases found anywhere.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from lexmill.llm.common import ALNUM, append, table
-from lexmill.llm.license_texts import BACKGROUND, TEMPLATES
+from lexmill.llm.license_texts import BACKGROUND, FILLERS, NEGATIONS, TEMPLATES, forbidden
 
 # Phrase and label of the base scan.
 PHRASES = {
@@ -32,6 +34,7 @@ class Params:
     rare_words: int = 8  # of each template, in its postings
     votes: float = 0.5  # share of a template's postings that must agree on a place
     share: float = 0.8  # of template words that stand in order
+    short: int = 16  # words up to which a template is a notice, whose words stand together
     drift: float = 0.1  # share of a template's length by which places of its postings may differ, and of words put in
 
 
@@ -66,6 +69,10 @@ class Index:
                 bits[w] |= 1 << i
             self.places.append(dict(bits))
         self.postings = dict(self.postings)
+        self.forbidden = [[f" {x} ".encode() for x in forbidden(label)] for label in self.labels]
+        fillers = {x.encode() for x in FILLERS}
+        self.fillers, self.negations = fillers, {x.encode() for x in NEGATIONS}
+        self.tight = [[w for w in ws if w not in fillers] if len(ws) <= p.short else None for ws in words]
         self.drift = [max(2, math.ceil(p.drift * n)) for n in self.sizes]
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
@@ -103,11 +110,24 @@ class Index:
     def verified(self, t: int, start: int, words: list[bytes]) -> float:
         """The share of the template's words in order about a place, 0 without its key phrase."""
         have = words[max(0, start - self.drift[t]) : max(0, start + self.sizes[t] + 2 * self.drift[t])]
-        if self.keys[t] not in b" " + b" ".join(have) + b" ":
+        line = b" " + b" ".join(have) + b" "
+        if self.keys[t] not in line or any(x in line for x in self.forbidden[t]) or not self.stands(t, start, words, have):
             return 0.0
         return in_order(self.places[t], self.sizes[t], have) / self.sizes[t]
 
 
+    def stands(self, t: int, start: int, words: list[bytes], have: list[bytes]) -> bool:
+        """Whether a notice's words stand together, but for fillers, and undenied; longer texts need no such test."""
+        wanted = self.tight[t]
+        if wanted is None:
+            return True
+        before = (b" " + b" ".join(have)).partition(self.keys[t].rstrip())[0].split()
+        if not self.negations.isdisjoint(words[max(0, start - self.drift[t] - 3) : max(0, start - self.drift[t])] + before):
+            return False
+        have, enough = [w for w in have if w not in self.fillers], math.ceil(self.p.share * len(wanted))
+        return any(sum(map(bytes.__eq__, wanted, have[i:])) >= enough for i in range(max(0, len(have) - enough) + 1))
+
+
 def phrase_places(words: list[bytes]) -> tuple[list[int], set[str]]:
     """Starts of every base phrase, from word 0, and their labels."""
     line, starts, labels = b" " + b" ".join(words) + b" ", [], set()

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import count_words, table
+from lexmill.llm.common import column, count_words, fingerprint, table
 from lexmill.storage import materialize
 
 
@@ -56,15 +56,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Null and empty texts have size 0 and are taken for nothing. A null source is a source of its own, last in order.
     The key of a row is a hash of its id and text, so that rows without an id or with a repeated one are spread like any
     others; only rows that agree in both share a key. Reruns agree, whatever the partitions; with keep, ties go by a hash
-    of its columns. Other columns are not read. An empty table gives
+    of its columns, of any type. Other columns are not read. An empty table gives
     no rows.
     """
     p = params
-    name = F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    name = F.concat_ws(":", F.lit(p.seed), F.coalesce(column(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(column(text_col).cast("string"), F.lit(""))))
     spread = F.md5(name.cast("binary"))
     key = F.conv(F.substring(spread, 1, KEY_BITS // 4), 16, 10).cast("long")
-    kept = [F.struct(*keep).alias("row"), F.xxhash64(*keep).alias("tie")] if keep else []
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"), key.alias("key"), *kept)
+    kept = [F.struct(*map(column, keep)).alias("row"), fingerprint(docs, keep).alias("tie")] if keep else []
+    source = docs.select(column(id_col).alias("doc_id"), column(source_col).alias("source"), count_words(text_col).alias("size"), key.alias("key"), *kept)
     sizes = materialize(source, "sizes")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     plan = source_targets(sizes, p).withColumn("budget", budget).withColumn("buckets", F.ceil(F.col("n") / p.bucket_rows).cast("long"))

@@ -8,8 +8,10 @@ hashes of its shingles; two shingles of one document's pair agree by chance once
 
 Sizes: equal sets collapse to one class first. In a bucket of a band, each class is compared with one hub; what the
 confirmed links join needs no further comparison. Only buckets that still hold several components compare members
-across components, in cells of bounded size: members outside a bucket's largest component with each other and with
-those inside. A cell confirms on full sets and emits no more links than join its members.
+across components. In the large ones of these, shingles that no other component holds bound what a member can share:
+members that reach no other's size go, so that unlike documents around a common passage are not compared. The others
+are compared in cells of bounded size: members outside a bucket's largest component with each other and with those
+inside. A cell confirms on full sets and emits no more links than join its members.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACED, constants, map_rows, ngrams, signed, splitmix, table, word_hashes
+from lexmill.llm.common import SPACED, column, constants, fingerprint, map_rows, ngrams, pack, signed, splitmix, table, unpack, word_hashes
+from lexmill.llm.common import whole as whole_id
 from lexmill.storage import discard, materialize
 
 
@@ -140,7 +143,7 @@ def cell_links(p: Params):
 
         column = lambda c: table.column(c).to_numpy()
         starts = borders(table)
-        band, across, major, block, i, j, rep, part, n = (column(c) for c in ("band", "across", "major", "block", "i", "j", "rep", "component", "n"))
+        band, across, major, block, i, j, rep, part, n, c = (column(x) for x in ("band", "across", "major", "block", "i", "j", "rep", "component", "n", "c"))
         part = part.copy()
         words = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(rep), -1)
         regs, sets = words.view(np.uint16).reshape(len(rep), -1), table.column("items")
@@ -150,6 +153,9 @@ def cell_links(p: Params):
 
         def settle():
             x, y = (np.concatenate(side) for side in zip(*pairs, strict=True))
+            most = np.minimum(c[x], c[y])  # shingles that the two may share
+            ok = p.similarity[1] * most >= p.similarity[0] * (n[x] + n[y] - most)
+            x, y = x[ok], y[ok]
             equal = (words[x] == words[y]) & (np.arange(words.shape[1]) < band[x][:, None])
             ok = ~equal.any(axis=1) & (part[x] != part[y])  # a pair is looked at in its first common band only
             x, y = x[ok], y[ok]
@@ -157,7 +163,8 @@ def cell_links(p: Params):
                 return
             ok = possible(regs[x], regs[y], n[x].astype(float), n[y].astype(float), p)
             x, y = x[ok], y[ok]
-            ok = p.similarity[1] * (c := common(x, y)) >= p.similarity[0] * (n[x] + n[y] - c)
+            shared = common(x, y)
+            ok = p.similarity[1] * shared >= p.similarity[0] * (n[x] + n[y] - shared)
             x, y = x[ok], y[ok]
             _, first = np.unique(np.stack((part[x], part[y])), axis=1, return_index=True)
             for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
@@ -221,6 +228,52 @@ def cell_links(p: Params):
     return run
 
 
+def lone_shingles(members: DataFrame, items: DataFrame) -> DataFrame:
+    """(rep, lone): how many shingles of a member no other component among members(rep, component) holds, counted where
+    at most two of its own component hold them; what is not counted bounds less."""
+
+    def explode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rep, part, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                values = np.frombuffer(held.as_buffer(), dtype=np.int64)
+                for at in range(0, len(values), 1 << 16):
+                    some = values[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), rep)), pa.array(np.full(len(some), part))], names=["shingle", "rep", "part"])
+
+    held = members.join(items, "rep").select("rep", "component", "items").mapInArrow(explode, "shingle long, rep long, part long")
+    ends = held.groupBy("shingle").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.count("*").alias("m"))
+    alone = ends.filter("p0 = p1 and m <= 2").select(F.explode(F.array_distinct(F.array("r0", "r1"))).alias("rep"))
+    return alone.groupBy("rep").agg(F.count("*").alias("lone"))
+
+
+def within_reach(placed: DataFrame, items: DataFrame, p: Params) -> DataFrame:
+    """placed(rep, band, bucket, n, component) with c, the most shingles that a member may share with one of another
+    component, and without the members of large unsettled buckets that can link with no other there.
+
+    With at most c shingles in common, a member of n links with none larger than (a + b) c / a - n or smaller than
+    a n / b, for a similarity of a / b. Sizes are compared in steps of six per cent, so that a member looks at a few
+    steps of its bucket, not at the members."""
+    a, b = p.similarity
+    key = ["band", "bucket"]
+    unsettled = placed.groupBy(*key).agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter((F.col("m") > p.cell) & (F.col("c0") < F.col("c1"))).select(*key)
+    large = placed.join(unsettled, key, "left_semi")
+    lone = lone_shingles(large.select("rep", "component").distinct(), items)
+    step = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.06)).cast("int")
+    bounded = large.join(lone, "rep", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    bounded = bounded.withColumn("top", F.floor(F.col("c") * (a + b) / a) - F.col("n")).withColumn("low", F.ceil(F.col("n") * a / b)).filter("top >= low")
+    bounded = materialize(bounded.withColumn("step", step(F.col("n"))), "bounded")
+    steps = bounded.groupBy(*key, "step").agg(F.max("top").alias("far"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    near = bounded.select(*bounded.columns, F.explode(F.sequence(step(F.col("low")), step(F.col("top")))).alias("to"))
+    met = near.join(steps.select(*key, F.col("step").alias("to"), "far", "c0", "c1"), [*key, "to"])
+    met = met.filter("far >= n and (c0 <> component or c1 <> component)")
+    columns = ["rep", *key, "n", "component", "c"]
+    kept = met.select(*columns).distinct()
+    rest = placed.join(unsettled, key, "left_anti").withColumn("c", F.col("n")).select(*columns)
+    return rest.unionByName(kept)
+
+
 def components(docs: DataFrame, id_col: str, text_col: str, p: Params, nameless: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, classes). rows: (doc_id, th, n, f1, f2, sketch) for each row, th a hash of its text. classes: the class
     (f1, f2, n) of each set that is not empty, with first_id and first_th of the row that comes first in its component,
@@ -244,8 +297,8 @@ def components(docs: DataFrame, id_col: str, text_col: str, p: Params, nameless:
 
         return run
 
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text = column(text_col).cast("string")
+    source = docs.select(whole_id(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed_docs = materialize(map_rows(source, signatures, "doc_id long, th long, n long, f1 long, f2 long, sketch array<long>"), "signatures")
     # A class has a number of its own: a repeated id may stand on rows with different texts, or on none.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
@@ -310,7 +363,8 @@ def components(docs: DataFrame, id_col: str, text_col: str, p: Params, nameless:
     # What is left: buckets that still hold several components. Members of the largest one (major) need not be compared
     # with each other.
     own = lambda df: df.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = own(shared.select("rep", "band", "bucket", "n"))
+    placed = own(shared.select("rep", "band", "bucket", "n"))  # one row a member and band
+    placed = within_reach(materialize(placed, "placed"), items, p)
     held = placed.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     count = lambda m, s: F.greatest(F.ceil(m / p.cell), F.ceil(s / p.cell_shingles), F.lit(1)).cast("int")
     most = F.max(F.struct("m", "s", "component"))
@@ -324,8 +378,8 @@ def components(docs: DataFrame, id_col: str, text_col: str, p: Params, nameless:
     inside = F.transform(upto(F.col("minors")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("across")))
     cells = cells.withColumn("block", block).withColumn("cell", F.explode(F.when(F.col("major"), inside).otherwise(F.concat(among, across))))
     key = ["band", "bucket", "i", "j", "across"]
-    cells = cells.select("rep", "band", "bucket", "cell.*", "major", "block", "component", "n").join(sketches.drop("n"), "rep").join(items, "rep")
-    cells = cells.select(*key, "major", "block", "rep", "component", "n", "sketch", "items")
+    cells = cells.select("rep", "band", "bucket", "cell.*", "major", "block", "component", "n", "c").join(sketches.drop("n"), "rep").join(items, "rep")
+    cells = cells.select(*key, "major", "block", "rep", "component", "n", "c", "sketch", "items")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = cells.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(cell_links(p), "u long, v long")
     second = materialize(rest, "links")
@@ -347,7 +401,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) for each row.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows and equal sets share a
-    component. Rows with one id and different texts are linked each by its own text. Rows without an id take part in no
+    component. Rows with one id and different texts are linked each by its own text. Rows without an id, or whose id is no whole number, take part in no
     link: component null, kept false. Other columns are not read.
     """
     rows, classes = components(docs, id_col, text_col, params, nameless=False)
@@ -358,10 +412,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """The rows of docs, all columns, that near-dedup leaves: one of each component, that with the smallest id, rows
-    without an id last, then by a hash of the text; of rows that agree in both the least by all columns.
+    without an id last, then by a hash of the text; of rows that agree in both that with the least hash of all columns.
 
-    Rows without an id or with a repeated one take part like any other, each by its own text. Texts without words are
-    linked with nothing: all their rows stay.
+    Rows without an id, or whose id is no whole number, or with a repeated one take part like any other, each by its own
+    text. Texts without words are linked with nothing: all their rows stay. Columns may have any name and type.
     """
     rows, classes = components(docs, id_col, text_col, params, nameless=True)
     firsts = classes.select("first_id", "first_th").distinct()
@@ -370,12 +424,12 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = materialize(firsts.join(again, match("doc_id", "th"), "left_semi"), "repeats")
     other = several.select(F.col("first_id").alias("a"), F.col("first_th").alias("b"))
     single = materialize(firsts.join(other, match("a", "b"), "left_anti"), "singles")
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text)})
-    one = keyed.join(single, match("__id", "__th"), "left_semi").select(*docs.columns)
-    least = keyed.join(several, match("__id", "__th"), "left_semi").groupBy("__id", "__th").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    silent = docs.filter(~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return one.unionByName(least).unionByName(silent)
+    text = column(text_col).cast("string")
+    spoken = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = pack(docs, docs.columns, whole_id(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), spoken.alias("spoken"), fingerprint(docs, docs.columns).alias("print"))
+    one = keyed.join(single, match("doc_id", "th"), "left_semi").select("row")
+    least = keyed.join(several, match("doc_id", "th"), "left_semi").groupBy("doc_id", "th").agg(F.min_by("row", "print").alias("row")).select("row")
+    return unpack(one.unionByName(least).unionByName(keyed.filter(~F.col("spoken")).select("row")), docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import table
+from lexmill.llm.common import column, pack, table, unpack
 
 CHUNK = 256
 #: Stands around matches; where a text holds it, OTHER takes its place, which no pattern matches either.
@@ -298,8 +298,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     Null and empty texts have no spans. Other columns are not read.
     """
     model = fitted(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(*keep, F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text).alias("__text"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    kept, keep = keep, ("row",)
+    out = pack(docs, kept, F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text).alias("__text"))
     patterns = {**BASE, **GENERATORS}
     # A layer for each step, so that none is evaluated twice.
     out = out.select(*keep, *[hinted(k, F.col("__text"), F.regexp_replace("__text", p, f"{MARK}$0{MARK}")).alias(f"__{k}") for k, p in patterns.items()])
@@ -327,7 +328,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
 
     base = F.concat(*[spans(k, passing(k)) for k in BASE])
     extra = F.concat(*[spans(k, selected(k)) for k in GENERATORS])
-    return uncovered(out.select(*keep, base.alias("base"), extra.alias("__extra")), keep)
+    return unpack(uncovered(out.select(*keep, base.alias("base"), extra.alias("__extra")), keep), kept, "base", "extra")
 
 
 def uncovered(found: DataFrame, keep: tuple[str, ...]) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import filesystem, map_rows, replacing, table
+from lexmill.llm.common import column, filesystem, map_rows, replacing, table, whole
 from lexmill.storage import fresh_path, materialize
 
 MAGIC = b"LXSST\x00\x00\x01"
@@ -278,7 +278,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = Non
     one row a file, where start is the number of ids in all shards before. There are `shards` partitions, or as many as
     keep about shard_bytes of text in each; a file ends when its ids reach shard_bytes.
 
-    Null and empty texts have the end id alone. Rows without an id come first. Rows with the same id stay apart, in
+    Null and empty texts have the end id alone. Rows without an id, or whose id is no whole number, come first. Rows with the same id stay apart, in
     the order of their texts' hashes. Any white space but ASCII's is left to the tokenizer. Other columns are not
     read. An empty table has no shards.
     """
@@ -287,7 +287,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = Non
     spark = docs.sparkSession
     directory = directory or fresh_path(spark, "sstable")
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(whole(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = source.repartitionByRange(n, *order).sortWithinPartitions(*order)

@@ -14,7 +14,8 @@ import re
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from lexmill.llm.common import append, table
+from lexmill.llm.common import append, kept_names, table
+from lexmill.llm.pieces import read_model
 
 SPACE = "▁"
 PRETOKEN = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
@@ -31,6 +32,13 @@ def load(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def plain_spaces(path: str) -> None:
+    """Raises unless the model's normaliser changes spaces alone, as piece_count does."""
+    m = read_model(path)
+    if m.map or m.squeeze or not m.dummy_prefix:
+        raise ValueError(f"{path}: its normaliser changes more than spaces; encode with lexmill.llm.pieces instead")
+
+
 class Counts(dict):
     """Pre-token lengths: a miss is encoded once and kept, until the cache is full and starts anew."""
 
@@ -61,6 +69,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_bytes, n_tokens, over_limit) for each row, as the library counts whole texts. Null counts as empty:
     no bytes, no tokens. Repeated rows stay. Other columns are not read."""
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+    plain_spaces(path)
     model = load(path)
     pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
     if not separable(pieces):
@@ -82,7 +91,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return run
 
-    return append(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, text_col, make, "n_bytes long, n_tokens long, over_limit boolean", ["doc_id", *keep])
+    counted = append(docs, text_col, make, "n_bytes long, n_tokens long, over_limit boolean", [id_col, *keep])
+    added = ["n_bytes", "n_tokens", "over_limit"]
+    return counted.toDF("doc_id", *kept_names(keep, ["doc_id", *added]), *added)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -91,3 +91,40 @@ def test_connected(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)]
     got = dict(tuple(r) for r in nd.connected(spark.createDataFrame(chain, "u long, v long")).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_documents_around_one_template(spark):
+    """Unlike documents that share most of their words, in one bucket each: links and none of the others, quickly."""
+    import time
+
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(300)]
+    rows, n = [], 1500
+    for i in range(n):
+        own = [f"o{i}_{k}" for k in range(58 if i % 10 else 12)]
+        at = rng.randrange(1, 290)
+        rows.append((i, " ".join(template[:at] + own + template[at:] if i % 3 else own + template)))
+    rows += [(n + i, rows[i][1] + " and an end") for i in range(0, 200, 7)]
+    sets = {i: nd.shingle_set(t.encode(), 4) for i, t in rows}
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), params=nd.Params(cell=100)).collect()}
+    took = time.time() - began
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    # Overlaps as a product of matrices over the shingles that several documents hold.
+    vocabulary, place, often = np.unique(np.concatenate(list(sets.values())), return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1
+    from_row, shared = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()]), often[place] > 1
+    dense = np.zeros((len(sets), int((often > 1).sum())), dtype=np.float32)
+    dense[from_row[shared], column[place[shared]]] = 1
+    common, size, ids = dense @ dense.T, np.array([len(s) for s in sets.values()]), list(sets)
+    for x, y in zip(*np.nonzero(100 * common >= 80 * (size[:, None] + size[None] - common)), strict=True):
+        a, b = root(ids[x]), root(ids[y])
+        parent[max(a, b)] = min(a, b)
+    assert got == {i: root(i) for i in sets}
+    assert took < 120

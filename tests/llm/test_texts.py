@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import jpeg, licenses, media, pii, sstable, token_counts, toxicity, warc
+from lexmill.llm import jpeg, license_texts, licenses, media, pii, sstable, token_counts, toxicity, warc
 
 from .conftest import TEXTS
 
@@ -443,3 +443,48 @@ def test_warc_against_sql(spark, tmp_path):
     want = con.execute(warc.OP3_SQL)
     names = [d[0] for d in want.description]
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_neighbouring_licences_are_told_apart():
+    """Texts that differ by one restrictive word, denials and mere mentions: each gets its own label and no other."""
+    index = licenses.Index()
+    plain = ["This project is {} by its authors. All files", "lorem ipsum {} dolor sit amet", "{}"]
+    right = [
+        ("licensed under the GNU General Public License", "gpl"),
+        ("licensed under the GNU Lesser General Public License", "lgpl"),
+        ("licensed under the GNU Affero General Public License", "agpl"),
+        ("Released under the MIT License", "mit"),
+        ("released under the terms of the MIT License", "mit"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+        *[(t, label) for label, _, t in licenses.TEMPLATES],
+    ]
+    for has in licenses_sets():
+        label = "-".join(("cc-by", *has))
+        for form in (0, -1):
+            name = "-".join(("Attribution", *(license_texts.CONDITIONS[x][form] for x in has)))
+            right += [(f"under a Creative Commons {name} 4.0 International License", label), (f"Creative Commons {name} 4.0", label), (f"Licensed under CC BY{''.join('-' + x.upper() for x in has)} 4.0", label)]
+    wrong = [
+        "not licensed under the GNU General Public License, version 3",
+        "This work is not licensed under a Creative Commons Attribution 4.0 International License",
+        "released under the umbrella of an MIT License study group",
+        "never released under the MIT License",
+        "the Mozilla Public License is one of many",
+        "unlike works licensed under the Apache License Version 2.0",
+        "redistribution and permission to use of copies in source is discussed",
+        "GNU tools and a general public library with a license desk",
+        "creative people in the commons need attribution",
+    ]
+    found, expected, good = 0, 0, 0
+    for text, label in right:
+        for frame in plain:
+            got = index.scan([w.lower() for w in licenses.ALNUM.words(frame.format(text).encode())])[0]
+            found, expected, good = found + len(got), expected + 1, good + (label in got)
+            assert got <= {label}, (text, got)
+    assert good >= 0.95 * expected, (good, expected)
+    for text in wrong:
+        for frame in plain:
+            assert not index.scan(licenses.ALNUM.words(frame.format(text).encode()))[0], text
+
+
+def licenses_sets():
+    return license_texts.CONDITION_SETS
