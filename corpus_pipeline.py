@@ -1,5 +1,5 @@
 """A training-data pipeline over `documents`: each stage works on all that the stage before kept, written as Parquet
-and read again. All stages but the last return the columns of their input."""
+and read again. All stages but the last return the columns of their input, whatever their names and types."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import table
+from lexmill.llm.common import column, pack, table, unpack
 from lexmill.llm.decontaminate import benchmark_hits
 from lexmill.llm.mixing import mix
 from lexmill.llm.near_dedup import first_documents
@@ -19,22 +19,28 @@ from lexmill.storage import discard, materialize
 ORACLE_SQL = None
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row, a struct of all columns: whatever else documents hold, of any name and type, meets no
+    column of a stage."""
+    return pack(docs, docs.columns, column("doc_id"), column("text"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=tuple(docs.columns))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = score_toxicity(packed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("row",))
+    return unpack(scored.filter("predicted = 0"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id. Documents without an id stand last
     and, like those with a repeated one, are judged each by its own text."""
-    return first_documents(docs).select(*docs.columns)
+    return first_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return hits.filter(F.size("hit_items") == 0).select(*docs.columns)
+    hits = benchmark_hits(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("row",))
+    return unpack(hits.filter(F.size("hit_items") == 0), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
