@@ -5,14 +5,21 @@ memory holds one record whatever the file's size. Deriving is a narrow projectio
 shuffle. Title, text and links of a page are read in one Arrow step, in time that grows with the page, also for broken
 pages. Both derivatives of a response refer to it by its identifier, target and date, name each other as concurrent,
 and keep its HTTP headers and digests.
+
+Blocks stay bytes until their headers are read: chunks and content encodings are undone, and a page is decoded by the
+charset of its header, a byte order mark, its own meta element, or else as UTF-8 or Windows-1252. A payload digest that
+the source record names is passed on; where it names none, one of the bytes before decoding takes its place.
 """
 
 from __future__ import annotations
 
+import codecs
 import gzip
+import hashlib
 import html.entities
 import io
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from lexmill.llm.common import filesystem, map_rows, replacing, short_batches, table
+from lexmill.llm.common import append, filesystem, map_rows, replacing, short_batches, table
 from lexmill.storage import fresh_path, materialize
 
 FIELDS = ["page_id", "warc_type", "record_id", "concurrent_to", "refers_to", "refers_to_uri", "refers_to_date", "target_uri", "warc_date", "content_type", "source_headers", "source_payload_digest", "block_digest", "content_length", "block"]
@@ -158,16 +165,19 @@ def derive(found: DataFrame) -> DataFrame:
     """For each response one metadata and one conversion record, with the columns of FIELDS.
 
     An empty payload gives an empty conversion and metadata without title and links. Links keep their order and
-    repeats. Null columns of a response count as empty; an empty table gives no rows. Other columns are not read.
+    repeats. Null columns of a response count as empty; an empty table gives no rows. payload_digest and payload_bytes,
+    where found has them and they are not null, stand for those of the payload. Other columns are not read.
     """
     short_batches(found.sparkSession)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    read = found.select("page_id", *[empty(c).alias(c) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")])
+    given = lambda c, own: (F.coalesce(F.col(c), own) if c in found.columns else own).alias(c)
+    facts = [given("payload_digest", digest(empty("payload"))), given("payload_bytes", F.octet_length(empty("payload")).cast("long"))]
+    read = found.select("page_id", *[empty(c).alias(c) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")], *facts)
     read = read.withColumn("page", read_page("payload"))
     links = F.transform("page.links", lambda x: F.concat(F.lit("outlink: "), x, F.lit(" L a/@href")))
-    fields = F.array_join(F.concat(F.array(F.concat(F.lit("title: "), F.translate("page.title", "\n", " ")), F.concat(F.lit("content-length: "), F.octet_length("payload").cast("string"))), links), "\r\n")
+    fields = F.array_join(F.concat(F.array(F.concat(F.lit("title: "), F.translate("page.title", "\n", " ")), F.concat(F.lit("content-length: "), F.col("payload_bytes").cast("string"))), links), "\r\n")
     ids = [urn(F.concat_ws("|", F.lit(k), F.col("record_id"))) for k in ("metadata", "conversion")]
-    wide = read.select("*", fields.alias("fields"), F.col("page.text").alias("text"), digest(F.col("payload")).alias("source"), ids[0].alias("m"), ids[1].alias("c"))
+    wide = read.select("*", fields.alias("fields"), F.col("page.text").alias("text"), F.col("payload_digest").alias("source"), ids[0].alias("m"), ids[1].alias("c"))
 
     def record(kind: str, own: str, other: str, content: str, block: str) -> Column:
         b = F.col(block)
@@ -181,24 +191,124 @@ def derive(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 #: Fields of a record's header and the columns that hold them.
-HEADERS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "refers_to_uri"), ("WARC-Refers-To-Date", "refers_to_date"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("X-Page-Id", "page_id")]
+HEADERS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "refers_to_uri"), ("WARC-Refers-To-Date", "refers_to_date"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("X-Page-Id", "page_id")]
 SOURCE_HEADER = "X-Source-Header"
-RECORD = ", ".join(f"{c} {'long' if c == 'page_id' else 'string'}" for _, c in HEADERS) + ", source_headers string, block string"
+RECORD = ", ".join(f"{c} {'long' if c == 'page_id' else 'string'}" for _, c in HEADERS) + ", source_headers string, block binary"
 
 
 def as_records(found: DataFrame) -> DataFrame:
     """Responses as records that write_warc takes: the block is the HTTP response."""
-    block = F.concat(F.coalesce("http_headers", F.lit("")), F.coalesce("payload", F.lit("")))
+    block = F.concat(F.coalesce("http_headers", F.lit("")), F.coalesce("payload", F.lit(""))).cast("binary")
     return found.select(F.lit("response").alias("warc_type"), "record_id", "target_uri", "warc_date", F.lit("application/http; msgtype=response").alias("content_type"), F.col("page_id").cast("long").alias("page_id"), block.alias("block"))
 
 
+#: Labels of charsets that browsers read as others.
+CHARSETS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252", "iso-8859-9": "cp1254", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "ks_c_5601-1987": "cp949", "euc-kr": "cp949"}
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"))
+META = re.compile(rb"<meta[^>]{0,300}?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.IGNORECASE)
+READABLE = re.compile(r"^\s*(?:$|text/|application/(?:xhtml\+xml|xml|json)\b)", re.IGNORECASE)
+
+
+def unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; what does not parse ends it, and what was read so far stays. A body that does not
+    begin with a chunk is no chunked one."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return b"".join(out) if at else body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if at else body
+
+
+def inflated(body: bytes, encoding: str) -> bytes | None:
+    """body without its content encoding, as far as it goes; null for encodings that are not known here."""
+    for name in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
+        if name == "identity":
+            continue
+        if name in ("gzip", "x-gzip", "deflate"):
+            gzipped = body[:2] == b"\x1f\x8b"
+            raw = not gzipped and not (len(body) > 1 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0)
+            d, out = zlib.decompressobj(31 if gzipped else -15 if raw else 15), []
+            try:
+                for i in range(0, len(body), 1 << 16):
+                    out.append(d.decompress(body[i : i + (1 << 16)]))
+            except zlib.error:
+                if not any(out):
+                    return None
+            body = b"".join(out)
+        elif name == "zstd":
+            import zstandard
+
+            try:
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            except zstandard.ZstdError:
+                return None
+        else:
+            return None
+    return body
+
+
+def decode_page(body: bytes, content_type: str) -> str:
+    """The text of a page by the first charset that is named and known: byte order mark, header, meta element; else
+    UTF-8 if it is that, else Windows-1252. Bytes that the charset lacks become U+FFFD."""
+    for mark, name in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    told = re.search(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", content_type, re.IGNORECASE)
+    meta = META.search(body[:4096])
+    for name in (told and told[1], meta and meta[1].decode("ascii")):
+        if name:
+            try:
+                codec = codecs.lookup(CHARSETS.get(name.lower(), name))
+                # A page that names UTF-16 in ASCII letters is none, and some codecs give no text.
+                return body.decode("utf-8" if codec.name.startswith("utf-16") and name is not (told and told[1]) else codec.name, "replace")
+            except (LookupError, ValueError):
+                continue
+    try:
+        return body.decode()
+    except UnicodeDecodeError:
+        return body.decode("cp1252", "replace")
+
+
+def open_response(block: bytes | None) -> tuple[str, str, str, int]:
+    """(HTTP headers, text, digest, bytes) of a response's block: the digest and size are those of the body without
+    chunks, before content encodings are undone. Bodies of other kinds than text, and of encodings that are not known,
+    have no text."""
+    block = block or b""
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        head, body = b"", block
+    try:
+        headers = (head + found).decode()
+    except UnicodeDecodeError:
+        headers = (head + found).decode("latin-1")
+    fields: dict[str, str] = {}
+    for line in headers.split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    kind, told = fields.get("content-type", ""), f"sha256:{hashlib.sha256(body).hexdigest()}"
+    whole = inflated(body, fields.get("content-encoding", "")) if READABLE.match(kind) else None
+    return headers, decode_page(whole, kind) if whole is not None else "", told, len(body)
+
+
 def as_responses(records: DataFrame) -> DataFrame:
-    """The responses among records: (page_id, record_id, target_uri, warc_date, http_headers, payload). The headers end
-    with the first empty line; a block without one is all payload."""
-    at = F.locate("\r\n\r\n", F.col("block"))
-    head = F.when(at > 0, F.substring(F.col("block"), F.lit(1), at + 3)).otherwise("")
-    payload = F.when(at > 0, F.substring(F.col("block"), at + 4, F.char_length("block"))).otherwise(F.col("block"))
-    return records.filter("warc_type = 'response'").select("page_id", "record_id", "target_uri", "warc_date", head.alias("http_headers"), payload.alias("payload"))
+    """The responses among records: (page_id, record_id, target_uri, warc_date, http_headers, payload, payload_digest,
+    payload_bytes); payload is text (see open_response), the digest that of the record, or else of its body. The headers
+    end with the first empty line; a block without one is all payload. Revisits have no payload of their own and, like
+    other kinds of records, give no row."""
+    found = records.filter("warc_type = 'response'")
+    told = F.col("payload_digest") if "payload_digest" in records.columns else F.lit(None).cast("string")
+    found = found.select("page_id", "record_id", "target_uri", "warc_date", told.alias("told"), F.col("block").cast("binary").alias("block"))
+    keep = ["page_id", "record_id", "target_uri", "warc_date", "told"]
+    opened = append(found, "block", lambda: lambda blocks: list(map(open_response, blocks)), "http_headers string, payload string, own string, payload_bytes long", keep)
+    return opened.select(*keep[:-1], "http_headers", "payload", F.coalesce("told", "own").alias("payload_digest"), "payload_bytes")
 
 
 def write_warc(records: DataFrame, directory: str | None = None, file_bytes: int = 1 << 30) -> DataFrame:
@@ -209,7 +319,8 @@ def write_warc(records: DataFrame, directory: str | None = None, file_bytes: int
     lost when read. An empty table gives no files. Files appear whole, under names that a retried task writes anew."""
     directory = directory or fresh_path(records.sparkSession, "warc")
     wanted = [c for _, c in HEADERS] + ["source_headers", "block"]
-    source = records.select(*[F.col(c).cast("string") if c in records.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+    kind = lambda c: "binary" if c == "block" else "string"
+    source = records.select(*[F.col(c).cast(kind(c)).alias(c) if c in records.columns else F.lit(None).cast(kind(c)).alias(c) for c in wanted])
 
     def make():
         part = TaskContext.get().partitionId()
@@ -239,6 +350,41 @@ def write_warc(records: DataFrame, directory: str | None = None, file_bytes: int
     return materialize(map_rows(source, make, "path string, records long"), "warc_files")
 
 
+class Inflated(io.RawIOBase):
+    """The bytes of a gzip file's members. A file that ends or breaks within one gives what was read up to there, and
+    then ends."""
+
+    def __init__(self, raw) -> None:
+        self.raw, self.held, self.member, self.ended = raw, b"", None, False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.ended:
+            last = not self.held and not (more := self.raw.read(1 << 16))
+            self.held = self.held or (b"" if last else more)
+            if self.member is None:
+                self.held = self.held.lstrip(b"\0")  # padding between members
+                if not self.held:
+                    self.ended = last
+                    continue
+                self.member = zlib.decompressobj(31)
+            try:
+                out = self.member.decompress(self.held, len(buffer))
+            except zlib.error:
+                self.ended = True
+                break
+            self.held = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            if self.member.eof:
+                self.member = None
+            self.ended = last and not out
+            if out:
+                buffer[: len(out)] = out
+                return len(out)
+        return 0
+
+
 def parse_warc(file) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     """(headers, block) of each record of an uncompressed WARC stream, one at a time; header names in lower case,
     repeats in lists. A stream that ends within a record gives what there is of its block."""
@@ -256,7 +402,7 @@ def parse_warc(file) -> Iterator[tuple[dict[str, list[str]], bytes]]:
 def read_warc(spark, path: str | None = None, files: DataFrame | None = None) -> DataFrame:
     """Every record of the .warc and .warc.gz files of a folder, or of files(path), in the columns of RECORD. Tasks take
     whole files and hold one record at a time. Fields that a record lacks are null, a page id that is no number too;
-    bytes of a block that are no UTF-8 become the replacement character. A folder without files gives no rows."""
+    blocks are bytes as they stand. A folder without files gives no rows."""
     if files is None:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path")  # contents are not read
     key = HEADERS[-1][0].lower()
@@ -264,13 +410,13 @@ def read_warc(spark, path: str | None = None, files: DataFrame | None = None) ->
     def run(rows):
         for (name,) in rows:
             fs, at = filesystem(name.decode())
-            with fs.open_input_stream(at, compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw) if at.endswith(".gz") else raw, 1 << 20) as file:
+            with fs.open_input_stream(at, compression=None) as raw, io.BufferedReader(Inflated(raw) if at.endswith(".gz") else raw, 1 << 20) as file:
                 for headers, block in parse_warc(file):
                     values = [headers.get(k.lower(), [None])[0] for k, _ in HEADERS]
                     number = headers.get(key, [""])[0]
                     values[-1] = int(number) if re.fullmatch("-?[0-9]{1,18}", number) else None
                     told = headers.get(SOURCE_HEADER.lower())
-                    yield *values, "\r\n".join(told) + "\r\n\r\n" if told else None, block.decode("utf-8", "replace")
+                    yield *values, "\r\n".join(told) + "\r\n\r\n" if told else None, block
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return map_rows(files.select("path").repartition(width), lambda: run, RECORD)
