@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime
 import json
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -134,10 +137,19 @@ def prompt(question: Column, context: Column, today: datetime.date) -> Column:
     return F.concat(F.lit(f"Bugünün tarihi: {today:%d.%m.%Y}\n\n--- BAGLAM ---\n"), F.coalesce(context, F.lit("")), F.lit("\n\n--- SORU ---\n"), question)
 
 
+# Fixed value: what a generator writes when the context holds no answer; UNKNOWN looks for it.
+MARKER = "BILGI_YOK"
+SYSTEM = f"""Bir kurumun destek asistanısın. Sana numaralı metinlerden bir BAGLAM ve bir SORU verilir.
+- Yalnız bağlamda yazanı söyle; tahmin etme, ekleme yapma. Bütün parçalara bak.
+- Telefon, adres, tarih, kod ve adları bağlamda geçtiği gibi aktar.
+- Türkçe, kısa ve açık yaz; liste istenirse maddeler hâlinde ver.
+- Bağlam soruyu yanıtlamıyorsa yalnız {MARKER} yaz."""
+
+
 class TextGenerator(Protocol):
-    """Answers a batch of prompts."""
+    """Answers a batch of prompts; null for those that fail."""
 
-    def __call__(self, prompts: list[str]) -> list[str]: ...
+    def __call__(self, prompts: list[str]) -> list[str | None]: ...
 
 
 def echo(prompts: list[str]) -> list[str]:
@@ -146,20 +158,47 @@ def echo(prompts: list[str]) -> list[str]:
 
 
 class ServedModel:
-    """A generator that asks a model served over HTTP, a prompt a request: POST of {"model", "prompt", "stream": false}
-    and what else `options` holds; the answer is the field `answer` of the JSON that comes back."""
-
-    def __init__(self, url: str, model: str, timeout: float = 120.0, answer: str = "response", **options) -> None:
-        self.url, self.model, self.timeout, self.answer, self.options = url, model, timeout, answer, options
-
-    def __call__(self, prompts: list[str]) -> list[str]:
-        said = []
-        for p in prompts:
-            body = json.dumps({"model": self.model, "prompt": p, "stream": False, **self.options}).encode()
-            request = urllib.request.Request(self.url, data=body, headers={"Content-Type": "application/json"})
-            with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                said.append(str(json.loads(r.read())[self.answer]).strip())
-        return said
+    """A generator that asks a chat model served over HTTP: a POST of {"model", "messages", "stream": false, "options"}
+    for each prompt, a system message before it. The answer stands in the JSON that comes back, at the dotted path
+    `answer`.
+
+    At most `at_once` requests of a task run side by side. A request that the server refuses for the moment, breaks off
+    or leaves without an answer is sent again, after a wait that doubles each time, until `attempts` or `deadline`
+    seconds are spent; what then has no answer is null, and the other prompts keep theirs."""
+
+    def __init__(self, url: str, model: str, system: str | None = SYSTEM, timeout: float = 120.0, answer: str = "message.content", at_once: int = 4, attempts: int = 3, wait: float = 0.5, deadline: float = 300.0, **options) -> None:
+        self.url, self.model, self.system, self.timeout, self.answer = url, model, system, timeout, answer
+        self.at_once, self.attempts, self.wait, self.deadline, self.options = at_once, attempts, wait, deadline, options
+
+    def request(self, prompt: str) -> bytes:
+        before = [{"role": "system", "content": self.system}] if self.system else []
+        return json.dumps({"model": self.model, "messages": [*before, {"role": "user", "content": prompt}], "stream": False, "options": self.options}).encode()
+
+    def one(self, prompt: str) -> str | None:
+        ends = time.monotonic() + self.deadline
+        for attempt in range(self.attempts):
+            left = ends - time.monotonic()
+            if left <= 0:
+                break
+            try:
+                sent = urllib.request.Request(self.url, data=self.request(prompt), headers={"Content-Type": "application/json"})
+                with urllib.request.urlopen(sent, timeout=min(self.timeout, left)) as r:
+                    told = json.loads(r.read())
+                for part in self.answer.split("."):
+                    told = told[part]
+                return str(told).strip()
+            except urllib.error.HTTPError as e:
+                if e.code < 500 and e.code not in (408, 425, 429):
+                    break
+            except (OSError, ValueError, KeyError, TypeError):
+                pass
+            if attempt + 1 < self.attempts:
+                time.sleep(min(self.wait * 2**attempt, max(0.0, ends - time.monotonic())))
+        return None
+
+    def __call__(self, prompts: list[str]) -> list[str | None]:
+        with ThreadPoolExecutor(self.at_once) as pool:
+            return list(pool.map(self.one, prompts))
 
 
 def generate(df: DataFrame, prompt_col: str, out: str, generator: TextGenerator, batch: int = 8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -12,7 +13,27 @@ from pyspark.sql import functions as F
 
 SCHEMA = "title string, text string, person string, tables string, links array<struct<text:string,url:string>>, pdfs array<string>"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSED_BY = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+# Which open elements a start tag ends, looked for from the innermost outwards up to a boundary.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("table td th caption".split())
+BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form header hr main menu nav ol p pre section table ul".split()) | HEADINGS
+ENDED_BY = {
+    "li": (frozenset(("li",)), CELLS | {"ul", "ol", "menu"}),
+    "dt": (frozenset(("dt", "dd")), CELLS | {"dl"}),
+    "dd": (frozenset(("dt", "dd")), CELLS | {"dl"}),
+    "tr": (frozenset(("tr", "caption")), frozenset(("table",))),
+    "td": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "thead": (frozenset(("thead", "tbody", "tfoot", "caption")), frozenset(("table",))),
+    "tbody": (frozenset(("thead", "tbody", "tfoot", "caption")), frozenset(("table",))),
+    "tfoot": (frozenset(("thead", "tbody", "tfoot", "caption")), frozenset(("table",))),
+    "option": (frozenset(("option",)), frozenset(("select", "optgroup"))),
+    "optgroup": (frozenset(("optgroup", "option")), frozenset(("select",))),
+    "a": (frozenset(("a",)), CELLS),
+    "body": (frozenset(("head",)), frozenset()),
+} | {b: (frozenset(("p",)), CELLS | {"button"}) for b in BLOCKS}
+#: Start tags that end a heading left open; a div may stand in one.
+AFTER_HEADINGS = HEADINGS | frozenset("p ul ol dl li table hr pre blockquote main article section footer nav form".split())
 
 
 @dataclass(frozen=True)
@@ -52,27 +73,47 @@ class Node:
 
 
 class _Tree(HTMLParser):
+    """Nodes with the ends that HTML implies: of paragraphs, headings, list items, cells, rows, options and anchors. A
+    tag is looked for among the open ones only if one is open, so that deep nests cost no more than their tags."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.count: Counter = Counter()
+
+    def cut(self, i: int) -> None:
+        self.count.subtract(n.tag for n in self.open[i:])
+        del self.open[i:]
+
+    def end(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
+        """Closes the innermost open element of tags, with all in it, unless a boundary stands between."""
+        if not any(self.count[t] for t in tags):
+            return
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
+                return self.cut(i)
+            if self.open[i].tag in bounds:
+                return
 
     def handle_starttag(self, tag, attrs):
-        while len(self.open) > 1 and self.open[-1].tag in CLOSED_BY.get(tag, ()):
-            self.open.pop()
+        if tag in ENDED_BY:
+            self.end(*ENDED_BY[tag])
+        if tag in AFTER_HEADINGS:
+            self.end(HEADINGS, CELLS | {"div", "button"})
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        # Any heading's end ends a heading; what stands in a cell ends nothing outside it.
+        structure = tag in CELLS or tag in ("tr", "thead", "tbody", "tfoot", "body", "html")
+        self.end(HEADINGS if tag in HEADINGS else frozenset((tag,)), frozenset() if structure else CELLS)
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -139,7 +180,7 @@ def _join(base: str, href: str) -> str:
 def extract(df: DataFrame, html: str = "html", url: str = "url", p: HtmlParams = HtmlParams(), out: str = "page") -> DataFrame:
     """df with a struct of title, main text (tables as bar-separated lines), person name, tables, links and embedded
     PDFs. Links and headings are read before noise is cut. Null or empty HTML gives empty fields; a null URL leaves
-    links relative. Tags that are not closed end with their parent."""
+    links relative. Tags that are not closed end where HTML implies it, or with their parent."""
     @F.pandas_udf(SCHEMA)
     def run(h: pd.Series, u: pd.Series) -> pd.DataFrame:
         rows = [fields_of(x or "", b or "", p) for x, b in zip(h, u, strict=True)]

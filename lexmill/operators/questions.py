@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,18 +72,33 @@ def without_connectives(question: Column) -> Column:
     return strip(F.regexp_replace(question, CONNECTIVES, ""))
 
 
-def longest_unit(low: Column, units: Column) -> Column:
-    """The longest of an array of unit names whose normalised form stands in a normalised text; ties to the first in
-    code-point order. units is array<struct<unit, normal>>, longest first."""
-    return F.try_element_at(F.filter(units, lambda u: low.contains(u["normal"])), F.lit(1))["unit"]
+def unit_finder(units: DataFrame) -> Callable[[Column], Column]:
+    """A function from a normalised text to the longest of units(unit) whose normalised name stands in it; ties to the
+    first in code-point order, null without one. Blank names and null texts give none.
+
+    An automaton over the names passes a text once, however many units there are. Unit names are a rule table: their
+    number is that of the organisation, not of the corpus, and only distinct names travel."""
+    known = units.filter(F.trim(F.coalesce("unit", F.lit(""))) != "").select("unit").distinct()
+    best: dict[str, tuple[int, str]] = {}
+    for unit, normal in known.select("unit", normalize_tr(F.col("unit"))).toLocalIterator():
+        if normal:
+            best[normal] = min(best.get(normal, (0, "")), (-len(unit), unit))
+    shared = units.sparkSession.sparkContext.broadcast(best)
+
+    @F.pandas_udf("string")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
 
+        automaton = ahocorasick.Automaton()
+        for normal, value in shared.value.items():
+            automaton.add_word(normal, value)
+        if shared.value:
+            automaton.make_automaton()
+        for texts in batches:
+            found = [min((v for _, v in automaton.iter(t)), default=(0, None))[1] if t and shared.value else None for t in texts]
+            yield pd.Series(found, dtype=object)
 
-def unit_list(units: DataFrame) -> DataFrame:
-    """One row with the array that longest_unit takes, of units(unit). The list of a site's units is a rule table: its
-    size is that of the organisation, not of the corpus, whose distinct unit names are all it takes."""
-    known = units.filter(F.coalesce("unit", F.lit("")) != "").select("unit").distinct()
-    rows = known.select((-F.length("unit")).alias("by"), "unit", normalize_tr(F.col("unit")).alias("normal"))
-    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("by", "unit", "normal"))), lambda u: F.struct(u["unit"].alias("unit"), u["normal"].alias("normal"))).alias("units"))
+    return find
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -98,16 +116,16 @@ def rewrite(asked: DataFrame, units: DataFrame, history: int = 3) -> DataFrame:
     """asked(conv_id, turn, question, answer, ...) with follow_up, topic and search_question. A follow-up loses its
     connectives and, unless it names a unit, gets in front the newest unit of the last turns: in a question, else in
     its answer. A null question stays null; a first turn has no history."""
-    plain, known = without_connectives(F.col("question")), F.col("__units")
+    plain, longest_unit = without_connectives(F.col("question")), unit_finder(units)
     low = {f"__{n}": normalize_tr(F.coalesce(c, F.lit(""))) for n, c in (("q", F.col("question")), ("a", F.col("answer")), ("p", plain))}
-    asked = asked.withColumns(low | {"__units": unit_list(units).scalar()})
-    heard = F.coalesce(longest_unit(F.col("__q"), known), longest_unit(F.col("__a"), known))
+    asked = asked.withColumns(low)
+    heard = F.coalesce(longest_unit(F.col("__q")), longest_unit(F.col("__a")))
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-history, -1)
     out = asked.withColumn("__heard", heard).withColumn("__before", F.last("__heard", ignorenulls=True).over(w))
-    topic = F.when(F.col("follow_up") & longest_unit(F.col("__p"), known).isNull(), F.col("__before"))
+    topic = F.when(F.col("follow_up") & longest_unit(F.col("__p")).isNull(), F.col("__before"))
     out = out.withColumn("follow_up", is_follow_up(F.col("question"))).withColumn("topic", topic)
     search = F.when(F.col("follow_up"), F.concat_ws(" ", "topic", plain)).otherwise(F.col("question"))
-    return out.withColumn("search_question", search).drop("__heard", "__before", "__units", *low)
+    return out.withColumn("search_question", search).drop("__heard", "__before", *low)
 
 
 def intent(question: Column) -> Column:
@@ -164,10 +182,12 @@ def _plain(word: str) -> str:
 
 def names_staff(queries: DataFrame, names: DataFrame) -> DataFrame:
     """queries(query_id, text, ...) with named: whether all tokens of some staff name stand in the text. Each name is
-    joined on its longest token, then compared whole."""
+    joined on the token that the fewest names hold, so that a common name part is no key, then compared whole."""
     tokens = queries.select("query_id", F.array_distinct(tokenize_tr(F.coalesce("text", F.lit("")))).alias("tokens"))
-    key = F.array_sort(F.transform("name", lambda t: F.struct((-F.length(t)).alias("by"), t.alias("t"))))[0]["t"]
-    hits = tokens.select("query_id", "tokens", F.explode("tokens").alias("key")).join(names.select("name", key.alias("key")), "key")
+    each = names.select("name", F.explode("name").alias("key"))
+    counted = each.join(each.groupBy("key").agg(F.count("*").alias("n")), "key")
+    keyed = counted.groupBy("name").agg(F.min(F.struct("n", "key")).alias("rarest")).select("name", "rarest.key")
+    hits = tokens.select("query_id", "tokens", F.explode("tokens").alias("key")).join(keyed, "key")
     named = hits.filter(F.size(F.array_except("name", "tokens")) == 0).select("query_id").distinct().withColumn("named", F.lit(True))
     return queries.join(named, "query_id", "left").withColumn("named", F.coalesce("named", F.lit(False)))
 

@@ -91,6 +91,12 @@ def expand(queries: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
     return queries.withColumn("tokens", F.concat("tokens", more))
 
 
+def saturated(index: SparseIndex):
+    """What a posting counts for a weight of 1: its frequency, saturated, by the length of its document."""
+    p, mean = index.params, index.facts.select("mean").scalar()
+    return F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / mean))
+
+
 def score(index: SparseIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) for documents that share a term with a query(query_id, tokens), rounded to 6 places
     so that ties do not hang on the order of a sum. A repeated query token scores as often as it stands."""
@@ -122,3 +128,54 @@ def rank_queries(index: SparseIndex, queries: DataFrame, k: int, synonyms: dict[
     """BM25 top k of queries(query_id, text): query_id, doc_id, score, rank."""
     tokens = queries.select("query_id", tokenize_tr(F.coalesce("text", F.lit(""))).alias("tokens"))
     return topk(score(index, expand(tokens, synonyms or {})), k)
+
+
+# ---------------------------------------------------------------- top k with bounds
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What the postings of a term can add to a document of a span: limits(term, span, most, n) of an
+    index, most for a weight of 1, whose documents are dealt to spans by a hash of their id."""
+
+    limits: DataFrame
+    spans: int
+
+    def span(self, doc_id: str = "doc_id"):
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.spans))
+
+
+def bounds(index: SparseIndex, docs_per_span: int = 128) -> Bounds:
+    """Bounds of an index, written to the shared folder: at most a row for each posting, and for a frequent term one for
+    about docs_per_span documents."""
+    out = Bounds(index.postings, max(1, -(-index.docs.count() // docs_per_span)))
+    grouped = index.postings.groupBy("term", out.span().alias("span")).agg(F.max(saturated(index)).alias("most"), F.count("*").alias("n"))
+    return Bounds(materialize(grouped, "bounds"), out.spans)
+
+
+def pruned_topk(index: SparseIndex, limits: Bounds, queries: DataFrame, k: int, probes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(ranked, told): the rows of topk(score(index, queries), k), and for each query(query_id, tokens) the postings of
+    its terms (held) and those that were read (read).
+
+    A span's bound is the sum of what its terms can add at most. The spans of the highest bounds, `probes` of each
+    query, are scored whole: the k-th score there is one that the result reaches, so that spans whose bound lies below
+    it need not be read. What is left is scored like any other postings; ties stay in, since only lower bounds go."""
+    wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weighted = materialize(wanted.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+    each = weighted.join(limits.limits, "term").withColumn("most", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)))
+    each = materialize(each.select("query_id", "term", "weight", "span", "most", "n"), "limits")
+    spans = materialize(each.groupBy("query_id", "span").agg(F.sum("most").alias("most"), F.sum("n").alias("n")), "spans")
+    posted = index.postings.withColumn("span", limits.span())
+
+    def scored(some: DataFrame) -> DataFrame:
+        """Scores of the documents of some(query_id, span)."""
+        asked = each.join(some.select("query_id", "span"), ["query_id", "span"]).select("query_id", "term", "span", "weight")
+        return asked.join(posted, ["term", "span"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * saturated(index)), 6).alias("score"))
+
+    first = spans.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "span"))).filter(F.col("r") <= probes)
+    reached = topk(scored(first), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    # Scores are rounded to 6 places, and sums of doubles hang on their order.
+    left = materialize(spans.join(reached, "query_id", "left").filter(F.col("reached").isNull() | (F.col("most") >= F.col("reached") - 2e-6)).select("query_id", "span", "n"), "left")
+    held = spans.groupBy("query_id").agg(F.sum("n").alias("held"))
+    told = held.join(left.groupBy("query_id").agg(F.sum("n").alias("read")), "query_id", "left").na.fill(0)
+    return topk(scored(left), k), told

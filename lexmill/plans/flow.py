@@ -12,7 +12,7 @@ from lexmill.functions import urls
 from lexmill.functions.text import STOP_WORDS
 from lexmill.operators import answers, chunking, crawl, dense, html, ingest, pages, questions
 from lexmill.plans.tables import norm_sql, table, words_sql
-from lexmill.sources import index, jsonl, report
+from lexmill.sources import index, jsonl, report, store
 from lexmill.storage import fresh_path, materialize
 
 TODAY = datetime.date(2026, 1, 15)
@@ -239,15 +239,48 @@ select * exclude (s) from o qualify row_number() over (partition by url order by
 
 
 def person_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of persons from their tabs: a person for ten documents, a tab for each, every third one blank."""
-    d = _plain(spark, sf_dir)
-    body = F.when(F.pmod("doc_id", F.lit(3)) == 0, "  ").otherwise(F.concat(F.lit(" about "), "p", F.lit(" ")))
-    tabs = d.select(F.concat(F.lit("https://a.edu/?prsnl="), F.floor(F.col("doc_id") / 10).cast("string")).alias("url"), F.pmod("doc_id", F.lit(10)).cast("int").alias("tab_no"), F.concat(F.lit("Tab "), "id").alias("label"), body.alias("body"))
-    return html.person_text(tabs).select("url", F.md5("text").alias("text_md5"))
+    """Texts of persons' pages with what their tabs answered: a page for each document, of its own text, with two tabs,
+    one, which failed, or none."""
+    d = _plain(spark, sf_dir).withColumn("m", F.pmod("doc_id", F.lit(3)).cast("int"))
+    body = lambda label: F.encode(F.concat(F.lit(f"<body><p>{label} of "), "id", F.lit("</p></body>")), "UTF-8")
+    part = lambda label, ok: F.struct(F.lit(label).alias("label"), F.when(ok, 200).otherwise(500).alias("status"), F.when(ok, "text/html").alias("content_type"), F.when(ok, body(label)).alias("body"))
+    parts = F.when(F.col("m") < 2, F.array(part("Duties", F.lit(True)), part("Courses", F.col("m") == 0)))
+    page = F.concat(F.lit("<body><h6>Dr. "), "id", F.lit("</h6><p>"), "p", F.lit("</p></body>"))
+    fetched = d.select(F.concat(F.lit("https://a.edu/?prsnl="), "id").alias("url"), F.lit("text/html").alias("content_type"), F.encode(page, "UTF-8").alias("body"), parts.alias("parts"), *[F.lit(None).cast("string").alias(x) for x in ("menu", "unit")], F.array().cast("array<string>").alias("breadcrumb"), F.lit(0).alias("depth"))
+    return ingest.parsed(fetched).select("url", "title", F.md5("text").alias("text_md5"))
 
 
 PERSON_TABS_SQL = f"""with {_PLAIN}
-select 'https://a.edu/?prsnl=' || doc_id // 10 url, md5(string_agg('Tab ' || id || chr(10) || trim('about ' || p), chr(10) || chr(10) order by doc_id)) text_md5 from d where doc_id % 3 <> 0 group by doc_id // 10"""
+select 'https://a.edu/?prsnl=' || id url, 'Dr. ' || id title, md5('Dr. ' || id || case when p = '' then '' else chr(10) || p end
+  || case when doc_id % 3 < 2 then chr(10) || chr(10) || 'Duties' || chr(10) || 'Duties of ' || id else '' end
+  || case when doc_id % 3 = 0 then chr(10) || chr(10) || 'Courses' || chr(10) || 'Courses of ' || id else '' end) text_md5 from d"""
+
+
+# ---------------------------------------------------------------- the store
+
+
+def _as_pages(d: DataFrame, text, at: str) -> DataFrame:
+    return d.select(F.concat(F.lit("http://x/"), "id").alias("url"), F.lit("T").alias("title"), F.array("source").alias("breadcrumb"), F.col("source").alias("unit"), F.lit("sayfa").alias("doc_type"), text.alias("text"), F.lit(None).cast("string").alias("published_at"), F.lit(at).alias("fetched_at"), F.sha1(text).alias("content_hash"))
+
+
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as page records, merged in three batches: odd ids; then all, every third changed; then the second batch
+    again under its name, which changes nothing. Buckets are written anew in between."""
+    d = _plain(spark, sf_dir)
+    s = store.open_store(spark, fresh_path(spark, "pages"), buckets=16)
+    s.merge(_as_pages(d.filter("doc_id % 2 = 1"), F.col("p"), "1"), "first")
+    changed = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("p", F.lit(" more"))).otherwise(F.col("p"))
+    counts = s.merge(_as_pages(d, changed, "2"), "second")
+    s.compact(1)
+    again = s.merge(_as_pages(d, changed, "3"), "second")
+    told = "|".join(str(counts[x]) for x in store.STATUSES) + f"|{sum(again.values())}|{s.version().rows}"
+    return s.read().select("url", "unit", "content_hash", "fetched_at", F.lit(told).alias("counts"))
+
+
+STORE_MERGE_SQL = f"""with {_PLAIN},
+s as (select *, doc_id % 2 = 1 old, doc_id % 3 = 0 changed from d)
+select 'http://x/' || id url, source unit, sha1(case when changed then p || ' more' else p end) content_hash, case when old and not changed then '1' else '2' end fetched_at,
+  count(*) filter (not old) over () || '|' || count(*) filter (old and changed) over () || '|' || count(*) filter (old and not changed) over () || '|0|0|' || count(*) over () counts from s"""
 
 
 # ---------------------------------------------------------------- chunks and the saved index
@@ -304,6 +337,26 @@ select lpad(printf('%X', doc_id), 16, '0') chunk_id, len(list_distinct(ws)) n_te
   'letters|2|' || count(*) over () || '|documents|2026-01-15T00:00:00' facts from e"""
 
 
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of documents in which every third is put anew and every seventh is gone, beside the terms, frequencies
+    and weights that are left."""
+    d = _plain(spark, sf_dir)
+    text = lambda x: d.select(F.lpad(F.hex("doc_id"), 16, "0").alias("chunk_id"), F.col("id").alias("url"), F.lit("").alias("title"), x.alias("text"), "doc_id")
+    path, now = fresh_path(spark, "index"), datetime.datetime(2026, 1, 15)
+    index.save(index.with_positions(text(F.col("p")).drop("doc_id")), path, "none", "first", now)
+    changed = text(F.concat(F.lit("changed "), "p")).filter("doc_id % 3 = 0 or doc_id % 7 = 0")
+    index.update(spark, path, index.with_positions(changed.filter("doc_id % 7 <> 0").drop("doc_id")), changed, "second", now)
+    _, words, _ = index.load(spark, path)
+    return words.terms.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+
+
+INDEX_UPDATE_SQL = f"""with {_PLAIN},
+t as (select doc_id, list_filter(regexp_extract_all({norm_sql("case when doc_id % 3 = 0 then 'changed ' else '' end || p")}, '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOPS})) ws from d where doc_id % 7 <> 0),
+f as (select term, count(*) df from (select distinct doc_id, unnest(ws) term from t) group by 1),
+r as (select term, df, ln((select count(*) from t) - df + 0.5) - ln(df + 0.5) raw from f)
+select term, df::bigint df, round(case when raw < 0 then 0.25 * (select avg(raw) from r) else raw end, 6) idf from r"""
+
+
 # ---------------------------------------------------------------- answers
 
 
@@ -420,6 +473,6 @@ def staff_named(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAFF_NAMED_SQL = f"""with {_PLAIN}, n as (select *, doc_id * 7 % 61 a, (doc_id * 7 + 5) % 61 b from d), l as (select distinct a, b from n where doc_id % 3 = 0)
 select doc_id query_id, exists (select 1 from l where l.a = n.a and l.b = n.b) or exists (select 1 from d x where x.doc_id % 3 = 0 and x.doc_id = n.doc_id + 1) named from n"""
 
-_ALL = (jsonl_scan, jsonl_report, jsonl_lenient, jsonl_round_trip, csv_report, html_fields, ingest_records, ingest_offers, person_tabs, term_chunks, index_round_trip, direct_answers, route_answers, unanswered_rows, prompts, staff_named)
+_ALL = (jsonl_scan, jsonl_report, jsonl_lenient, jsonl_round_trip, csv_report, html_fields, ingest_records, ingest_offers, person_tabs, store_merge, term_chunks, index_round_trip, index_update, direct_answers, route_answers, unanswered_rows, prompts, staff_named)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {name: globals()[f"{name.upper()}_SQL"].strip() for name in QUERIES}

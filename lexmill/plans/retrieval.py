@@ -93,6 +93,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_TOPK_SQL = f"with {bm25_sql('documents', '(select item_id query_id, text from benchmark)', 4)} select query_id, doc_id, score, rank from ranked"
 
 
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by bounds: only spans of documents that can hold one of the four are read."""
+    words = _index(spark, sf_dir)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize_tr(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return sparse.pruned_topk(words, sparse.bounds(words), queries, 4)[0]
+
+
+BM25_PRUNED_SQL = BM25_TOPK_SQL
+
+
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each token stands in a passage after synonyms are added."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize_tr(F.col("text")).alias("tokens"))
@@ -215,5 +225,5 @@ select query_id, rank, doc_id, (case when w <= rest then w else rest end)::bigin
   md5(case when w <= rest then body else array_to_string({words_sql("body")}[1:greatest(rest, 0)::int], ' ') || ' ...' end) text_md5
 from run where (rest > 0 and (w <= rest or rest >= 40)) or (w = 0 and rest >= 0)"""
 
-QUERIES = {f.__name__: f for f in (token_stats, token_forms, bm25_terms, bm25_topk, query_expansion, dense_topk, rrf_fusion, hybrid_search, scope_gate, gate_errors, eval_hits, context_pack)}
+QUERIES = {f.__name__: f for f in (token_stats, token_forms, bm25_terms, bm25_topk, bm25_pruned, query_expansion, dense_topk, rrf_fusion, hybrid_search, scope_gate, gate_errors, eval_hits, context_pack)}
 SQL = {name: globals()[f"{name.upper()}_SQL"].strip() for name in QUERIES}

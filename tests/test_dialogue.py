@@ -1,8 +1,11 @@
 import datetime
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import normalize_tr
 from lexmill.operators import answers, evaluation, questions
 
 
@@ -44,6 +47,29 @@ def test_readings(spark):
     assert one(spark, ["Beyza Kızıldağ", "beyza kızıldağ kimdir", "bölüm başkanı kim", "kim"], questions.looks_like_person) == [True, True, False, False]
 
 
+def test_units_by_automaton(spark):
+    """The longest name that stands in a text, ties to the first; time does not grow with the number of units."""
+    rng = random.Random(2)
+    names = ["ab", "abc", "bcd", "xyz abc", "b", "Ç", "zz ab", "ab zz", " ", "", None] + ["".join(rng.choices("abcxyz ", k=rng.randrange(1, 6))) for _ in range(40)]
+    texts = ["".join(rng.choices("abcxyz ", k=rng.randrange(30))) for _ in range(200)] + [None, ""]
+    known = sorted({n for n in names if n and n.strip()}, key=lambda n: (-len(n), n))
+    normal = {r.unit: r.n for r in spark.createDataFrame([(n,) for n in known], "unit string").select("unit", normalize_tr(F.col("unit")).alias("n")).collect()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    find = questions.unit_finder(spark.createDataFrame([(n,) for n in names], "unit string"))
+    got = {r.i: r.u for r in df.select("i", find(F.col("t")).alias("u")).collect()}
+    assert got == {i: next((n for n in known if t and normal[n] and normal[n] in t), None) for i, t in enumerate(texts)}
+    assert df.select(questions.unit_finder(spark.createDataFrame([], "unit string"))(F.col("t")).alias("u")).filter("u is not null").count() == 0
+    took = []
+    for n in (100, 50_000):
+        find = questions.unit_finder(spark.range(n).select(F.concat(F.lit("faculty of number "), F.col("id").cast("string")).alias("unit")))
+        many = spark.range(20_000).repartition(2).select(F.concat(F.lit("where is the faculty of number "), (F.col("id") % 90).cast("string"), F.lit(" please")).alias("t"))
+        many.select(find(F.col("t")).alias("u")).count()
+        began = time.time()
+        assert many.select(find(F.col("t")).alias("u")).filter("u is not null").count() == 20_000
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 5, took
+
+
 def test_staff_names(spark):
     chunks = spark.createDataFrame([("personel", "Birim — Arş. Gör. Beyza KIZILDAĞ", "Doç. Dr. Hakan YILMAZ | oda\nProf. Dr. Tek\nmetin"), ("sayfa", "Doç. Dr. Baş KA", "x"), ("personel", None, None)], "doc_type string, title string, text string")
     names = questions.staff_names(chunks)
@@ -117,15 +143,30 @@ def test_failures_and_texts(spark, results):
 
 
 def test_served_model():
+    """A system message, requests side by side, refusals asked again, failures that cost no other prompt its answer."""
     import http.server
     import json
     import threading
 
+    seen, now, most = [], 0, 0
+    lock = threading.Lock()
+
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_POST(self):
+            nonlocal now, most
             asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            body = json.dumps({"response": f" {asked['model']}:{asked['prompt']}:{asked['seed']} "}).encode()
-            self.send_response(200)
+            prompt = asked["messages"][-1]["content"]
+            with lock:
+                seen.append(prompt)
+                now, again = now + 1, seen.count(prompt)
+                most = max(most, now)
+            time.sleep(0.1)
+            with lock:
+                now -= 1
+            status = 503 if prompt == "busy" and again < 3 else 400 if prompt == "bad" else 200
+            told = {"message": {"content": f" {asked['model']}:{prompt}:{asked['options']['seed']}:{len(asked['messages'])} "}} if prompt != "odd" else ["no message"]
+            body = json.dumps(told).encode()
+            self.send_response(status)
             self.send_header("Content-Length", str(len(body)))
             self.end_headers()
             self.wfile.write(body)
@@ -133,9 +174,16 @@ def test_served_model():
         def log_message(self, *args):
             pass
 
-    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    assert answers.ServedModel(f"http://127.0.0.1:{server.server_address[1]}/", "m", 5, seed=3)(["x", "y"]) == ["m:x:3", "m:y:3"]
+    url = f"http://127.0.0.1:{server.server_address[1]}/"
+    model = answers.ServedModel(url, "m", timeout=5, wait=0.01, at_once=3, seed=3)
+    assert model(["x", "busy", "bad", "odd", *"abcd"]) == ["m:x:3:2", "m:busy:3:2", None, None, *[f"m:{c}:3:2" for c in "abcd"]]
+    assert seen.count("busy") == 3 and seen.count("bad") == 1 and 1 < most <= 3
+    assert answers.MARKER in json.loads(model.request("x"))["messages"][0]["content"] and answers.MARKER.lower() in answers.UNKNOWN
+    assert answers.ServedModel(url, "m", system=None, seed=1)(["y"]) == ["m:y:1:1"]
+    began = time.time()
+    assert answers.ServedModel("http://127.0.0.1:9/", "m", attempts=100, wait=0.05, deadline=0.5)(["z"]) == [None] and time.time() - began < 3
     server.shutdown()
 
 

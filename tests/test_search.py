@@ -46,6 +46,27 @@ def test_fill_and_ties(spark, index):
     assert sorted((r.query_id, r.rank, r.doc_id) for r in filled.collect()) == [(1, 1, 3), (1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
 
 
+def test_bounds_leave_the_best(spark):
+    """Rows of the pruned search are those of the whole one, ties included, and rare words read few postings."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(200)]
+    weights = 1 / np.arange(1, 201)
+    docs = [(int(i) * 7 - 900, " ".join(rng.choice(words, rng.integers(1, 40), p=weights / weights.sum()))) for i in range(1500)] + [(10**12, None), (10**12 + 1, "w0 w0 w199")]
+    found = sparse.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), "doc_id", ("text",))
+    asked = [(i, list(rng.choice(words, n, p=weights / weights.sum()))) for i, n in enumerate((1, 2, 3, 5, 8))] + [(8, ["w199", "w198"]), (9, ["none"]), (10, []), (11, ["w0", "w0"])]
+    queries = spark.createDataFrame([(i, [str(t) for t in ts]) for i, ts in asked], "query_id long, tokens array<string>")
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+    for size, k in ((16, 4), (200, 1), (5000, 30)):
+        ranked, told = sparse.pruned_topk(found, sparse.bounds(found, size), queries, k)
+        assert rows(ranked) == rows(sparse.topk(sparse.score(found, queries), k))
+        read = {r.query_id: (r.read, r.held) for r in told.collect()}
+        assert all(a <= b for a, b in read.values())
+        if size == 16:
+            assert sum(a for a, _ in read.values()) < 0.7 * sum(b for _, b in read.values())
+    none = sparse.build(spark.createDataFrame([], "doc_id long, text string"), "doc_id", ("text",))
+    assert sparse.pruned_topk(none, sparse.bounds(none), queries, 3)[0].count() == 0
+
+
 def test_synonyms(spark):
     q = spark.createDataFrame([(1, ["hoca", "x", "hoca"])], "query_id long, tokens array<string>")
     assert sparse.expand(q, {"hoca": ["a", "hoca"]}).first().tokens == ["hoca", "x", "hoca", "a", "hoca", "a", "hoca"]

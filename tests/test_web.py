@@ -1,5 +1,6 @@
 import datetime
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -39,6 +40,32 @@ def test_script_calls(spark):
     assert [tuple(r) for r in html.person_text(tabs).collect()] == [("u", "A\na\n\nB\nb")]
 
 
+IMPLIED = [
+    ("<h1>T<h2>U</h2><p>x", "T", "T\nU\nx"),
+    ("<h1>Title<p>text<p>more<ul><li>a<li>b<ul><li>c</ul><li>d</ul>end", "Title", "Title\ntext\nmore\na\nb\nc\nd\nend"),
+    ("<h1><div>In a div</div></h1><p>x", "In a div", "In a div\nx"),
+    ("<h1>One</h2><p>Two", "One", "One\nTwo"),
+    ("<h2>H<table><tr><td>a<td>b<tr><td>c<td>d</table>after", "H", "H\na | b\nc | d\nafter"),
+    ("<h3>A</h3><table><thead><tr><th>k<th>v<tbody><tr><td>1<td>2</table>", "A", "A\nk | v\n1 | 2"),
+    ("<h1>A</h1><table><tr><td>x</div>y</td><td>z</td></tr></table><p>q", "A", "A\nx y | z\nq"),
+    ("<h1>A</h1><dl><dt>k<dd>v<dt>l<dd>w</dl>", "A", "A\nk\nv\nl\nw"),
+    ("<head><title>S</title><body><p>x", "S", "x"),
+]
+
+
+@pytest.mark.parametrize("page,title,text", IMPLIED)
+def test_implied_ends(page, title, text):
+    assert html.fields_of(page, "http://a/", html.HtmlParams())[:2] == (title, text)
+
+
+def test_links_left_open_and_deep_nests():
+    links = html.fields_of("<a href=/x>one<a href=/y>two</a><p>three", "http://a/", html.HtmlParams())[4]
+    assert [(x["text"], x["url"]) for x in links] == [("one", "http://a/x"), ("two", "http://a/y")]
+    began = time.time()
+    html.fields_of("<p><a href=/x>" + "<b>" * 30_000 + "<div></i>" * 10_000, "http://a/", html.HtmlParams())
+    assert time.time() - began < 10
+
+
 def test_crawl(spark):
     edges = spark.createDataFrame([("http://a.edu/", "http://a.edu/b#x", 0), ("http://a.edu/", "http://a.edu/c", 1), ("http://a.edu/b", "http://A.edu/c/", 0), ("http://a.edu/b", "http://a.edu/d", 1), ("http://a.edu/d", "http://a.edu/e", 0), ("http://a.edu/", "http://z.edu/q", 2), ("http://a.edu/", None, 3)], "url string, link_url string, place int")
     seeds = spark.createDataFrame([("http://a.edu",), ("http://a.edu/#again",), (None,)], "url string")
