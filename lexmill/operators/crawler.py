@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexmill.functions.urls import Scope, identity, is_person
 from lexmill.operators import html, ingest
 from lexmill.operators.crawl import LINK, LIST, CrawlParams, admissible, next_level, numbered
 from lexmill.schema import PageParams
+from lexmill.sources.store import PageStore
 from lexmill.storage import materialize
 
 CONTEXT = "menu string, unit string, breadcrumb array<string>, depth int"
@@ -34,6 +36,7 @@ class PersonTabs:
 class Crawl:
     records: DataFrame  # page records, as pages.records gives them
     visits: DataFrame  # seq, key, url, depth, from_key, status: a row for each page asked for, numbered in queue order
+    counters: dict[str, int]  # requests, answered, failed, records: observed while the crawl wrote its tables
 
 
 def counts(visits: DataFrame) -> DataFrame:
@@ -80,6 +83,14 @@ def crawl(
     empty = {"menu": F.lit(None).cast("string"), "unit": F.lit(None).cast("string"), "breadcrumb": F.array().cast("array<string>")}
     place = F.col("place").cast("long") if "place" in seeds.columns else F.lit(0).cast("long")
     first = seeds.select("url", *[F.col(x) if x in given else v.alias(x) for x, v in empty.items()], F.lit(0).alias("depth"), F.lit(0).cast("long").alias("from_seq"), F.lit(LINK).alias("kind"), place.alias("place"), F.lit(None).cast("string").alias("from_key"))
+    counters: Counter = Counter(requests=0, answered=0, failed=0, records=0)
+
+    def recorded(df: DataFrame) -> DataFrame:
+        told = Observation()
+        out = materialize(df.observe(told, F.count("*").alias("records")), "records")
+        counters.update(told.get)
+        return out
+
     seen = spark.createDataFrame([], "key string")
     offered, begun, records, visits = first, 0, [], []
     while True:
@@ -89,7 +100,7 @@ def crawl(
         if courses_endpoint and visits:
             lists = fresh.filter(F.col("kind") == LIST).select("url", "unit", "breadcrumb")
             got = fetch(lists.select("url")).filter("status = 200").select("url", "content_type", "body").join(lists, "url")
-            records.append(materialize(ingest.course_records(got, fetched_at, p, h), "records"))
+            records.append(recorded(ingest.course_records(got, fetched_at, p, h)))
         level = numbered(fresh.filter(F.col("kind") != LIST), begun).filter(F.col("seq") < c.max_pages)
         n = level.count()
         if not n:
@@ -97,18 +108,28 @@ def crawl(
         begun += n
         answers = fetch(requests(level, tabs, c))
         columns = [x for x in ("final_url", "status", "content_type", "body", "parts") if x in answers.columns]
-        got = materialize(level.join(answers.select("url", *columns), "url", "left"), "answers")
+        told = Observation()
+        ok = F.coalesce(F.col("status") == 200, F.lit(False))
+        asked = level.join(answers.select("url", *columns), "url", "left").observe(told, F.count("*").alias("requests"), F.count_if(ok).alias("answered"), F.count_if(~ok).alias("failed"))
+        got = materialize(asked, "answers")
+        counters.update(told.get)
         visits.append(got.select("seq", "key", "url", "depth", "from_key", "status"))
         pages = got.filter("status = 200").drop("key", "from_key", "from_seq", "kind", "place", "status")
         rows = materialize(ingest.parsed(pages.drop("seq"), h, c), "parsed")
-        records.append(materialize(ingest.html_records(rows, today, fetched_at, p), "records"))
+        records.append(recorded(ingest.html_records(rows, today, fetched_at, p)))
         if extractor:
-            records.append(materialize(ingest.pdf_records(pages, extractor, fetched_at, p), "records"))
+            records.append(recorded(ingest.pdf_records(pages, extractor, fetched_at, p)))
         offered = ingest.offers(rows, c)
         if courses_endpoint:
             offered = offered.unionByName(ingest.course_lists(rows, courses_endpoint))
         offered = offered.join(pages.select(F.col("url").alias("from_url"), F.col("seq").alias("from_seq")), "from_url").withColumn("from_key", identity(F.col("from_url"))).withColumn("place", F.col("place").cast("long")).drop("from_url")
     if not visits:
         none = spark.createDataFrame([], f"url string, content_type string, body binary, {CONTEXT}")
-        return Crawl(ingest.html_records(ingest.parsed(none, h, c), today, fetched_at, p), spark.createDataFrame([], "seq long, key string, url string, depth int, from_key string, status int"))
-    return Crawl(reduce(DataFrame.unionByName, records), reduce(DataFrame.unionByName, visits))
+        return Crawl(ingest.html_records(ingest.parsed(none, h, c), today, fetched_at, p), spark.createDataFrame([], "seq long, key string, url string, depth int, from_key string, status int"), dict(counters))
+    return Crawl(reduce(DataFrame.unionByName, records), reduce(DataFrame.unionByName, visits), dict(counters))
+
+
+def crawl_into(store: PageStore, done: Crawl, batch: str | None = None) -> dict[str, int]:
+    """Merges a crawl's records into a store, which counts new, updated, unchanged and rejected ones; a page's record is
+    that of the newest fetch."""
+    return store.merge(done.records, batch, "fetched_at")

@@ -17,7 +17,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -94,16 +94,17 @@ class PageStore:
         names = self.schema.fieldNames()
         given = batch_rows.select(*names, *([order] if order and order not in names else []))
         by = F.struct(F.col(order), F.col(self.content)) if order else F.col(self.content)
-        rejected = F.count_if(F.col(self.key).isNull())
         one = given.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max_by(F.struct(*names), by).alias("r")).select("r.*").withColumn("__bucket", self.bucket(v))
         fresh = materialize(one, "batch")
         touched = {r[0] for r in fresh.select("__bucket").distinct().collect()}  # at most as many as buckets
         old = self.read(v, (self.key, self.content), touched).select(F.col(self.key).alias("__key"), F.col(self.content).alias("__old"), F.lit(True).alias("__had"))
         joined = fresh.join(old, fresh[self.key] == F.col("__key"), "left")
         status = F.when(F.col("__had").isNull(), "new").when(F.col("__old").eqNullSafe(F.col(self.content)), "unchanged").otherwise("updated")
-        told = materialize(joined.withColumn("__status", status).drop("__key", "__old", "__had"), "statuses")
-        counts = dict.fromkeys(STATUSES, 0) | {r["__status"]: r["n"] for r in told.groupBy("__status").agg(F.count("*").alias("n")).collect()}
-        counts["rejected"] = given.agg(rejected).first()[0]
+        seen = Observation()  # counted while the rows are written, not by a job of their own
+        statuses = joined.withColumn("__status", status).drop("__key", "__old", "__had")
+        told = materialize(statuses.observe(seen, *[F.count_if(F.col("__status") == x).alias(x) for x in STATUSES]), "statuses")
+        counts = dict.fromkeys(STATUSES, 0) | seen.get
+        counts["rejected"] = given.agg(F.count_if(F.col(self.key).isNull())).first()[0]
         part, parts = self._write(told.filter("__status <> 'unchanged'").drop("__status"), v)
         self._commit(v, {b: [*v.parts.get(b, []), part] for b in parts}, batch, counts["new"])
         discard(fresh, told)

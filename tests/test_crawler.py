@@ -13,6 +13,7 @@ from lexmill.functions.urls import Scope
 from lexmill.operators import crawler, html
 from lexmill.operators.crawl import CrawlParams
 from lexmill.sources import http as source
+from lexmill.sources import store
 
 TEXT = "long enough to be a record of its own"
 PAGES = {
@@ -74,7 +75,7 @@ def run(spark, base, tabs="tab", **params):
     return crawler.crawl(seeds, fetch, scope, datetime.date(2026, 1, 1), "2026-01-01T00:00:00", lambda b: [b.decode()], crawler.PersonTabs(f"{base}/{tabs}"), f"{base}/list", CrawlParams(**params))
 
 
-def test_crawl(spark, site):
+def test_crawl(spark, site, tmp_path):
     base, seen = site
     done = run(spark, base, depth=2)
     visits = {r.key[len(base) :]: (r.depth, (r.from_key or "")[len(base) :], r.status) for r in done.visits.collect()}
@@ -87,6 +88,11 @@ def test_crawl(spark, site):
     assert records["/list?id=4"].doc_type == "tablo" and records["/f.pdf"].doc_type == "pdf"
     assert {r.status: r.n for r in crawler.counts(done.visits).collect()} == {200: 7, 404: 1}
     assert max(Counter(map(str, seen)).values()) == 1
+    assert done.counters == {"requests": 8, "answered": 7, "failed": 1, "records": 8}
+    pages = store.open_store(spark, str(tmp_path / "pages"), buckets=4)
+    assert crawler.crawl_into(pages, done, "monday") == {"new": 8, "updated": 0, "unchanged": 0, "rejected": 0}
+    assert crawler.crawl_into(pages, done, "tuesday") == {"new": 0, "updated": 0, "unchanged": 8, "rejected": 0}
+    assert sum(crawler.crawl_into(pages, done, "tuesday").values()) == 0 and pages.read().count() == 8
 
 
 def test_failed_tabs_leave_the_page(spark, site):
