@@ -55,23 +55,42 @@ def strides(words: Column, p: ChunkParams = ChunkParams()) -> Column:
 
 def windows(text: Column, p: ChunkParams = ChunkParams()) -> Column:
     """Texts of sliding windows: lines are packed while they fit; a full window is emitted and its last words start
-    the next one. A line longer than a window is cut into strides first."""
+    the next one. A line longer than a window is cut into strides first.
+
+    Only the lines' numbers of words are folded, into the lines where windows begin; texts are cut once, from the lines
+    and from the row of all their words, of which a window's first words are those before its first line."""
     pieces = F.flatten(F.transform(filled_lines(text), lambda s: F.when(word_count(s) > p.window, strides(words_of(s), p)).otherwise(F.array(s))))
-    texts = "array<string>"
-    start = F.struct(F.array().cast(texts).alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        size = word_count(piece)
-        full = acc["held"].isNotNull() & (acc["n"] + size > p.window)
-        words = words_of(acc["held"])
-        tail = F.slice(words, F.greatest(F.size(words) - p.overlap + 1, F.lit(1)), p.overlap)
+    kind = "array<struct<a:int,b:int,t:long,f:long>>"
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), zero.alias("w"), zero.alias("n"), zero.alias("t"), zero.alias("f"), F.array().cast(kind).alias("done"))
+
+    def window(acc: Column) -> Column:
+        return F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["i"].alias("b"), acc["t"].alias("t"), acc["f"].alias("f"))))
+
+    def step(acc: Column, size: Column) -> Column:
+        full = (acc["i"] > acc["a"]) & (acc["n"] + size > p.window)
+        tail = F.least(acc["n"], F.lit(p.overlap).cast("long"))
         return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat_ws("\n", F.array_join(tail, " "), piece)).otherwise(F.concat_ws("\n", acc["held"], piece)).alias("held"),
-            F.when(full, F.size(tail) + size).otherwise(acc["n"] + size).cast("long").alias("n"),
+            (acc["i"] + 1).alias("i"),
+            F.when(full, acc["i"]).otherwise(acc["a"]).alias("a"),
+            (acc["w"] + size).alias("w"),
+            F.when(full, tail + size).otherwise(acc["n"] + size).alias("n"),
+            F.when(full, tail).otherwise(acc["t"]).alias("t"),
+            F.when(full, acc["w"]).otherwise(acc["f"]).alias("f"),
+            F.when(full, window(acc)).otherwise(acc["done"]).alias("done"),
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["held"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"]))))
+    def cut(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda s: word_count(s).cast("long"))
+        cuts = F.aggregate(sizes, start, step, lambda acc: F.when(acc["i"] > 0, window(acc)).otherwise(acc["done"]))
+
+        def texts(words: Column) -> Column:
+            before = lambda c: F.when(c["t"] > 0, F.array_join(F.slice(words, (c["f"] - c["t"] + 1).cast("int"), c["t"].cast("int")), " "))
+            return F.transform(cuts, lambda c: F.concat_ws("\n", before(c), F.array_join(F.slice(pieces, c["a"] + 1, c["b"] - c["a"]), "\n")))
+
+        return once(F.flatten(F.transform(pieces, words_of)), texts)
+
+    return once(pieces, cut)
 
 
 def _prefixed(texts: Column, prefix: Column) -> Column:
