@@ -213,7 +213,7 @@ def unpack(df: DataFrame, keep: Iterable[str], *added: str) -> DataFrame:
     return df.select(*[F.col("row").getField(f"c{i}").alias(n) for i, n in enumerate(names)], *added)
 
 
-def whole(name: str):
+def whole_id(name: str):
     """An id column as a long; what is no whole number is null."""
     return column(name).try_cast("long")
 

@@ -23,8 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACED, column, constants, fingerprint, map_rows, ngrams, pack, signed, splitmix, table, unpack, word_hashes
-from lexmill.llm.common import whole as whole_id
+from lexmill.llm.common import SPACED, column, constants, fingerprint, map_rows, ngrams, pack, signed, splitmix, table, unpack, whole_id, word_hashes
 from lexmill.storage import discard, materialize
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import column, map_rows, table, whole
+from lexmill.llm.common import column, map_rows, table, whole_id
 from lexmill.storage import discard, materialize
 
 ROOT = hashlib.sha256(b"root").digest()[:16]
@@ -41,7 +41,7 @@ def numbered_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     """(conv_id, pos, digest, bytes): the turns of each conversation from 0 by turn, null first; turns with one number
     by role, then text. A turn's digest covers role and text, null as empty; bytes are those of the text."""
     blank = lambda c: F.coalesce(column(c).cast("string"), F.lit(""))
-    rows = conversations.select(whole(conv_id).alias("conv_id"), column(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text")).filter("conv_id is not null")
+    rows = conversations.select(whole_id(conv_id).alias("conv_id"), column(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text")).filter("conv_id is not null")
     # Equal keys share a partition, so that a part of the text will do as a bound.
     ranged = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_id", "turn", "role", "text")
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import column, filesystem, map_rows, replacing, table, whole
+from lexmill.llm.common import column, filesystem, map_rows, replacing, table, whole_id
 from lexmill.storage import fresh_path, materialize
 
 MAGIC = b"LXSST\x00\x00\x01"
@@ -287,7 +287,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = Non
     spark = docs.sparkSession
     directory = directory or fresh_path(spark, "sstable")
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-    source = docs.select(whole(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
+    source = docs.select(whole_id(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = source.repartitionByRange(n, *order).sortWithinPartitions(*order)
