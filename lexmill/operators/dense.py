@@ -60,7 +60,8 @@ def rank_vectors(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool
     return topk(known.mapInArrow(_scan(path, k, skip_self), "query_id long, doc_id long, score double"), k)
 
 
-def _query_blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of each block of the queries that lie under a path."""
     import pyarrow.dataset as ds
     from pyarrow.fs import FileSystem
 
@@ -70,34 +71,40 @@ def _query_blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
 
 
-def _scan(path: str, k: int, skip_self: bool):
-    def best(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for query_ids, matrix in _query_blocks(path):
-            for a in range(0, len(query_ids), max(1, min(BLOCK, HELD // len(ids)))):
-                some = query_ids[a : a + max(1, min(BLOCK, HELD // len(ids)))]
-                scores = np.round(matrix[a : a + len(some)] @ vectors.T, 6) + 0.0
-                if skip_self:
-                    scores[some[:, None] == ids[None, :]] = -np.inf
-                floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(some), -np.inf)
-                rows, columns = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-                order = np.lexsort((ids[columns], -scores[rows, columns], rows))
-                rows, columns = rows[order], columns[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)  # within a query, best first
-                rows, columns = rows[place < k], columns[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(some[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], names=["query_id", "doc_id", "score"])
+def best(path: str, ids: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool) -> Iterator[pa.RecordBatch]:
+    """(query_id, doc_id, score) of the best k of each query under a path among vectors."""
+    for query_ids, matrix in query_blocks(path):
+        for a in range(0, len(query_ids), max(1, min(BLOCK, HELD // len(ids)))):
+            some = query_ids[a : a + max(1, min(BLOCK, HELD // len(ids)))]
+            scores = np.round(matrix[a : a + len(some)] @ vectors.T, 6) + 0.0
+            if skip_self:
+                scores[some[:, None] == ids[None, :]] = -np.inf
+            floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(some), -np.inf)
+            rows, columns = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+            rows, columns = rows[order], columns[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)  # within a query, best first
+            rows, columns = rows[place < k], columns[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(some[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], names=["query_id", "doc_id", "score"])
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
+
+def _scan(path: str, k: int, skip_self: bool):
     def run(batches):
         ids, vectors, held = [], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-            vectors.append(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1))
+            vectors.append(matrix_of(batch.column(1)))
             held += vectors[-1].size
             if held >= HELD:
-                yield from best(np.concatenate(ids), np.concatenate(vectors))
+                yield from best(path, np.concatenate(ids), np.concatenate(vectors), k, skip_self)
                 ids, vectors, held = [], [], 0
         if ids:
-            yield from best(np.concatenate(ids), np.concatenate(vectors))
+            yield from best(path, np.concatenate(ids), np.concatenate(vectors), k, skip_self)
 
     return run

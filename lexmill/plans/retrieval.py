@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import by_form, normalize_tr, tokenize_tr, tokens_of, word_count
-from lexmill.operators import answers, dense, evaluation, hybrid, sparse
+from lexmill.operators import answers, dense, evaluation, hybrid, regions, sparse
 from lexmill.plans.tables import bm25_sql, dense_sql, lower_sql, norm_sql, strip_sql, table, tokens_sql, words_sql
 from lexmill.schema import SearchParams
 from lexmill.storage import fresh_path, stamp
@@ -126,6 +126,16 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 DENSE_TOPK_SQL = f"with {dense_sql('(select vec_id query_id, embedding vector from embeddings where vec_id % 50 = 0)', 4, 'where query_id <> vec_id')} select query_id, doc_id, score, rank from near"
 
 
+def dense_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by regions: only those that can hold one of the four are read."""
+    vectors = _vectors(spark, sf_dir)
+    queries = vectors.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    return regions.rank_vectors(regions.build(vectors), queries, 4, skip_self=True)[0]
+
+
+DENSE_PRUNED_SQL = DENSE_TOPK_SQL
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rankings of every passage, fused."""
     near = dense.rank_vectors(_vectors(spark, sf_dir), _questions(spark, sf_dir), 30)
@@ -225,5 +235,5 @@ select query_id, rank, doc_id, (case when w <= rest then w else rest end)::bigin
   md5(case when w <= rest then body else array_to_string({words_sql("body")}[1:greatest(rest, 0)::int], ' ') || ' ...' end) text_md5
 from run where (rest > 0 and (w <= rest or rest >= 40)) or (w = 0 and rest >= 0)"""
 
-QUERIES = {f.__name__: f for f in (token_stats, token_forms, bm25_terms, bm25_topk, bm25_pruned, query_expansion, dense_topk, rrf_fusion, hybrid_search, scope_gate, gate_errors, eval_hits, context_pack)}
+QUERIES = {f.__name__: f for f in (token_stats, token_forms, bm25_terms, bm25_topk, bm25_pruned, query_expansion, dense_topk, dense_pruned, rrf_fusion, hybrid_search, scope_gate, gate_errors, eval_hits, context_pack)}
 SQL = {name: globals()[f"{name.upper()}_SQL"].strip() for name in QUERIES}

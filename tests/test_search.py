@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import dense, evaluation, hybrid, sparse
+from lexmill.operators import dense, evaluation, hybrid, regions, sparse
 from lexmill.schema import SearchParams
 from lexmill.sources import index as store
 
@@ -88,6 +88,37 @@ def test_dense_against_numpy(spark):
     assert dense.rank_vectors(vectors.limit(0), queries, 3).count() == 0
 
 
+def test_regions_leave_the_best(spark):
+    """Rows of the pruned dense search are those of the whole one: ties, copies, long and null vectors included."""
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(12, 8)) * 4
+    v = middle[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 8)) * 0.3
+    v[:500] = v[0]  # a third of all rows agree
+    v[500:520] = np.round(v[500:520])
+    v[520] *= 50
+    v[521] = 0
+    rows = [(int(i) * 3 - 700, x.tolist()) for i, x in enumerate(v)] + [(10**12, None), (None, [1.0] * 8), (10**12 + 1, [float("nan")] * 8)]
+    vectors = spark.createDataFrame(rows, "doc_id long, vector array<double>").repartition(5)
+    found = regions.build(vectors, regions.Params(sample=900, least=30))
+    assert found.facts.n.sum() == 1500 and (found.facts.n > 0).sum() > 50
+    clean = vectors.filter(~F.exists("vector", lambda x: F.isnan(x)))
+    queries = clean.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    told_rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 5)) for r in df.collect())
+    for k, skip, probes in ((4, True, 2), (1, False, 1), (30, True, 1), (2000, False, 2)):
+        some = queries if k < 100 else queries.filter("query_id % 13 = 0")
+        ranked, told = regions.rank_vectors(found, some, k, skip, probes)
+        assert told_rows(ranked) == told_rows(dense.rank_vectors(clean, some, k, skip))
+        read = [(r.read, r.held) for r in told.collect()]
+        assert len(read) == some.filter("vector is not null").count() and all(0 < a <= b == 1500 for a, b in read)
+        if k == 4:
+            assert sum(a for a, _ in read) < 0.6 * sum(b for _, b in read)
+        if k == 2000:
+            assert all(a == b for a, b in read)
+    assert regions.rank_vectors(found, queries.limit(0), 3)[0].count() == 0
+    none = regions.build(vectors.limit(0))
+    assert regions.rank_vectors(none, queries, 3)[0].count() == 0
+
+
 def test_encode(spark):
     df = spark.createDataFrame([("aa",), (None,)], "t string")
     got = dense.encode(df, "t", lambda texts: np.array([[3.0, 4.0]] * len(texts))).collect()
