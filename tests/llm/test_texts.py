@@ -314,6 +314,15 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
 
 
+def test_toxicity_fits_on_rows_without_words():
+    """Empty texts, and texts of one word, may stand among the labelled rows of both classes."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(1, 40, (3, i % 4)).astype(np.int32) for i in range(80)]
+    labels = np.arange(80) // 4 % 2
+    model = toxicity.train(texts, ["en"] * 80, labels, toxicity.Params(epochs=2))
+    assert all(np.isfinite(model.logit(t)) for t in texts) and 0 < model.score(b"") < 1 and model.score(None) == model.score(b"")
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs, labels).count() == docs.count()
