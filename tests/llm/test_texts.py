@@ -329,6 +329,41 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_fits_on_every_labelled_row(spark):
+    """However many rows a class has and however long they are: the toxic words of even rows stand in texts of 20,040
+    words. In several tasks, counts are those of all rows."""
+    p = toxicity.Params(mixed=2000)
+    text = lambda i: " ".join([f"word{(i * k) % 83}" for k in range(1, 41)] * (501 if i % 2 == 0 else 1) + [f"bad{i % 4}"] * (i % 3 == 0))
+    rows, labels = [(i, text(i)) for i in range(240)], [(i, int(i % 3 == 0)) for i in range(240)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learned = [i for i in range(240) if zlib.crc32(b"%d" % i) % 5]
+    stored = toxicity.features(docs, known, "doc_id", "text", "toxic", p).select("held", "label", "words", "buckets").collect()
+    assert len(stored) == len(learned) and sum(r.words for r in stored) == sum(len(rows[i][1].split()) for i in learned)
+    kept = [(np.frombuffer(r.buckets, dtype=np.int32).reshape(-1, 3).T, r.label) for r in stored if not r.held]
+    buckets, df, toxic = toxicity.count(kept, p)
+    totals = tuple(sum(y == k for _, y in kept) for k in (0, 1))
+    model = toxicity.fit(docs, known, params=p)
+    model.prepare()
+    assert model.rows[1:].tolist() == buckets[df >= p.least].tolist()
+    read = dict(zip(*(x.tolist() for x in toxicity.read_columns(model.odds, "bucket", "odds")), strict=True))
+    assert np.allclose([read[b] for b in model.rows[1:].tolist()], toxicity.odds_of(df, toxic, totals)[df >= p.least])
+    assert np.mean([(model.score(t.encode()) >= 0.5) == (i % 3 == 0) for i, t in rows]) > 0.95
+
+
+def test_toxicity_windows_by_pieces(monkeypatch):
+    """A long text in pieces, and many together, give the maxima and windows of each alone."""
+    rng, p = np.random.default_rng(3), toxicity.Params()
+    texts = [rng.integers(0, 300, (3, n)).astype(np.int32) for n in (0, 1, 2, 250, 63, 64, 65, 128, 7)]
+    m = toxicity.train([t for t in texts * 10], ["en"] * 90, np.arange(90) % 2, toxicity.Params(epochs=1))
+    d = toxicity.Descent(m, (1, 1))
+    ids = [m.table[t] for t in texts]
+    whole = d.peaks(ids)
+    monkeypatch.setattr(toxicity, "LONG", 64)
+    for a, b in zip(whole, d.peaks(ids), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    assert np.allclose(np.maximum(whole[0], 0) @ m.out + m.offset, [m.logit(t) for t in texts], atol=1e-4)
+
+
 # ---------------------------------------------------------------- WARC
 
 
