@@ -26,7 +26,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark import TaskContext
@@ -194,7 +194,8 @@ def latin(word: str) -> bool:
 
 
 class Encoder:
-    """Encoded words (bytes of their ids) of one tokenizer that lower-cases; the cache is cleared when full."""
+    """Encoded words (bytes of their ids) of one tokenizer that lower-cases. When half of the limit is known, those words
+    become the older ones, of which the words met again are kept."""
 
     CLOSING = frozenset(b".,:;!?")
 
@@ -203,6 +204,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer, self.width, self.limit = Tokenizer.from_file(path), width, limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -221,20 +223,30 @@ class Encoder:
         # Letter case is lost in the tokenizer too, but special strings are told by it.
         words = [(t if any(x[:2] in t for x in self.special) else t.lower()).split() for t in texts]
         if missing := set().union(*words).difference(self.known):
-            if len(self.known) + len(missing) > self.limit:
-                self.known.clear()
+            if len(self.known) + len(missing) > self.limit // 2:
+                self.known, self.older = {}, self.known
                 missing = set().union(*words)
-            self.learn(list(missing))
+            self.learn(missing)
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
-    def learn(self, words: list[bytes]) -> None:
+    def recall(self, words: set[bytes]) -> set[bytes]:
+        """Takes over those of words that the older ones hold; the others."""
+        if found := {w: self.older[w] for w in words if w in self.older}:
+            self.known.update(found)
+            return words.difference(found)
+        return words
+
+    def learn(self, words: set[bytes]) -> None:
         """Adds words. A closing mark after an ASCII letter is a pre-token of its own, so that the word before it is
         looked up or encoded without it."""
-        known = self.known
-        closed = [w for w in words if w[-1] in self.CLOSING and w[-2:-1].isalpha()]
-        wanted = {w[:-1] for w in closed} | {w[-1:] for w in closed} | set(words).difference(closed)
-        plain, other = [], []
-        for w in wanted.difference(known):
+        known, words = self.known, self.recall(words)
+        plain = [w for w in words if w.isalpha()]
+        rest = words.difference(plain)
+        closed = [w for w in rest if w[-1] in self.CLOSING and w[-2:-1].isalpha()]
+        rest.difference_update(closed)
+        parts = self.recall({w[:-1] for w in closed}.union(w[-1:] for w in closed).difference(known, words))
+        other = []
+        for w in rest.union(parts):
             (plain if w.isalpha() or latin(w.decode()) else other).append(w)
         for group in (plain, other):
             for at in range(0, len(group), 2048):
@@ -245,16 +257,16 @@ class Encoder:
     def encode(self, words: list[bytes], single: bool) -> None:
         """Encodes words as one text, since a call costs far more than a word. If each is a single pre-token
         (letters alone), its last id is the one that ends a word; otherwise character offsets tell words apart."""
-        texts = [w.decode() for w in words]
+        text = b" ".join(words).decode()
         if single:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
             cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
         else:
-            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            got = self.tokenizer.encode(text, add_special_tokens=False)
             ids = np.array(got.ids, dtype=f"<u{self.width}")
-            cuts = np.searchsorted([a for a, _ in got.offsets], np.cumsum([0, *(len(t) + 1 for t in texts)]))
+            cuts = np.searchsorted([a for a, _ in got.offsets], np.cumsum([0, *(len(t) + 1 for t in text.split(" "))]))
         data, cuts = ids.tobytes(), (cuts * self.width).tolist()
-        self.known.update((w, data[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+        self.known.update(zip(words, [data[a:b] for a, b in pairwise(cuts)], strict=True))
 
 
 def groups(rows: Iterator[tuple], weight: int = 1 << 20) -> Iterator[list[tuple]]:

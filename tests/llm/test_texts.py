@@ -292,6 +292,23 @@ def test_native_plan(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_encoder_keeps_words_met_again(monkeypatch):
+    """A full cache does not forget words that every text has, and gives the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library, encoded = sstable.Encoder(path, 2, 400), Tokenizer.from_file(path), []
+    real = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda words, single: (encoded.extend(words), real(words, single)))
+    for i in range(40):
+        letters = "".join(chr(97 + int(d)) for d in str(i))
+        text = "The cat's bird, and the caf\u00e9 sings. Don't. " + " ".join(f"{letters}{chr(97 + j)}x{'.' * (j % 3)}" for j in range(26))
+        assert np.frombuffer(encoder.ids([text.encode()])[0], dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 400
+    assert encoder.older and encoded.count(b"bird") == 1 and encoded.count(b"sings") == 1 and encoded.count("caf\u00e9".encode()) == 1
+
+
 # ---------------------------------------------------------------- toxicity
 
 
