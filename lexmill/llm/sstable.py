@@ -13,22 +13,27 @@ Keys are the id with its sign bit turned, big-endian, so that bytes sort as numb
 comes first. Documents are range-partitioned by id and encoded after that shuffle: what moves is compressed text, not
 ids. A partition holds about shard_bytes of text, and a task that meets more begins another file, so that files, and the
 keys and filter a task holds, stay of one size whatever the table's. Words between ASCII white space are encoded once
-and kept in a bounded worker cache, for tokenizers that drop white space and let no token, contraction or special string
-span it; other tokenizers are told by their parts and encode texts whole.
+and kept with their ids in arrays of bounded size, which all tasks of a worker share, for tokenizers that drop white
+space and let no token, contraction or special string span it; other tokenizers are told by their parts and encode
+texts whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,11 +186,23 @@ def separable(tokenizer) -> bool:
     and lower-cases, the pre-tokenizer drops white space, added tokens take none of it, words end with a mark."""
     parts = json.loads(tokenizer.to_str())
     normal, split, model = parts["normalizer"] or {}, parts["pre_tokenizer"] or {}, parts["model"]
-    steps = [x["type"] for x in normal.get("normalizers", [normal] if normal else [])]
+    steps = normal.get("normalizers", [normal] if normal else [])
+    named = {x["type"] for x in steps}
+    spaces = all(x["pattern"] == {"Regex": r"\s+"} for x in steps if x["type"] == "Replace")
     first = (split.get("pretokenizers") or [split])[0]
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
-    plain = not any(t["content"].isspace() or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in parts["added_tokens"])
-    return set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and drops and plain and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+    plain = not any(t["content"].isspace() or t["content"].isalpha() or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in parts["added_tokens"])
+    return named <= {"NFC", "Replace", "Lowercase"} and spaces and "Lowercase" in named and drops and plain and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+
+
+def of_letters(tokenizer):
+    """The tokenizer for lower-case words of letters between spaces, which its normaliser leaves as they are and its
+    pre-tokenizer leaves whole: without either's expressions, the same ids for less."""
+    from tokenizers import Tokenizer
+
+    parts = json.loads(tokenizer.to_str())
+    rest = parts["pre_tokenizer"].get("pretokenizers", [None])[1:]
+    return Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
 
 
 def latin(word: str) -> bool:
@@ -193,26 +210,59 @@ def latin(word: str) -> bool:
     return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
 
 
+class Words:
+    """Different words and the ids of each, in arrays: ids[cuts[i] : cuts[i + 1]] are those of words[i]."""
+
+    def __init__(self, width: int) -> None:
+        self.words, self.ids, self.cuts = pa.array([], pa.binary()), np.empty(0, dtype=f"<u{width}"), np.zeros(1, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The number of each word here, or -1."""
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().copy()
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one after another, and their cuts."""
+        starts = self.cuts[numbers]
+        lengths = self.cuts[numbers + 1] - starts
+        cuts = np.concatenate(([0], np.cumsum(lengths)))
+        at = np.repeat(starts - cuts[:-1], lengths)
+        at += np.arange(len(at))
+        return self.ids[at], cuts
+
+    def extend(self, words: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> None:
+        self.words, self.ids, self.cuts = pa.concat_arrays([self.words, words]), np.concatenate((self.ids, ids)), np.concatenate((self.cuts, cuts[1:] + self.cuts[-1]))
+
+
 class Encoder:
-    """Encoded words (bytes of their ids) of one tokenizer that lower-cases. When half of the limit is known, those words
-    become the older ones, of which the words met again are kept."""
+    """Encoded words of one tokenizer that lower-cases. When half of the limit is known, those words become the older
+    ones, of which the words met again are kept."""
 
-    CLOSING = frozenset(b".,:;!?")
+    SPACE, LETTER, CLOSING = 1, 2, 4
 
     def __init__(self, path: str, width: int, limit: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.older = Words(width), Words(width)
         self.tokenizer, self.width, self.limit = Tokenizer.from_file(path), width, limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.whole = not separable(self.tokenizer)
+        if self.whole:
+            return
+        self.letters = of_letters(self.tokenizer)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kinds = np.zeros(256, dtype=np.uint8)
+        self.kinds[list(b" \t\n\v\f\r")] = self.SPACE
+        self.kinds[list(string.ascii_letters.encode())] = self.LETTER
+        parted = [c for c in string.punctuation if self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}")[0][0] == "a"]
+        self.kinds[list(set("".join(parted).encode()).difference(*self.special))] = self.CLOSING
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts, in little-endian integers of the encoder's width. Unknown words of all texts are
@@ -221,55 +271,70 @@ class Encoder:
             found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(x.ids, dtype=f"<u{self.width}").tobytes() for x in found]
         # Letter case is lost in the tokenizer too, but special strings are told by it.
-        words = [(t if any(x[:2] in t for x in self.special) else t.lower()).split() for t in texts]
-        if missing := set().union(*words).difference(self.known):
-            if len(self.known) + len(missing) > self.limit // 2:
-                self.known, self.older = {}, self.known
-                missing = set().union(*words)
-            self.learn(missing)
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
-
-    def recall(self, words: set[bytes]) -> set[bytes]:
-        """Takes over those of words that the older ones hold; the others."""
-        if found := {w: self.older[w] for w in words if w in self.older}:
-            self.known.update(found)
-            return words.difference(found)
-        return words
-
-    def learn(self, words: set[bytes]) -> None:
-        """Adds words. A closing mark after an ASCII letter is a pre-token of its own, so that the word before it is
-        looked up or encoded without it."""
-        known, words = self.known, self.recall(words)
-        plain = [w for w in words if w.isalpha()]
-        rest = words.difference(plain)
-        closed = [w for w in rest if w[-1] in self.CLOSING and w[-2:-1].isalpha()]
-        rest.difference_update(closed)
-        parts = self.recall({w[:-1] for w in closed}.union(w[-1:] for w in closed).difference(known, words))
-        other = []
-        for w in rest.union(parts):
-            (plain if w.isalpha() or latin(w.decode()) else other).append(w)
-        for group in (plain, other):
-            for at in range(0, len(group), 2048):
-                self.encode(group[at : at + 2048], group is plain)
-        for w in closed:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        words, firsts = self.cut([t if any(x[:2] in t for x in self.special) else t.lower() for t in texts])
+        coded = words.dictionary_encode()
+        numbers = self.numbers(coded.dictionary)  # before known is named, which it may replace
+        ids, cuts = self.known.take(numbers[coded.indices.to_numpy()])
+        data, at = ids.tobytes(), (cuts[firsts] * self.width).tolist()
+        return [data[a:b] for a, b in pairwise(at)]
+
+    def cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts, and the number of the first of each text and of their end. A word ends at white space, or
+        where an ASCII letter has nothing but closing marks between it and white space: those are pre-tokens of their own."""
+        data = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
+        kinds = self.kinds[data]
+        word = kinds != self.SPACE
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        edges = np.flatnonzero(np.diff(kinds == self.CLOSING))  # the bytes before runs of marks and the last ones in them
+        before, last = edges[::2], edges[1::2]
+        begins[before[(kinds[before] == self.LETTER) & (kinds[last + 1] == self.SPACE)] + 1] = True
+        data, offsets = data[word], np.flatnonzero(begins[word])
+        offsets = np.append(offsets, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return words, np.searchsorted(np.flatnonzero(begins), np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of different words among those known, which these are added to."""
+        found = self.known.find(words)
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found
+        if len(self.known) + len(missing) > self.limit // 2 or len(self.known.ids) > 4 * self.limit:
+            self.known, self.older = Words(self.width), self.known
+            missing = np.arange(len(words))
+        before, old = len(self.known), self.older.find(words.take(pa.array(missing)))
+        again, new = missing[old >= 0], missing[old < 0]
+        if len(again):
+            self.known.extend(words.take(pa.array(again)), *self.older.take(old[old >= 0]))
+        unknown = words.take(pa.array(new)).to_pylist()
+        single = [w.isalpha() or latin(w.decode()) for w in unknown]
+        for one in (True, False):
+            if group := [w for w, s in zip(unknown, single, strict=True) if s is one]:
+                self.encode(group, one)
+        single = np.array(single, dtype=bool)
+        found[np.concatenate((again, new[single], new[~single]))] = np.arange(before, len(self.known))
+        return found
 
     def encode(self, words: list[bytes], single: bool) -> None:
-        """Encodes words as one text, since a call costs far more than a word. If each is a single pre-token
-        (letters alone), its last id is the one that ends a word; otherwise character offsets tell words apart."""
-        text = b" ".join(words).decode()
-        if single:
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-            cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
-        else:
-            got = self.tokenizer.encode(text, add_special_tokens=False)
-            ids = np.array(got.ids, dtype=f"<u{self.width}")
-            cuts = np.searchsorted([a for a, _ in got.offsets], np.cumsum([0, *(len(t) + 1 for t in text.split(" "))]))
-        data, cuts = ids.tobytes(), (cuts * self.width).tolist()
-        self.known.update(zip(words, [data[a:b] for a, b in pairwise(cuts)], strict=True))
-
-
-def groups(rows: Iterator[tuple], weight: int = 1 << 20) -> Iterator[list[tuple]]:
+        """Encodes and adds words, many as one text, since a call costs far more than a word. If each is a single
+        pre-token (letters alone), its last id is the one that ends a word; otherwise character offsets tell words apart."""
+        ids, lengths = [], []
+        for at in range(0, len(words), 2048):
+            text = b" ".join(words[at : at + 2048]).decode()
+            if single:
+                found = np.array(self.letters.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+                cuts = np.concatenate(([0], np.flatnonzero(self.ends[found]) + 1))
+            else:
+                got = self.tokenizer.encode(text, add_special_tokens=False)
+                found = np.array(got.ids, dtype=f"<u{self.width}")
+                cuts = np.searchsorted([a for a, _ in got.offsets], np.cumsum([0, *(len(t) + 1 for t in text.split(" "))]))
+            ids.append(found)
+            lengths.append(np.diff(cuts))
+        self.known.extend(pa.array(words, pa.binary()), np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(lengths)))))
+
+
+def groups(rows: Iterator[tuple], weight: int = 4 << 20) -> Iterator[list[tuple]]:
     """Rows of (id, text) in lists that end where their texts reach weight bytes."""
     held, size = [], 0
     for row in rows:
@@ -282,7 +347,11 @@ def groups(rows: Iterator[tuple], weight: int = 1 << 20) -> Iterator[list[tuple]
         yield held
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+@lru_cache(maxsize=2)
+def kept_encoder(path: str, modified: int, width: int, limit: int) -> Encoder:
+    """The encoder that the tasks of a worker share. Tasks reach it by the name of this function: what a task's own
+    function names directly is copied for each task, a dictionary of encoders too."""
+    return Encoder(path, width, limit)
 
 
 def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None, cache: int = 800_000, shard_bytes: int = 256 << 20) -> DataFrame:
@@ -306,8 +375,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, directory: str | None = Non
 
     def make():
         part = TaskContext.get().partitionId()
-        encoder = _ENCODERS.setdefault((tokenizer, width), None) or Encoder(tokenizer, width, cache)
-        _ENCODERS[tokenizer, width] = encoder
+        encoder = kept_encoder(tokenizer, os.stat(tokenizer).st_mtime_ns, width, cache)
         end = end_id.to_bytes(width, "little")
 
         def run(rows):

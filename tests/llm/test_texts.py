@@ -1,14 +1,19 @@
 """Operators over single texts: media, licenses, token counts, shards, personal data."""
 
 import hashlib
+import os
+import pickle
 import re
 import time
 import zlib
 from html.parser import HTMLParser
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexmill.llm import jpeg, license_texts, licenses, media, pii, sstable, token_counts, toxicity, warc
@@ -207,6 +212,36 @@ def test_words_of_latin_letters():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tasks_of_a_worker_share_an_encoder(docs, tmp_path, monkeypatch):
+    """A worker, which unpickles the function of each of its tasks, loads a tokenizer once, and again when its file changes."""
+    made, built, real, run = [], [], sstable.Encoder.__init__, sstable.map_rows
+    path = tmp_path / "tokenizer.json"
+    path.write_bytes(Path(public_tokenizers.path("word_bpe_49k.json")).read_bytes())
+    monkeypatch.setattr(sstable, "map_rows", lambda df, make, schema: (made.append(make), run(df, make, schema))[1])
+    sstable.write_token_ids(docs, str(path), f"file://{tmp_path}/shards", shards=2)
+    monkeypatch.setattr(sstable.Encoder, "__init__", lambda self, *a: (built.append(a), real(self, *a))[1])
+    monkeypatch.setattr(sstable.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    for _ in range(3):
+        pickle.loads(cloudpickle.dumps(made[0]))()
+    assert len(built) == 1
+    os.utime(path, (1, 1))
+    pickle.loads(cloudpickle.dumps(made[0]))()
+    assert len(built) == 2
+
+
+@pytest.mark.parametrize("size", [1, 50])
+def test_encoder_of_marks_and_odd_bytes(size):
+    """Closing marks, special strings, controls and letters of several scripts, while the cache turns over."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng, parts = np.random.default_rng(5), [*map(chr, range(128)), *"aabbXY    \n.,!?'-", *"éÉñßİŉſΣςд一\u0301\u0338\x85\xa0", "<|endoftext|>", "<|", "|>", "'s", "'ll", "ab!!", "ab.%%% "]
+    texts = ["", " ", "a.", "A!!\tb%%", "a<|endoftext|>.", "x<|ENDOFTEXT|>!", *("".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 50))) for _ in range(1500))]
+    encoder, library = sstable.Encoder(path, 2, 600), Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    got = [x for at in range(0, len(texts), size) for x in encoder.ids([t.encode() for t in texts[at : at + size]])]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in library] and encoder.older
+
+
 def test_bloom_positions():
     keys = [sstable.key_of(i * 977 - 5) for i in range(3000)]
     packed = np.unpackbits(np.frombuffer(sstable.bloom(np.array([zlib.crc32(k) << 32 | zlib.adler32(k) | 1 for k in keys], dtype=np.uint64)), dtype=np.uint8))
