@@ -174,11 +174,13 @@ def chunk_texts(p: ChunkParams = ChunkParams()) -> Column:
     )
 
 
-def chunk_pages(pages: DataFrame, p: ChunkParams = ChunkParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+def chunk_pages(pages: DataFrame, p: ChunkParams = ChunkParams(), keep: tuple[str, ...] = (), repair: bool = True) -> DataFrame:
     """Chunks of page records: chunk_id, n (place within the page), url, title, unit, doc_type, published_at, text,
     job_form, then the columns in keep. Texts shorter than min_chars are no chunks and take no number; chunks that say
-    nothing go after numbering; boiler-plate lines are cut from the rest. Null texts and titles count as empty."""
-    fixed = pages.withColumns({"text": repair_spacing(F.coalesce("text", F.lit("")), p), "title": F.coalesce("title", F.lit(""))})
+    nothing go after numbering; boiler-plate lines are cut from the rest. Null texts and titles count as empty.
+    Without repair, lines of single letters are words as they stand, not letters set apart."""
+    text = F.coalesce("text", F.lit(""))
+    fixed = pages.withColumns({"text": repair_spacing(text, p) if repair else text, "title": F.coalesce("title", F.lit(""))})
     marked = fixed.withColumn("job_form", is_job_form(F.col("text"), p))
     long = F.filter(F.transform(chunk_texts(p), strip), lambda t: F.length(t) >= p.min_chars)
     columns = ["url", "title", "unit", "doc_type", "published_at", "job_form", *keep]

@@ -44,3 +44,8 @@ def test_references_without_semicolon_are_a_choice():
     page = "<body><h1>a &amp b</h1><style>x && y</style><p>c &copy</p></body>"
     assert fields_of(page, "", HtmlParams())[:2] == ("a & b", "a & b\nc ©")
     assert fields_of(page, "", HtmlParams(bare_references=False))[:2] == ("a &amp b", "a &amp b\nc &copy")
+
+
+def test_term_chunks_of_single_letters(same):
+    texts = ["token a bc f f a af c a d f The eroneaha thea ering lythly", "Est une ment anpavi token cfd f f d c c ecfd fd c ouletion", "a b c " * 200, "a", "", "long words only " * 300]
+    same("term_chunks", "documents", [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], DOCUMENTS)
