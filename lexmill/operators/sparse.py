@@ -3,28 +3,36 @@
 postings(term, doc_id, tf, dl), terms(term, df, idf), the documents' ids and two facts of the corpus. Texts are tokenised once, when postings
 are written; all else comes from their columns. Scoring joins query terms with postings, so that only documents that
 share a term with a query are touched.
+
+Documents are dealt to spans by a hash of their id, and a built index is a table in buckets of spans: texts are shuffled
+to their buckets, once, and what is grouped by document or span, counts, scores and bounds, needs no shuffle after that.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import by_form, tokenize_tr
 from lexmill.schema import Bm25Params
-from lexmill.storage import materialize
+from lexmill.storage import fresh_path, materialize
+
+#: Documents of a span, and spans of a bucket, on average.
+DOCS, SPANS = 128, 32
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    postings: DataFrame  # term, doc_id, tf, dl
+    postings: DataFrame  # term, doc_id, tf, dl, and span where it was built in buckets
     terms: DataFrame  # term, df, idf
     docs: DataFrame  # doc_id
     facts: DataFrame  # one row: n documents, mean tokens of a document (null without documents)
     params: Bm25Params = Bm25Params()
+    spans: int | None = None  # how many, where postings have a span
 
     def save(self, path: str) -> None:
         for name, table in (("postings", ordered(self.postings)), ("terms", self.terms), ("docs", self.docs), ("facts", self.facts)):
@@ -42,13 +50,37 @@ def ordered(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
-def postings(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], stop_words: bool = True) -> DataFrame:
-    """(term, doc_id, tf, dl) of the columns of text_cols, joined by spaces; null texts count as empty."""
+def span_of(spans: int, doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(spans))
+
+
+def postings(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], stop_words: bool = True, spans: int | None = None, buckets: int = 1) -> DataFrame:
+    """(term, doc_id, tf, dl) of the columns of text_cols, joined by spaces; null texts count as empty. With spans, texts
+    are dealt to buckets by their span first, which is a column too, and postings are counted where their texts lie."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
     source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    tokens = by_form(source, "text", lambda df, odd: df.select("doc_id", tokenize_tr(F.col("text"), stop_words, odd).alias("tokens")))
-    terms = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+    keys = ["doc_id"]
+    if spans:
+        source, keys = source.withColumn("span", span_of(spans)).repartition(buckets, "span"), ["span", "doc_id"]
+
+    def counted(df: DataFrame, odd: bool) -> DataFrame:
+        tokens = df.select(*keys, tokenize_tr(F.col("text"), stop_words, odd).alias("tokens"))
+        terms = tokens.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+        return terms.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+
+    return by_form(source, "text", counted).select("term", "doc_id", "tf", "dl", *keys[:-1])
+
+
+def in_buckets(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], stop_words: bool = True) -> tuple[DataFrame, int]:
+    """(postings, spans): postings as a table in buckets of spans in the shared folder, each ordered by term and document.
+    Buckets hold about DOCS * SPANS documents, fewer where all cores would not be busy."""
+    spark = docs.sparkSession
+    spans = max(1, -(-docs.count() // DOCS))
+    buckets = min(spans, max(spark.sparkContext.defaultParallelism, -(-spans // SPANS)))
+    name = f"postings_{uuid.uuid4().hex}"
+    found = postings(docs, id_col, text_cols, stop_words, spans, buckets)
+    found.write.bucketBy(buckets, "span").sortBy("term", "doc_id").format("parquet").saveAsTable(name, path=fresh_path(spark, "postings"))
+    return spark.table(name), spans
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
@@ -59,17 +91,17 @@ def frequencies(postings: DataFrame) -> DataFrame:
 def build(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], params: Bm25Params = Bm25Params(), stop_words: bool = True) -> SparseIndex:
     """An index over the columns of text_cols, joined by spaces. Null texts count as empty: such rows have no
     postings but do count among the documents."""
-    found = materialize(postings(docs, id_col, text_cols, stop_words), "postings")
+    found, spans = in_buckets(docs, id_col, text_cols, stop_words)
     ids = docs.select(F.col(id_col).alias("doc_id"))
     counted = ids.agg(F.count("*").alias("n")).crossJoin(found.agg(F.sum("tf").alias("all")))  # a row each
     facts = counted.select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("mean"))
-    return of_counts(found, frequencies(found), ids, facts, params)
+    return of_counts(found, frequencies(found), ids, facts, params, spans)
 
 
-def of_counts(postings: DataFrame, frequencies: DataFrame, docs: DataFrame, facts: DataFrame, params: Bm25Params = Bm25Params()) -> SparseIndex:
+def of_counts(postings: DataFrame, frequencies: DataFrame, docs: DataFrame, facts: DataFrame, params: Bm25Params = Bm25Params(), spans: int | None = None) -> SparseIndex:
     """An index of postings whose terms(term, df), documents and facts(n, mean) are known."""
     facts = materialize(facts, "facts")
-    return SparseIndex(postings, materialize(inverse_frequencies(frequencies, facts, params), "terms"), docs, facts, params)
+    return SparseIndex(postings, materialize(inverse_frequencies(frequencies, facts, params), "terms"), docs, facts, params, spans)
 
 
 def inverse_frequencies(frequencies: DataFrame, facts: DataFrame, params: Bm25Params) -> DataFrame:
@@ -91,22 +123,29 @@ def expand(queries: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
     return queries.withColumn("tokens", F.concat("tokens", more))
 
 
-def saturated(index: SparseIndex):
-    """What a posting counts for a weight of 1: its frequency, saturated, by the length of its document."""
-    p, mean = index.params, index.facts.select("mean").scalar()
-    return F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / mean))
+def saturated(index: SparseIndex, weight: Column | None = None) -> Column:
+    """What a posting counts for a weight, 1 if none is given: its frequency, saturated, by the length of its document."""
+    p, mean, tf = index.params, index.facts.select("mean").scalar(), F.col("tf")
+    return (tf if weight is None else weight * tf) * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * F.col("dl") / mean))
 
 
-def score(index: SparseIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for documents that share a term with a query(query_id, tokens), rounded to 6 places
-    so that ties do not hang on the order of a sum. A repeated query token scores as often as it stands."""
-    p = index.params
+def weights(index: SparseIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, term, weight) of queries(query_id, tokens), in the shared folder: as their size is known, Spark sends
+    few of them to the postings and shuffles no posting."""
     wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = wanted.join(index.terms.select("term", "idf"), "term")
-    mean = index.facts.select("mean").scalar()
-    tf, norm = F.col("tf"), p.k1 * (1 - p.b + p.b * F.col("dl") / mean)
-    part = F.col("qtf") * F.col("idf") * tf * (p.k1 + 1) / (tf + norm)
-    return weighted.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return materialize(wanted.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+
+
+def summed(index: SparseIndex, weighted: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of weighted postings, rounded to 6 places so that ties do not hang on the order of a sum."""
+    by = ["query_id", *(["span"] if "span" in weighted.columns else []), "doc_id"]
+    return weighted.groupBy(*by).agg(F.round(F.sum(saturated(index, F.col("weight"))), 6).alias("score")).select("query_id", "doc_id", "score")
+
+
+def score(index: SparseIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) for documents that share a term with a query(query_id, tokens). A repeated query token
+    scores as often as it stands."""
+    return summed(index, weights(index, queries).join(index.postings, "term"))
 
 
 def topk(scored: DataFrame, k: int, order: str = "doc_id") -> DataFrame:

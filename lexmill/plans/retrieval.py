@@ -9,7 +9,7 @@ from lexmill.functions.text import by_form, normalize_tr, tokenize_tr, tokens_of
 from lexmill.operators import answers, dense, evaluation, hybrid, regions, sparse
 from lexmill.plans.tables import bm25_sql, dense_sql, lower_sql, norm_sql, strip_sql, table, tokens_sql, words_sql
 from lexmill.schema import SearchParams
-from lexmill.storage import fresh_path, stamp
+from lexmill.storage import stamp
 
 # A synonym table for the driver's invented words.
 SYNONYMS = {"the": ["and", "of"], "in": ["on"], "nicht": ["auch", "sich"], "est": ["la"]}
@@ -34,13 +34,11 @@ _INDEXES: dict[tuple, sparse.SparseIndex] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> sparse.SparseIndex:
-    """The index of a folder's documents, built and saved once an application: queries share it, as users would."""
+    """The index of a folder's documents, built once an application in the shared folder: queries share it, as users would."""
     # The files and their times are part of the key: another table under the same name is another index.
     key = (spark.sparkContext.applicationId, sf_dir, stamp(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     if key not in _INDEXES:
-        path = fresh_path(spark, "index")
-        sparse.build(table(spark, sf_dir, "documents"), "doc_id", ("text",)).save(path)
-        _INDEXES[key] = sparse.SparseIndex.load(spark, path)
+        _INDEXES[key] = sparse.build(table(spark, sf_dir, "documents"), "doc_id", ("text",))
     return _INDEXES[key]
 
 
