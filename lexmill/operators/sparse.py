@@ -180,16 +180,22 @@ class Bounds:
     limits: DataFrame
     spans: int
 
-    def span(self, doc_id: str = "doc_id"):
-        return F.pmod(F.xxhash64(doc_id), F.lit(self.spans))
 
+#: Pairs of queries and spans up to which pruned_topk tells postings apart by query, too.
+PAIRS = 1_000_000
 
-def bounds(index: SparseIndex, docs_per_span: int = 128) -> Bounds:
+
+def spanned(index: SparseIndex, spans: int) -> DataFrame:
+    """Postings with the span of their document, as the index has it where its spans are as many."""
+    return index.postings if index.spans == spans else index.postings.withColumn("span", span_of(spans))
+
+
+def bounds(index: SparseIndex, docs_per_span: int = DOCS) -> Bounds:
     """Bounds of an index, written to the shared folder: at most a row for each posting, and for a frequent term one for
     about docs_per_span documents."""
-    out = Bounds(index.postings, max(1, -(-index.docs.count() // docs_per_span)))
-    grouped = index.postings.groupBy("term", out.span().alias("span")).agg(F.max(saturated(index)).alias("most"), F.count("*").alias("n"))
-    return Bounds(materialize(grouped, "bounds"), out.spans)
+    spans = max(1, -(-index.docs.count() // docs_per_span))
+    grouped = spanned(index, spans).groupBy("term", "span").agg(F.max(saturated(index)).alias("most"), F.count("*").alias("n"))
+    return Bounds(materialize(grouped, "bounds"), spans)
 
 
 def pruned_topk(index: SparseIndex, limits: Bounds, queries: DataFrame, k: int, probes: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -198,23 +204,24 @@ def pruned_topk(index: SparseIndex, limits: Bounds, queries: DataFrame, k: int,
 
     A span's bound is the sum of what its terms can add at most. The spans of the highest bounds, `probes` of each
     query, are scored whole: the k-th score there is one that the result reaches, so that spans whose bound lies below
-    it need not be read. What is left is scored like any other postings; ties stay in, since only lower bounds go."""
-    wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = materialize(wanted.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+    it need not be read. What is left is scored like any other postings; ties stay in, since only lower bounds go. With
+    more pairs of queries and spans than PAIRS, what one query needs of a span is scored for all: the rows are the same."""
+    weighted = weights(index, queries)
     each = weighted.join(limits.limits, "term").withColumn("most", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)))
-    each = materialize(each.select("query_id", "term", "weight", "span", "most", "n"), "limits")
     spans = materialize(each.groupBy("query_id", "span").agg(F.sum("most").alias("most"), F.sum("n").alias("n")), "spans")
-    posted = index.postings.withColumn("span", limits.span())
+    posted = spanned(index, limits.spans)
 
-    def scored(some: DataFrame) -> DataFrame:
-        """Scores of the documents of some(query_id, span)."""
-        asked = each.join(some.select("query_id", "span"), ["query_id", "span"]).select("query_id", "term", "span", "weight")
-        return asked.join(posted, ["term", "span"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * saturated(index)), 6).alias("score"))
+    def scored(some: DataFrame, few: bool) -> DataFrame:
+        """Scores of the documents of some(query_id, span), or, if these are not few, of their spans for all queries."""
+        rows = weighted.join(posted.join(some.select("span").distinct(), "span", "left_semi"), "term")
+        return summed(index, rows.join(F.broadcast(some), ["query_id", "span"], "left_semi") if few else rows)  # at most PAIRS rows
 
     first = spans.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "span"))).filter(F.col("r") <= probes)
-    reached = topk(scored(first), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    first = materialize(first.select("query_id", "span"), "first")
+    reached = topk(scored(first, first.count() <= PAIRS), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
     # Scores are rounded to 6 places, and sums of doubles hang on their order.
     left = materialize(spans.join(reached, "query_id", "left").filter(F.col("reached").isNull() | (F.col("most") >= F.col("reached") - 2e-6)).select("query_id", "span", "n"), "left")
-    held = spans.groupBy("query_id").agg(F.sum("n").alias("held"))
-    told = held.join(left.groupBy("query_id").agg(F.sum("n").alias("read")), "query_id", "left").na.fill(0)
-    return topk(scored(left), k), told
+    few = left.count() <= PAIRS
+    read = left if few else spans.join(left.select("span").distinct(), "span", "left_semi")
+    told = spans.groupBy("query_id").agg(F.sum("n").alias("held")).join(read.groupBy("query_id").agg(F.sum("n").alias("read")), "query_id", "left").na.fill(0)
+    return topk(scored(left.select("query_id", "span"), few), k), told

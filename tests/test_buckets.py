@@ -36,3 +36,14 @@ def test_buckets_hold_all_postings(dealt, rows):
     assert rows(plain) == rows(sparse.postings(index.docs.withColumn("text", F.lit("wa ﬁne wa")), "doc_id", ("text",), spans=6, buckets=3).drop("span"))
     loose = dataclasses.replace(index, postings=index.postings.drop("span"), spans=None)
     assert rows(sparse.score(index, queries)) == rows(sparse.score(loose, queries))
+
+
+def test_pruned_search_of_many_pairs(dealt, rows, monkeypatch):
+    index, queries = dealt
+    want = rows(sparse.topk(sparse.score(index, queries), 3))
+    for pairs in (1_000_000, 0):
+        monkeypatch.setattr(sparse, "PAIRS", pairs)
+        ranked, told = sparse.pruned_topk(index, sparse.bounds(index), queries, 3)
+        assert rows(ranked) == want
+        assert all(r.read <= r.held for r in told.collect())
+        assert not any("doc_id" in line or "term" in line for line in shuffles(ranked))
