@@ -9,7 +9,7 @@ from lexmill.functions.text import by_form, normalize_tr, tokenize_tr, tokens_of
 from lexmill.operators import answers, dense, evaluation, hybrid, regions, sparse
 from lexmill.plans.tables import bm25_sql, dense_sql, lower_sql, norm_sql, strip_sql, table, tokens_sql, words_sql
 from lexmill.schema import SearchParams
-from lexmill.storage import stamp
+from lexmill.storage import materialize, stamp
 
 # A synonym table for the driver's invented words.
 SYNONYMS = {"the": ["and", "of"], "in": ["on"], "nicht": ["auch", "sich"], "est": ["la"]}
@@ -205,7 +205,8 @@ from told join questions using (query_id)"""
 
 def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the first eight words of a passage stand in one of its top four documents, by length of the passage."""
-    results = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "text"), "doc_id")
+    # Results whose size is known go to the texts, not all texts to them.
+    results = materialize(_bm25(spark, sf_dir), "results").join(table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "text"), "doc_id")
     start = F.array_join(F.slice(F.split("text", " ", -1), 1, 8), " ")
     gold = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), start.alias("expected"), F.when(F.length("text") > 200, "long").otherwise("short").alias("type"))
     return evaluation.hit_rate(evaluation.hits(results, gold))

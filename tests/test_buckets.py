@@ -1,12 +1,16 @@
 """The index in buckets: scores, bounds and the best of each query without a shuffle of postings."""
 
 import dataclasses
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import sparse
+from lexmill.plans import retrieval
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +51,15 @@ def test_pruned_search_of_many_pairs(dealt, rows, monkeypatch):
         assert rows(ranked) == want
         assert all(r.read <= r.held for r in told.collect())
         assert not any("doc_id" in line or "term" in line for line in shuffles(ranked))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+@pytest.mark.parametrize("name", ["eval_hits"])
+def test_texts_are_not_shuffled(spark, name):
+    """Where documents are too large to be sent, results go to them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+    try:
+        assert not any("doc_id" in line for line in shuffles(retrieval.QUERIES[name](spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
