@@ -222,7 +222,7 @@ select "type", count(*) n, count(*) filter (hit) hits, round(avg(hit::int), 6) r
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top ten documents of every passage, packed into 1100 words."""
-    results = _bm25(spark, sf_dir, 10).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    results = materialize(_bm25(spark, sf_dir, 10), "results").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return answers.pack_context(results).select("query_id", "rank", "doc_id", F.col("words").cast("long").alias("words"), F.md5("text").alias("text_md5"))
 
 

@@ -54,7 +54,7 @@ def test_pruned_search_of_many_pairs(dealt, rows, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
-@pytest.mark.parametrize("name", ["eval_hits"])
+@pytest.mark.parametrize("name", ["eval_hits", "context_pack"])
 def test_texts_are_not_shuffled(spark, name):
     """Where documents are too large to be sent, results go to them."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
