@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import by_form, tokenize_tr
+from lexmill.functions.text import by_form, nfkc, tokenize_tr
 from lexmill.schema import Bm25Params
 from lexmill.storage import fresh_path, materialize
 
@@ -59,16 +59,14 @@ def postings(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], stop_word
     are dealt to buckets by their span first, which is a column too, and postings are counted where their texts lie."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
     source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    keys = ["doc_id"]
+    # Only texts that need the normaliser meet it, before they are dealt: its operator forgets how rows are dealt.
+    plain, keys = by_form(source, "text", lambda df, odd: df.withColumn("text", nfkc(F.col("text"))) if odd else df), ["doc_id"]
     if spans:
-        source, keys = source.withColumn("span", span_of(spans)).repartition(buckets, "span"), ["span", "doc_id"]
-
-    def counted(df: DataFrame, odd: bool) -> DataFrame:
-        tokens = df.select(*keys, tokenize_tr(F.col("text"), stop_words, odd).alias("tokens"))
-        terms = tokens.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-        return terms.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
-
-    return by_form(source, "text", counted).select("term", "doc_id", "tf", "dl", *keys[:-1])
+        plain, keys = plain.withColumn("span", span_of(spans)).repartition(buckets, "span"), ["span", "doc_id"]
+    tokens = plain.select(*keys, tokenize_tr(F.col("text"), stop_words, compatibility=False).alias("tokens"))
+    # An inner explode would have texts tokenised once more, before the shuffle, to leave out those without tokens.
+    terms = tokens.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl", *keys[:-1])
 
 
 def in_buckets(docs: DataFrame, id_col: str, text_cols: tuple[str, ...], stop_words: bool = True) -> tuple[DataFrame, int]:
